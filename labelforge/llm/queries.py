@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import p1_lookalikes
+from labelforge.llm import p1_lookalikes, p2_canonical
 from labelforge.session import table
 
 
@@ -26,4 +26,19 @@ def p1_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_lookalikes.canonical_column(symptoms, "symptom", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_mapped(spark, sf_dir).drop("value")
+
+
+def p2_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed value that is no term, with the entry it means."""
+    raw = table(spark, sf_dir, "teacher_raw").select("raw_id", "output")
+    return p2_canonical.map_values(raw, table(spark, sf_dir, "ref_terms"))
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no entry, with their number of occurrences."""
+    return p2_mapped(spark, sf_dir).where("term_id = -1").groupBy("field", "value").agg(F.count("*").alias("occurrences"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched)}
