@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import p1_lookalikes, p2_canonical
+from labelforge.llm import p1_lookalikes, p2_canonical, p6_frequency
 from labelforge.session import table
 
 
@@ -41,4 +41,13 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_mapped(spark, sf_dir).where("term_id = -1").groupBy("field", "value").agg(F.count("*").alias("occurrences"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched)}
+def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct symptom with its counts and mark."""
+    return p6_frequency.term_frequencies(p6_frequency.record_terms(table(spark, sf_dir, "sft_train")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_terms(spark, sf_dir).where("mark is not null").select("term", "mark")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p6_found, p6_terms)}
