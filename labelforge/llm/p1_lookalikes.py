@@ -32,7 +32,7 @@ def class_members(values: DataFrame, column: str = "value") -> DataFrame:
     distinct = values.select(F.col(column).alias("value")).where("value is not null").distinct()
     mapped = distinct.withColumn("mapped", lookalike.consistent(F.col("value"))).where("mapped <> ''")
     mapped = mapped.withColumn("coarse", F.xxhash64(F.regexp_replace("mapped", r"[^\p{L}\p{N}]", "")))
-    mapped = cut_lineage(mapped, eager=False)
+    mapped = cut_lineage(mapped)
     shared = mapped.groupBy("coarse").count().where("count > 1").select("coarse")
     alike = mapped.join(shared, "coarse", "left_semi")
     classes = spark.sql(
@@ -73,11 +73,11 @@ def alike_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
     the rows that hold these texts, with hot texts spread over salts.
     """
     members = class_members(rows, column)
-    many = cut_lineage(members.select("value", "canonical").join(members.where("canonical <> value").select("canonical").distinct(), "canonical", "left_semi").withColumn("vid", F.xxhash64("value")), eager=False)
+    many = cut_lineage(members.select("value", "canonical").join(members.where("canonical <> value").select("canonical").distinct(), "canonical", "left_semi").withColumn("vid", F.xxhash64("value")))
     a, b = many.select(F.col("canonical").alias("c"), F.col("vid").alias("a"), F.col("value").alias("va")), many.select(F.col("canonical").alias("c"), F.col("vid").alias("b"), F.col("value").alias("vb"))
     pairs = a.join(b, "c").where("va < vb").select("a", "b")
     holders = rows.select(F.col(id_col).alias("id"), F.col(column).alias("value")).join(many.select("value", "vid"), "value").select("id", "vid", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    holders = cut_lineage(holders, eager=False)
+    holders = cut_lineage(holders)
     salted = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = salted.join(holders.select(F.col("vid").alias("a"), F.col("id").alias("ia"), "salt"), ["a", "salt"]).drop("salt")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

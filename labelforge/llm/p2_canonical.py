@@ -198,9 +198,10 @@ def lookup(values: DataFrame, names: DataFrame, additions: DataFrame, spark: Spa
     plain = values.select("field", "plain").distinct().withColumn("bucket", F.pmod(F.xxhash64("plain"), F.lit(BUCKETS)).cast("int"))
     name_rows = names.select("field", F.col("name").alias("text"), "term_id", F.lit("name").alias("kind"), F.lit("").alias("side"), F.expr(f"cast(floor((row_number() over (partition by field order by name) - 1) / {SHARD_SIZE}) as int)").alias("shard"))
     shards = name_rows.select("shard").distinct()
-    affix_rows = additions.select("field", F.col("affix").alias("text"), F.lit(-1).cast("bigint").alias("term_id"), F.lit("affix").alias("kind"), "side").join(shards)
+    one = F.lit(1).alias("one")
+    affix_rows = additions.select(one, "field", F.col("affix").alias("text"), F.lit(-1).cast("bigint").alias("term_id"), F.lit("affix").alias("kind"), "side").join(F.broadcast(shards.select("*", one)), "one").drop("one")
     right = name_rows.unionByName(affix_rows).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))).toDF("field", "text", "term_id", "kind", "side", "r_shard", "r_bucket")
-    left = plain.join(F.broadcast(shards))
+    left = plain.select("*", one).join(F.broadcast(shards.select("*", one)), "one").drop("one")
     found = left.groupBy("shard", "bucket").cogroup(right.groupBy("r_shard", "r_bucket")).applyInPandas(shard_search, "field string, plain string, term_id bigint, d int, heard int, moved int, k int")
     # an entry must win alone: the nearest, then the same sound, then the same characters, then the longest core
     best = found.withColumn("rank", F.struct("d", "heard", "moved", "k"))
@@ -235,9 +236,9 @@ def map_values(rows: DataFrame, terms: DataFrame) -> DataFrame:
     plain = plain_udf(simplified_table(spark))
     canonical = terms.select("field", F.col("term").alias("value"))
     typed = typed_values(rows).join(F.broadcast(canonical), ["field", "value"], "left_anti")
-    typed = cut_lineage(typed, eager=False)
-    distinct = cut_lineage(typed.groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("plain", plain("value")), eager=False)
-    names = cut_lineage(reference_names(terms), eager=False)
+    typed = cut_lineage(typed)
+    distinct = cut_lineage(typed.groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("plain", plain("value")))
+    names = cut_lineage(reference_names(terms))
     additions = learned_additions(distinct.select("field", "plain").distinct(), names)
     found = lookup(distinct, names, additions, spark)
     meant = distinct.join(found, ["field", "plain"]).select("field", "value", "term_id")

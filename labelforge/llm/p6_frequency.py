@@ -38,4 +38,6 @@ def term_frequencies(records: DataFrame, rare: int = RARE_RECORDS, common: float
     sums = counted.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.n").cast("bigint").alias("occurrences"), F.count("*").alias("records"))
     total = records.agg(F.count("*").alias("all_records"))
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * F.col("all_records"), "common")
-    return sums.crossJoin(F.broadcast(total)).select("term", "occurrences", "records", mark.alias("mark"))
+    # one row, so that the share needs no second pass over the terms
+    one = F.lit(1).alias("one")
+    return sums.select("*", one).join(F.broadcast(total.select("*", one)), "one").select("term", "occurrences", "records", mark.alias("mark"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import p1_lookalikes, p2_canonical, p6_frequency
+from labelforge.llm import p1_lookalikes, p2_canonical, p5_cutoff, p6_frequency
 from labelforge.session import table
 
 
@@ -50,4 +50,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_terms(spark, sf_dir).where("mark is not null").select("term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p6_found, p6_terms)}
+def _cut_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pred = table(spark, sf_dir, "predictions").select(F.col("pred_id").alias("key"), "source", F.col("input").alias("prompt"), "response", "gold", "parsed")
+    labels = pred.select(F.col("gold").alias("label")).union(pred.select("parsed"))
+    return pred, p5_cutoff.cut_keys(pred.select("key", "source", "prompt", "response"), labels)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_predictions(spark, sf_dir)[1].select(F.col("key").alias("pred_id"))
+
+
+def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers, cut answers and their share per source (null is a source of its own)."""
+    pred, cut = _cut_predictions(spark, sf_dir)
+    per_source = pred.select("key", "source").join(cut.withColumn("cut", F.lit(1)), "key", "left").groupBy("source").agg(F.count("*").alias("answers"), F.count("cut").alias("cut"))
+    return per_source.withColumn("share", F.round(F.col("cut") / F.col("answers"), 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p5_found, p5_share, p6_found, p6_terms)}
