@@ -1,7 +1,7 @@
-"""Session helpers: a tuned local session for tests, and durable checkpoints."""
+"""Session helpers: a tuned local session for tests, and written intermediate tables."""
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,17 +20,29 @@ def local_session(cpus: str = "8", shuffle: int = 8, memory: str = "8g") -> Spar
     )
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint to the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written intermediate tables, visible to all executors.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is
-    set (a local run) a temporary folder is used.
+    It is the session's ``spark.checkpoint.dir``. Only where none is set (a
+    local run) a temporary folder is made, once per session.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = "file://" + tempfile.mkdtemp(prefix="labelforge-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    A written table survives the loss of executors, is computed once (a
+    checkpoint without a cache computes its plan twice) and is read by column.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint(eager)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
