@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import p1_lookalikes, p2_canonical, p5_cutoff, p6_frequency
+from labelforge.llm import p1_lookalikes, p2_canonical, p3_defects, p5_cutoff, p6_frequency
 from labelforge.session import table
 
 
@@ -67,4 +67,15 @@ def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_source.withColumn("share", F.round(F.col("cut") / F.col("answers"), 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p5_found, p5_share, p6_found, p6_terms)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred, pairs = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "dpo_train_2")
+    labels = pred.select(F.col("gold").alias("label")).union(pred.select("parsed")).union(pairs.select("chosen.value"))
+    return p3_defects.defective(p3_defects.answers_of(pred, pairs), labels)
+
+
+def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective records by table and defect."""
+    return p3_found(spark, sf_dir).groupBy("table_name", "defect").agg(F.count("*").alias("records"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p3_found, p3_share, p5_found, p5_share, p6_found, p6_terms)}
