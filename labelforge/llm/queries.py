@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import p1_lookalikes, p2_canonical, p3_defects, p5_cutoff, p6_frequency
+from labelforge.llm import p1_lookalikes, p2_canonical, p3_defects, p4_overlap, p5_cutoff, p6_frequency
 from labelforge.session import table
 
 
@@ -78,4 +78,13 @@ def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_found(spark, sf_dir).groupBy("table_name", "defect").agg(F.count("*").alias("records"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p3_found, p3_share, p5_found, p5_share, p6_found, p6_terms)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_overlap.overlaps(table(spark, sf_dir, "sft_train").select("row_id", "input"), table(spark, sf_dir, "sft_valid").select("row_id", "input"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split and source."""
+    return p4_overlap.report(p4_found(spark, sf_dir), table(spark, sf_dir, "sft_valid"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p3_found, p3_share, p4_found, p4_report, p5_found, p5_share, p6_found, p6_terms)}
