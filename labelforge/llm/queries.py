@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import p1_lookalikes, p2_canonical, p3_defects, p4_overlap, p5_cutoff, p6_frequency
+from labelforge.llm import p1_lookalikes, p2_canonical, p3_defects, p4_overlap, p5_cutoff, p6_frequency, p7_packing, p8_mixing, p9_language
 from labelforge.session import table
 
 
@@ -87,4 +87,38 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_overlap.report(p4_found(spark, sf_dir), table(spark, sf_dir, "sft_valid"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p3_found, p3_share, p4_found, p4_report, p5_found, p5_share, p6_found, p6_terms)}
+def p7_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which container every document, or part of one, lies in."""
+    return p7_packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_packing.containers(p7_contents(spark, sf_dir))
+
+
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least number that could do, and the mean fill."""
+    filled = p7_containers(spark, sf_dir).groupBy("container", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("used_tokens").alias("tokens"))
+    return filled.withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return p8_mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return p8_mixing.shares(*p8_mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document or stretch."""
+    return p9_language.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_language.corrections(p9_languages(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_inputs, p1_symptoms, p2_found, p2_mapped, p2_unmatched, p3_found, p3_share, p4_found, p4_report, p5_found, p5_share, p6_found, p6_terms, p7_contents, p7_containers, p7_summary, p8_mix, p8_shares, p9_found, p9_languages)}
