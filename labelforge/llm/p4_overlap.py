@@ -37,12 +37,12 @@ BITS = 18
 #: Prefix shingles that a pair must share.
 SHARED = 6
 #: Evaluation texts in an index block, and training texts that probe it in one task.
-INDEX_BLOCK, PROBE_BLOCK = 50_000, 25_000
+INDEX_BLOCK, PROBE_BLOCK = 50_000, 50_000
 #: Copies over which the rows of a hot text are spread.
 SALTS = 16
 
 _POS = 13  # bits of a position; farther positions share the last one, which only weakens the filter
-_BINS = 64
+_BINS = 32
 _CELLS = 2_000_000  # characters of a batch, padding included
 
 
@@ -143,7 +143,7 @@ def _featured(frames: Iterator[pd.DataFrame], rank: np.ndarray) -> Iterator[pd.D
             ends = np.cumsum(np.bincount(row, minlength=len(own)))
             raw = keys.tobytes()
             part = frame.iloc[own]
-            codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % 61 for t in part["norm"]]
+            codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % 31 for t in part["norm"]]
             bags = [np.minimum(np.bincount(c, minlength=_BINS), 255).astype(np.uint8).tobytes() for c in codes]
             yield pd.DataFrame({"eval": part["eval"].to_numpy(), "nid": part["nid"].to_numpy(), "n": lengths.astype(np.int32), "shared": shared.astype(np.int32), "prefix": [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], "bag": bags})
 
@@ -208,22 +208,21 @@ def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def normalised(rows: DataFrame, id_col: str, column: str) -> DataFrame:
-    """``row_id, norm, nid`` of rows with something to compare; equal inputs are brought to their form once."""
-    texts = rows.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("norm", _letters("text")).where("norm <> ''")
-    return rows.select(F.col(id_col).alias("row_id"), F.col(column).alias("text")).join(texts, "text").select("row_id", "norm", F.xxhash64("norm").alias("nid"))
+    """``row_id, norm, nid, check`` of rows with something to compare; two hashes stand for a text in joins."""
+    letters = rows.select(F.col(id_col).alias("row_id"), _letters(F.col(column)).alias("norm")).where("norm <> ''")
+    return letters.select("row_id", "norm", F.xxhash64("norm").alias("nid"), F.hash("norm").alias("check"))
 
 
-def near_texts(train: DataFrame, valid: DataFrame) -> DataFrame:
-    """Pairs ``train_norm, valid_norm`` of different or equal texts within the distance.
+def near_texts(texts: DataFrame) -> DataFrame:
+    """``t, t_check, v, v_check``: hashes of training and evaluation texts within the distance.
 
-    Both frames have distinct texts in ``norm`` and their hash in ``nid``. An
-    empty side gives no pairs.
+    ``texts`` has distinct ``eval, nid, check, norm``, where ``eval`` tells the
+    evaluation side. An empty side gives no pairs; equal texts are a pair.
     """
-    spark = train.sparkSession
-    both = cut_lineage(train.select(F.lit(False).alias("eval"), "nid", "norm").union(valid.select(F.lit(True).alias("eval"), "nid", "norm")))
-    rank = spark.sparkContext.broadcast(shingle_order(both))
-    features = both.mapInPandas(lambda frames: _featured(frames, rank.value), "eval boolean, nid bigint, n int, shared int, prefix binary, bag binary")
-    sizes = {r["eval"]: r["count"] for r in both.groupBy("eval").count().collect()}
+    spark = texts.sparkSession
+    rank = spark.sparkContext.broadcast(shingle_order(texts))
+    features = texts.select("eval", "nid", "norm").mapInPandas(lambda frames: _featured(frames, rank.value), "eval boolean, nid bigint, n int, shared int, prefix binary, bag binary")
+    sizes = {r["eval"]: r["count"] for r in texts.groupBy("eval").count().collect()}
     blocks = max(1, math.ceil(sizes.get(True, 0) / INDEX_BLOCK))
     probes = max(spark.sparkContext.defaultParallelism, math.ceil(sizes.get(False, 0) / PROBE_BLOCK))
     # cell = block * probes + probe: an evaluation text goes to all cells of its block, a training text to one of each block
@@ -231,10 +230,16 @@ def near_texts(train: DataFrame, valid: DataFrame) -> DataFrame:
     hashed = F.xxhash64("nid", F.lit("block"))
     cells = F.when(F.col("eval"), F.transform(every(probes), lambda p: F.pmod(hashed, F.lit(blocks)) * probes + p)).otherwise(F.transform(every(blocks), lambda b: b * probes + F.pmod(hashed, F.lit(probes))))
     spread = features.withColumn("cell", F.explode(cells.cast("array<int>"))).repartitionById(blocks * probes, "cell").sortWithinPartitions(F.desc("eval"))
-    found = spread.select("eval", "nid", "n", "shared", "prefix", "bag").mapInPandas(_joined, "t bigint, v bigint").distinct()
-    named = found.join(train.select(F.col("nid").alias("t"), F.col("norm").alias("train_norm")), "t").join(valid.select(F.col("nid").alias("v"), F.col("norm").alias("valid_norm")), "v")
-    most = F.floor(SHARE * F.greatest(F.length("train_norm"), F.length("valid_norm")) + 1e-9)
-    return named.where(F.levenshtein("train_norm", "valid_norm") <= most).select("train_norm", "valid_norm")
+    found = cut_lineage(spread.select("eval", "nid", "n", "shared", "prefix", "bag").mapInPandas(_joined, "t bigint, v bigint").distinct())
+
+    def named(side: str, own: bool) -> DataFrame:
+        # the few texts in pairs are fetched by their hash before the pairs meet them
+        wanted = found.select(F.col(side).alias("nid")).distinct()
+        return texts.where(F.col("eval") == own).join(wanted, "nid").select(F.col("nid").alias(side), F.col("check").alias(f"{side}_check"), F.col("norm").alias(f"{side}_norm"))
+
+    pairs = found.join(named("t", False), "t").join(named("v", True), "v")
+    most = F.floor(SHARE * F.greatest(F.length("t_norm"), F.length("v_norm")) + 1e-9)
+    return pairs.where(F.levenshtein("t_norm", "v_norm") <= most).select("t", "t_check", "v", "v_check")
 
 
 def overlaps(train: DataFrame, valid: DataFrame, column: str = "input", id_col: str = "row_id") -> DataFrame:
@@ -242,13 +247,14 @@ def overlaps(train: DataFrame, valid: DataFrame, column: str = "input", id_col:
 
     Null texts and texts without a letter or digit never overlap.
     """
-    t, v = cut_lineage(normalised(train, id_col, column)), cut_lineage(normalised(valid, id_col, column))
-    near = near_texts(t.select("nid", "norm").distinct(), v.select("nid", "norm").distinct())
-    salt = F.pmod(F.xxhash64("row_id"), F.lit(SALTS))
-    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = near.join(t.select(F.col("norm").alias("train_norm"), F.col("row_id").alias("train_row_id"), salt.alias("salt")), ["train_norm", "salt"]).select("train_row_id", "valid_norm")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(v.select(F.col("norm").alias("valid_norm"), F.col("row_id").alias("valid_row_id"), salt.alias("salt")), ["valid_norm", "salt"]).select("train_row_id", "valid_row_id")
+    both = normalised(train, id_col, column).withColumn("eval", F.lit(False)).union(normalised(valid, id_col, column).withColumn("eval", F.lit(True)))
+    rows = cut_lineage(both)
+    texts = cut_lineage(rows.select("eval", "nid", "check", "norm").distinct())
+    near = near_texts(texts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("salt")
+    side = lambda own, name: rows.where(F.col("eval") == own).select(F.col("nid").alias(name), F.col("check").alias(f"{name}_check"), F.col("row_id").alias(f"{name}_row"), salt)
+    left = near.join(side(False, "t"), ["t", "t_check", "salt"]).select("t_row", "v", "v_check", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return left.join(side(True, "v"), ["v", "v_check", "salt"]).select(F.col("t_row").alias("train_row_id"), F.col("v_row").alias("valid_row_id"))
 
 
 def report(pairs: DataFrame, valid: DataFrame) -> DataFrame:
