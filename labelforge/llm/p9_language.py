@@ -36,7 +36,7 @@ MARGIN = 0.04
 #: Sentences remembered by a task, as forums repeat themselves.
 MEMORY = 200_000
 
-_END = re.compile(r"[。！？!?…\n]+|\.(?=\s|$|[　-鿿가-힯])")
+_END = re.compile(r"[。！？!?…\n]+|\.(?=\s|$|[　-鿿가-힯])|(?<=[a-zß-ÿа-яё])\.(?=[A-ZÀ-ÞА-ЯЁ])")
 _ASIDE = re.compile(r"[（(][^（）()\n]{0,60}[）)]|“[^”\n]{0,40}”|「[^」\n]{0,40}」|\{[^{}]*\}|\[[^\[\]]*\]")
 _CJK = "　-鿿가-힯豈-﫿"
 
