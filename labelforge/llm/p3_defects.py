@@ -50,13 +50,23 @@ def _strings(value) -> list[str]:
     return []
 
 
+_SHOWN = re.compile(r"[A-Za-z0-9一-鿿]")
+
+
 def _visible(text: str) -> str:
+    if _SHOWN.search(text):
+        return text
     return "".join(c for c in text if not c.isspace() and unicodedata.category(c) not in ("Cf", "Cc", "Mn", "Zs"))
 
 
 def parts(text: str) -> tuple[str, list, str]:
     """An answer's body without shells, the JSON values in it, and its prose."""
     body = _SHELL.sub(" ", text).strip()
+    if body[:1] == "{" and body[-1:] == "}":
+        try:
+            return body, [json.loads(body)], ""
+        except ValueError:
+            pass
     values, prose, at = [], [], 0
     decoder = json.JSONDecoder(strict=False)
     for m in re.finditer(r"[{\[]|^\s*(?:\"|null)", body):
@@ -97,20 +107,15 @@ def is_copy(said: str, prompt: str) -> bool:
 _NAMES = re.compile(r"[A-Za-zÀ-ɏ]*[A-ZÀ-Þ0-9][\w\-]*|\b(?:mg|ml|cm|mm|kg|bpm|mmHg|min|h|vs|pH)\b")
 
 
+_HAN, _KANA, _LATIN = re.compile("[一-鿿㐀-䶿]"), re.compile("[ぁ-ヺ]"), re.compile("[A-Za-zÀ-ɏ]")
+_REST = re.compile("[一-鿿㐀-䶿ぁ-ヿ\x00-ɏ\u2000-\u206f\u3000-\u303f\uff00-\uffef]")
+
+
 def is_foreign(said: str) -> bool:
     """Whether the wording is not Chinese: another script, or Latin words beyond names and abbreviations."""
-    han = kana = latin = other = 0
-    names = _NAMES.sub(" ", said)
-    for c in names:
-        if "一" <= c <= "鿿" or "㐀" <= c <= "䶿":
-            han += 1
-        elif "぀" <= c <= "ヿ" and c not in "・ー":
-            kana += 1
-        elif c.isalpha():
-            if c < "ɐ":
-                latin += 1
-            elif not "⺀" <= c <= "⿟":
-                other += 1
+    names = _NAMES.sub(" ", said) if _LATIN.search(said) else said
+    han, kana, latin = len(_HAN.findall(names)), len(_KANA.findall(names)), len(_LATIN.findall(names))
+    other = sum(c.isalpha() and c > "ɐ" and not "⺀" <= c <= "⿟" for c in _REST.sub("", names))
     if kana >= 2 and kana * 8 > han:
         return True
     if other > 2 and other > han:

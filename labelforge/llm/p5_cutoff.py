@@ -12,14 +12,15 @@ of the source (its baseline of unterminated answers). All contexts are counted
 over all texts.
 """
 
+import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.functions import jsonx
 from labelforge.session import cut_lineage
 
 # Marks that end a sentence, and pairs of marks in prose.
@@ -92,6 +93,13 @@ def scan(text: str | None, prompt: str | None = None) -> tuple[int, str, str, st
     body = text.rstrip()
     if not body:
         return WHOLE, "", "", "", ""
+    if body[0] == "{" and body[-1] == "}":
+        # the common case, which needs no automaton
+        try:
+            json.loads(body)
+            return WHOLE, "", "", "", ""
+        except ValueError:
+            pass
     if body[-1] == "�" or 0xD800 <= ord(body[-1]) < 0xE000 or body.count("```") % 2 or _CONTROL_CUT.search(body):
         return CUT, "", "", "", ""
     body = _CONTROL.sub("", body)
@@ -120,40 +128,81 @@ def _scan(text: pd.Series, prompt: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([scan(t, p) for t, p in zip(text, prompt, strict=True)], columns=["verdict", *_PARTS])
 
 
-def _closed_parts(text: Column) -> Column:
-    """``start, clause, end`` of each segment of a text, its JSON taken out."""
-    prose = F.regexp_replace(text, r"(?s)\{.*\}", "\n")
-    parts = F.filter(F.split(F.concat(prose, F.lit("\n")), _SPLIT), lambda s: F.length(s) > 1)
-    clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, _LABEL, "")))
-    return F.transform(clean, lambda s: F.struct(F.substring(s, 1, START).alias("start"), F.substring(F.trim(F.regexp_extract(s, "[^，,]*$", 0)), 1, START).alias("clause"), F.substring(s, -END, END).alias("end")))
-
-
-_PLAIN_OBJECT = r"^\s*\{[^{}]*\}\s*$"
-
-
-def terminal_contexts(texts: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What closed segments look like: distinct ``start, end`` and ``clause, end``.
-
-    The last segment of an answer counts only if a terminator closes it; the
-    one of a prompt always counts, as prompts are no answers and were not cut.
-    A last clause counts only if no prompt holds it: answers quote clauses of
-    their prompts in the middle of sentences.
-    """
-    closed = F.regexp_replace(F.col("response"), r"[^。！？!?…\n；;}.]*$", "")
-    answers = texts.where(~F.col("response").rlike(_PLAIN_OBJECT)).select(F.explode(_closed_parts(closed)).alias("s")).select("s.*").distinct()
-    asked = prompts.select(F.explode(_closed_parts(F.col("prompt"))).alias("s")).select("s.*").distinct()
-    clauses = prompts.select(F.explode(F.split("prompt", "[，,。！？!?；;：:（）\n]")).alias("c")).select(F.substring(F.trim("c"), 1, START).alias("clause"), F.substring("c", -END, END).alias("end")).distinct()
-    segments = answers.union(asked).select("start", "end").distinct()
-    return segments, answers.select("clause", "end").distinct().join(clauses, ["clause", "end"], "left_anti")
-
-
-def known_items(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct list items: symptom strings of whole labels and what a list mark or full stop follows in prose."""
-    items = jsonx.array_items(F.try_element_at(jsonx.object_map(F.col("label")), F.lit("symptoms")))
-    strings = labels.distinct().select(F.explode(items).alias("v")).select(jsonx.string_value(F.col("v")).alias("item")).where("item is not null")
-    listed = texts.where(F.contains("response", F.lit("、")) & ~F.col("response").rlike(_PLAIN_OBJECT))
-    prose = listed.select(F.explode(F.expr(r"regexp_extract_all(response, r'([^、，。：；]+)(?=[、。])', 1)")).alias("item"))
-    return strings.union(prose).distinct()
+_CLOSED = re.compile(r"[。！？!?…\n；;}.](?=[^。！？!?…\n；;}.]*$)")
+_OBJECT = re.compile(r"\{.*\}", re.S)
+_CLAUSES = re.compile(r"[，,。！？!?；;：:（）\n]")
+_ITEMS = re.compile(r"([^、，。：；]+)(?=[、。])")
+_SPLITTER, _LABELLED = re.compile(_SPLIT), re.compile(_LABEL)
+
+#: Contexts that a task keeps to send each only once; past that it sends some again.
+KEPT = 500_000
+
+
+def _plain_object(text: str) -> bool:
+    """Whether a text is one flat object, perhaps fenced, without prose."""
+    body = text.strip("`json \n\t\r")
+    return body[:1] == "{" and body[-1:] == "}" and body.count("{") == 1
+
+
+def _closed_parts(text: str) -> Iterator[tuple[str, str, str]]:
+    """Start, last clause's start and end of each segment of a text, its JSON taken out."""
+    for segment in _SPLITTER.split(_OBJECT.sub("\n", text) + "\n"):
+        if len(segment) > 1 and (clean := _LABELLED.sub("", segment).strip()):
+            yield clean[:START], re.split("[，,]", clean)[-1].strip()[:START], clean[-END:]
+
+
+def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``kind, start, clause, end``: a (closed segment of an answer), p (segment of a prompt), c (clause of a prompt), i (list item in prose)."""
+    sent: set[tuple] = set()
+    prompts: set[int] = set()
+    for frame in frames:
+        new = []
+
+        def add(key: tuple) -> None:
+            if key not in sent:
+                if len(sent) >= KEPT:
+                    sent.clear()
+                sent.add(key)
+                new.append(key)
+
+        for response, prompt in zip(frame["response"], frame["prompt"], strict=True):
+            if response and not _plain_object(response):
+                ends = _CLOSED.search(response)
+                if ends:
+                    for start, clause, end in _closed_parts(response[: ends.end()]):
+                        add(("a", start, clause, end))
+                if "、" in response:
+                    for item in _ITEMS.findall(response):
+                        add(("i", item.strip(), "", ""))
+            if prompt and hash(prompt) not in prompts:
+                if len(prompts) >= KEPT:
+                    prompts.clear()
+                prompts.add(hash(prompt))
+                for start, _, end in _closed_parts(prompt):
+                    add(("p", start, "", end))
+                for clause in _CLAUSES.split(prompt):
+                    if clause:
+                        add(("c", "", clause.strip()[:START], clause[-END:]))
+        yield pd.DataFrame(new, columns=["kind", "start", "clause", "end"])
+
+
+def _label_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Symptom strings of whole label objects, each once per task."""
+    sent: set[str] = set()
+    for frame in frames:
+        new = []
+        for label in frame["label"]:
+            try:
+                value = json.loads(label) if label else None
+            except ValueError:
+                continue
+            for item in value.get("symptoms") or [] if isinstance(value, dict) else []:
+                if isinstance(item, str) and item not in sent:
+                    if len(sent) >= KEPT:
+                        sent.clear()
+                    sent.add(item)
+                    new.append(item.strip())
+        yield pd.DataFrame({"item": new}, dtype=object)
 
 
 def cut_keys(texts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,13 +211,20 @@ def cut_keys(texts: DataFrame, labels: DataFrame) -> DataFrame:
     ``key`` identifies a row; repeated rows are judged alike, each on its own.
     A null prompt or source is allowed. ``labels`` has whole label objects as
     text in a column ``label``; an empty frame is allowed.
+
+    An answer's last segment is a context only if a terminator closes it; a
+    prompt's always is, as prompts are no answers and were not cut. The last
+    clause of an answer counts only if no prompt holds it: answers quote
+    clauses of their prompts in the middle of sentences.
     """
-    scanned = cut_lineage(texts.select("key", "source", _scan("response", "prompt").alias("s")).select("key", "source", "s.*"))
-    segments, clauses = terminal_contexts(texts, texts.select("prompt").distinct())
-    items = known_items(texts, labels)
-    sizes = texts.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("answers"))
+    scanned = cut_lineage(texts.select("key", "source", _scan("response", "prompt").alias("s")).select("key", "source", "s.*").where(F.col("verdict") != WHOLE))
     # most texts are settled by the automaton; only the rest meets the contexts
     ask = scanned.where(F.col("verdict") == ASK)
+    seen = cut_lineage(texts.select("response", "prompt").mapInPandas(_contexts, "kind string, start string, clause string, end string").distinct())
+    segments = seen.where("kind in ('a', 'p')").select("start", "end").distinct()
+    clauses = seen.where("kind = 'a'").select("clause", "end").distinct().join(seen.where("kind = 'c'").select("clause", "end"), ["clause", "end"], "left_anti")
+    items = labels.select("label").mapInPandas(_label_items, "item string").union(seen.where("kind = 'i'").select("start")).distinct()
+    sizes = texts.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("answers"))
     habits = ask.groupBy("source", "end").agg(F.count("*").alias("n"))
     habits = habits.join(sizes, habits["source"].eqNullSafe(sizes["of"])).where((F.col("n") >= HABIT_COUNT) & (F.col("n") >= HABIT_SHARE * F.col("answers"))).select("end").distinct()
     doubtful = ask.join(segments, ["start", "end"], "left_anti").join(clauses, ["clause", "end"], "left_anti").join(habits, "end", "left_anti").join(items, "item", "left_anti")
