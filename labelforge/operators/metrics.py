@@ -116,7 +116,8 @@ def paired(rows: DataFrame, base: str, candidate: str) -> DataFrame:
     once = first_wins(rows, ["run_name", "idx"], "pred_id")
     e2e = F.col("dept_ok") & F.col("urgency_ok")
     side = lambda run, x: once.where(F.col("run_name") == run).select("idx", F.col("input").alias(f"input_{x}"), e2e.alias(f"ok_{x}"), F.col("pred_label").alias(f"urgency_{x}"), F.col("urgency_ok").alias(f"uok_{x}"), F.col("gold_urgency").alias(f"gold_{x}"))
-    return side(base, "a").join(side(candidate, "b"), "idx")
+    # Spark takes what was parsed from VARIANT for much smaller than it is; neither side may be broadcast
+    return side(base, "a").hint("merge").join(side(candidate, "b").hint("merge"), "idx")
 
 
 def comparison(pairs: DataFrame) -> DataFrame:
