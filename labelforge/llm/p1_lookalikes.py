@@ -92,12 +92,17 @@ def string_symptoms(rows: DataFrame, id_col: str, output: str = "output") -> Dat
 
 
 def terms_looked_like(rows: DataFrame, terms: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """``row_id, match_id``: rows with a symptom that looks like a term without being it."""
-    symptoms = string_symptoms(rows, id_col)
+    """``row_id, match_id``: rows with a symptom that looks like a term without being it.
+
+    ``terms`` is a fixed list of a few hundred names, which is broadcast.
+    """
     names = terms.where("field = 'symptoms'").select("term_id", "term")
+    # what is a term already is no case, which also takes the hottest values out
+    symptoms = string_symptoms(rows, id_col).join(F.broadcast(names), F.col("symptom") == names["term"], "left_anti")
     members = class_members(symptoms.select(F.col("symptom").alias("value")).union(names.select("term")))
     named = names.join(members, names["term"] == members["value"]).select("term_id", "term", "canonical")
     # ref_terms is a fixed list, so the joined names are as few
     like = members.select("value", "canonical").join(F.broadcast(named), "canonical").where("value <> term").select("value", "term_id")
-    return symptoms.join(like, symptoms["symptom"] == like["value"]).select(F.col("id").alias("row_id"), F.col("term_id").alias("match_id")).distinct()
+    # Spark takes what was parsed from VARIANT for much smaller than it is; it may not be broadcast
+    return symptoms.hint("merge").join(like.hint("merge"), symptoms["symptom"] == like["value"]).select(F.col("id").alias("row_id"), F.col("term_id").alias("match_id")).distinct()
 
