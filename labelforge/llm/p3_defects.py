@@ -160,8 +160,10 @@ def defective(answers: DataFrame, labels: DataFrame) -> DataFrame:
     judged = cut_lineage(keyed.select("key", _defect("response", "prompt").alias("d")).where("d <> ''"))
     settled = judged.where("d <> 'foreign'")
     cut = p5_cutoff.cut_keys(keyed, labels)
-    truncated = cut.join(settled, "key", "left_anti").select("key", F.lit("truncated").alias("defect"))
-    foreign = judged.where("d = 'foreign'").join(cut, "key", "left_anti").select("key", F.lit("other_language").alias("defect"))
+    # an unknown ending says little in another language, an open structure says all
+    foreign = judged.where("d = 'foreign'").join(cut.where("structural"), "key", "left_anti")
+    truncated = cut.join(settled.select("key").union(foreign.select("key")), "key", "left_anti").select("key", F.lit("truncated").alias("defect"))
+    foreign = foreign.select("key", F.lit("other_language").alias("defect"))
     return settled.select("key", F.col("d").alias("defect")).union(foreign).union(truncated).select("key.table_name", "key.record_id", "defect")
 
 

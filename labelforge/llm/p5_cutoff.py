@@ -93,8 +93,8 @@ def scan(text: str | None, prompt: str | None = None) -> tuple[int, str, str, st
     body = text.rstrip()
     if not body:
         return WHOLE, "", "", "", ""
-    if body[0] == "{" and body[-1] == "}":
-        # the common case, which needs no automaton
+    if body[0] in "{[\"n":
+        # the common case, a whole JSON value, needs no automaton
         try:
             json.loads(body)
             return WHOLE, "", "", "", ""
@@ -206,7 +206,9 @@ def _label_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def cut_keys(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """The keys of cut responses among ``texts`` (key, source, prompt, response).
+    """``key, structural`` of cut responses among ``texts`` (key, source, prompt, response).
+
+    ``structural`` tells whether something was left open, or only the ending is unknown.
 
     ``key`` identifies a row; repeated rows are judged alike, each on its own.
     A null prompt or source is allowed. ``labels`` has whole label objects as
@@ -228,4 +230,4 @@ def cut_keys(texts: DataFrame, labels: DataFrame) -> DataFrame:
     habits = ask.groupBy("source", "end").agg(F.count("*").alias("n"))
     habits = habits.join(sizes, habits["source"].eqNullSafe(sizes["of"])).where((F.col("n") >= HABIT_COUNT) & (F.col("n") >= HABIT_SHARE * F.col("answers"))).select("end").distinct()
     doubtful = ask.join(segments, ["start", "end"], "left_anti").join(clauses, ["clause", "end"], "left_anti").join(habits, "end", "left_anti").join(items, "item", "left_anti")
-    return scanned.where(F.col("verdict") == CUT).select("key").union(doubtful.select("key"))
+    return scanned.where(F.col("verdict") == CUT).select("key", F.lit(True).alias("structural")).union(doubtful.select("key", F.lit(False)))

@@ -33,6 +33,8 @@ NAMES = {
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 150, 3000, 48_000
 #: The runner-up's encoding must be larger by this part of the smallest.
 MARGIN = 0.04
+#: A sentence that says less than this (see :func:`_weight`) starts no stretch of its own.
+LEAST_WEIGHT = 16
 #: Sentences remembered by a task, as forums repeat themselves.
 MEMORY = 200_000
 
@@ -126,15 +128,14 @@ class Classifier:
             self.known[wording] = self._decide(wording)
         return self.known[wording]
 
-    def _decide(self, wording: str) -> tuple[str | None, float]:
-        if _weight(wording) < 8 or not self.encoders:
+    def _decide(self, wording: str, least: int = LEAST_WEIGHT, margin: float = MARGIN) -> tuple[str | None, float]:
+        if _weight(wording) < least or not self.encoders:
             return None, 0.0
         data = wording.encode("utf-8", "ignore")
         ranked = sorted((max(1, len(e.compress(data)) - 8), lang) for lang, e in self.encoders.items())
         if len(ranked) == 1:
             return ranked[0][1], 0.5
-        margin = ranked[1][0] / ranked[0][0] - 1
-        return (ranked[0][1] if margin >= MARGIN else None), 1 - ranked[0][0] / ranked[1][0]
+        return (ranked[0][1] if ranked[1][0] >= (1 + margin) * ranked[0][0] else None), 1 - ranked[0][0] / ranked[1][0]
 
     def stretches(self, text: str) -> list[tuple[str, float, int, int]]:
         """Language, confidence and place of each longest run of sentences in one language."""
@@ -156,6 +157,10 @@ class Classifier:
             else:
                 runs.append([lang, sure * weight, weight, start if pending is None else pending, end])
                 pending = None
+        if not runs:
+            # nothing but short or doubtful sentences: they are judged together
+            lang, sure = self._decide(" ".join(w for _, _, w in sentences(text)), least=2, margin=0.0)
+            return [(lang, sure, 0, len(text))] if lang else []
         return [(lang, total / weight, start, end) for lang, total, weight, start, end in runs]
 
 

@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers, cut answers and their share per source (null is a source of its own)."""
     pred, cut = _cut_predictions(spark, sf_dir)
-    per_source = pred.select("key", "source").join(cut.withColumn("cut", F.lit(1)), "key", "left").groupBy("source").agg(F.count("*").alias("answers"), F.count("cut").alias("cut"))
+    per_source = pred.select("key", "source").join(cut.select("key", F.lit(1).alias("cut")), "key", "left").groupBy("source").agg(F.count("*").alias("answers"), F.count("cut").alias("cut"))
     return per_source.withColumn("share", F.round(F.col("cut") / F.col("answers"), 6))
 
 
