@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelforge import constants
 
@@ -29,5 +30,4 @@ def with_answers(rows: DataFrame, predict: Callable[[pd.Series], pd.Series], col
         for frame in frames:
             yield frame.assign(response=predict(frame[column]))
 
-    schema = rows.schema.add("response", "string")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("response", T.StringType())]))
