@@ -6,7 +6,7 @@ in a sentinel makes acceptance exact with a single parse: the sentinel is the
 second element only if the text is one complete JSON value.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SENTINEL = "~label-end~"
@@ -63,3 +63,13 @@ def string_value(v: Column) -> Column:
 def array_items(v: Column) -> Column:
     """``array<variant>`` of a JSON array, else null."""
     return F.try_variant_get(v, "$", "array<variant>")
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, whatever is later done with them.
+
+    Spark pushes a filter below the projection it reads and puts the whole
+    expression into it, so an expensive one runs again for each mention. A
+    generator of one row is a border that no filter on its columns crosses.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -1,10 +1,10 @@
 """Column functions over lists of symptoms. Null lists count as empty unless said otherwise."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge import constants
-from labelforge.functions.jsonx import is_string, string_value, uni_strip
+from labelforge.functions.jsonx import is_string, settled, string_value, uni_strip
 
 
 def literal_map(values: dict) -> Column:
@@ -58,11 +58,18 @@ def greedy_hits(gold: Column, pred: Column) -> Column:
     return F.aggregate(pred, start, step, lambda acc: acc["hits"])
 
 
-def worded_scores(gold: Column, pred: Column) -> tuple[Column, Column]:
-    """F1 and Jaccard of distinct wordings matched one to one by :func:`greedy_hits`."""
-    g, p = F.array_distinct(worded(gold)), F.array_distinct(worded(pred))
-    hits, ng, np_ = greedy_hits(g, p).cast("double"), F.size(g), F.size(p)
+def with_worded_scores(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """Adds ``worded_f1, worded_jaccard`` of distinct wordings matched by :func:`greedy_hits`.
+
+    Two empty lists score 1, one empty list 0. ``gold_worded`` and
+    ``pred_worded`` keep the wordings with repeats.
+    """
+    lists = settled(df, gold_worded=worded(F.col(gold)), pred_worded=worded(F.col(pred)))
+    lists = settled(lists, __g=F.array_distinct("gold_worded"), __p=F.array_distinct("pred_worded"))
+    counted = settled(lists, __hits=greedy_hits(F.col("__g"), F.col("__p")).cast("double"))
+    hits, ng, np_ = F.col("__hits"), F.size("__g"), F.size("__p")
     both = (ng == 0) & (np_ == 0)
     precision, recall = F.try_divide(hits, np_), F.try_divide(hits, ng)
     f1 = F.when(both, 1.0).otherwise(F.coalesce(F.try_divide(2.0 * precision * recall, precision + recall), F.lit(0.0)))
-    return f1, F.when(both, 1.0).otherwise(F.coalesce(F.try_divide(hits, ng + np_ - hits), F.lit(0.0)))
+    near = F.when(both, 1.0).otherwise(F.coalesce(F.try_divide(hits, ng + np_ - hits), F.lit(0.0)))
+    return counted.withColumn("worded_f1", f1).withColumn("worded_jaccard", near).drop("__g", "__p", "__hits")

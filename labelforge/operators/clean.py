@@ -18,25 +18,35 @@ def normalise(rows: DataFrame, text: str = "output", asked: str = "input") -> Da
     Rules apply in order and the first that fails names the reason; a rename
     is recorded even if a later rule drops the row. Extra keys are allowed.
     """
-    o = rows.withColumn("clean_input", jsonx.uni_strip(F.col(asked))).withColumn("__o", gate.parsed(F.col(text)))
     at = lambda k: F.try_element_at("__o", F.lit(k))
-    has = lambda k: F.array_contains(F.map_keys("__o"), k)
-    o = o.withColumn("typed", jsonx.uni_strip(jsonx.string_value(at("department")))).withColumn("clean_urgency", jsonx.uni_strip(jsonx.string_value(at("urgency")))).withColumn("clean_symptoms", schema_symptoms(jsonx.array_items(at("symptoms"))))
-    o = o.withColumn("clean_department", F.coalesce(F.try_element_at(literal_map(constants.RENAMED_DEPARTMENTS), F.col("typed")), F.col("typed")))
-    readable = F.col("clean_input").isNotNull() & (F.col("clean_input") != "") & F.col("__o").isNotNull() & has("department") & has("urgency") & has("symptoms")
-    o = o.withColumn("rename", F.when(readable & (F.col("typed") != F.col("clean_department")), F.concat(F.lit("map_department:"), F.col("typed"), F.lit("->"), F.col("clean_department"))))
+    has = lambda k: F.coalesce(F.array_contains(F.map_keys("__o"), k), F.lit(False))
+    o = rows.withColumn("__o", gate.parsed(F.col(text)))
+    o = jsonx.settled(
+        o,
+        clean_input=jsonx.uni_strip(F.col(asked)),
+        __object=F.col("__o").isNotNull(),
+        __keys=has("department") & has("urgency") & has("symptoms"),
+        __typed=jsonx.uni_strip(jsonx.string_value(at("department"))),
+        clean_urgency=jsonx.uni_strip(jsonx.string_value(at("urgency"))),
+        clean_symptoms=schema_symptoms(jsonx.array_items(at("symptoms"))),
+    )
+    typed = F.col("__typed")
+    o = jsonx.settled(o, clean_department=F.coalesce(F.try_element_at(literal_map(constants.RENAMED_DEPARTMENTS), typed), typed))
+    blank = F.coalesce(F.col("clean_input"), F.lit("")) == ""
     why = (
-        F.when(F.coalesce(F.col("clean_input"), F.lit("")) == "", "drop_bad_input")
-        .when(F.col("__o").isNull(), "drop_bad_json")
-        .when(~(has("department") & has("urgency") & has("symptoms")), "drop_missing_keys")
-        .when(F.col("typed").isNull(), "drop_department_not_str")
+        F.when(blank, "drop_bad_input")
+        .when(~F.col("__object"), "drop_bad_json")
+        .when(~F.col("__keys"), "drop_missing_keys")
+        .when(typed.isNull(), "drop_department_not_str")
         .when(F.col("clean_department").isin(constants.DROPPED_DEPARTMENTS), F.concat(F.lit("drop_department:"), F.col("clean_department")))
         .when(~F.col("clean_department").isin(constants.DEPARTMENTS), F.concat(F.lit("drop_unknown_department:"), F.col("clean_department")))
         .when(~F.coalesce(F.col("clean_urgency").isin(constants.URGENCIES), F.lit(False)), "drop_bad_urgency")
         .when(F.col("clean_symptoms").isNull(), "drop_bad_symptoms")
     )
-    o = o.withColumn("drop_reason", why)
-    return o.withColumn("clean_output", F.when(F.col("drop_reason").isNull(), gate.compact(F.col("clean_department"), F.col("clean_urgency"), F.col("clean_symptoms")))).drop("__o", "typed")
+    renamed = F.when(~blank & F.col("__keys") & (typed != F.col("clean_department")), F.concat(F.lit("map_department:"), typed, F.lit("->"), F.col("clean_department")))
+    o = jsonx.settled(o, drop_reason=why, rename=renamed)
+    output = F.when(F.col("drop_reason").isNull(), gate.compact(F.col("clean_department"), F.col("clean_urgency"), F.col("clean_symptoms")))
+    return jsonx.settled(o, clean_output=output).drop("__o", "__object", "__keys", "__typed")
 
 
 def in_order(raw: DataFrame, files: list[str] = constants.RAW_FILES) -> DataFrame:

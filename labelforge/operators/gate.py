@@ -46,16 +46,17 @@ def with_label(df: DataFrame, text: str, name: str, mode: str = "full") -> DataF
     The parts are null unless the label is valid. The parsed object itself is
     an intermediate column, so that it is read once.
     """
-    read = df.withColumn(f"__{name}", parsed(F.col(text), mode))
-    read = read.withColumn(f"{name}_reason", reason(F.col(f"__{name}")))
-    ok, obj = F.col(f"{name}_reason") == "ok", F.col(f"__{name}")
-    return (
-        read.withColumn(f"{name}_department", F.when(ok, jsonx.string_value(F.try_element_at(obj, F.lit("department")))))
-        .withColumn(f"{name}_urgency", F.when(ok, jsonx.string_value(F.try_element_at(obj, F.lit("urgency")))))
-        .withColumn(f"{name}_symptoms", F.when(ok, strings(jsonx.array_items(F.try_element_at(obj, F.lit("symptoms"))))))
-        .withColumn(f"{name}_parsed", obj.isNotNull())
-        .drop(f"__{name}")
-    )
+    read = df.withColumn("__obj", parsed(F.col(text), mode))
+    read = jsonx.settled(read, **{f"{name}_reason": reason(F.col("__obj"))})
+    ok, obj = F.col(f"{name}_reason") == "ok", F.col("__obj")
+    at = lambda k: F.try_element_at(obj, F.lit(k))
+    parts = {
+        f"{name}_department": F.when(ok, jsonx.string_value(at("department"))),
+        f"{name}_urgency": F.when(ok, jsonx.string_value(at("urgency"))),
+        f"{name}_symptoms": F.when(ok, strings(jsonx.array_items(at("symptoms")))),
+        f"{name}_parsed": obj.isNotNull(),
+    }
+    return jsonx.settled(read, **parts).drop("__obj")
 
 
 def compact(department: Column, urgency: Column, symptoms: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge import constants
-from labelforge.functions.symptoms import jaccard, worded_scores
+from labelforge.functions.symptoms import jaccard, with_worded_scores
 from labelforge.operators import gate
 from labelforge.operators.clean import first_wins
 
@@ -19,14 +19,14 @@ def scored(predictions: DataFrame, answer: str = "response", gold: str = "gold",
     """
     both = gate.with_label(gate.with_label(predictions, gold, "gold"), answer, "pred", mode)
     ok = F.col("pred_reason") == "ok"
-    f1, near = worded_scores(F.col("gold_symptoms"), F.col("pred_symptoms"))
+    both = with_worded_scores(both, "gold_symptoms", "pred_symptoms")
     return (
         both.withColumn("dept_ok", ok & (F.col("gold_department") == F.col("pred_department")))
         .withColumn("urgency_ok", ok & (F.col("gold_urgency") == F.col("pred_urgency")))
         .withColumn("pred_label", F.coalesce("pred_urgency", F.lit(BAD)))
         .withColumn("hard_jaccard", F.when(ok, jaccard(F.col("gold_symptoms"), F.col("pred_symptoms"))))
-        .withColumn("worded_f1", F.when(ok, f1))
-        .withColumn("worded_jaccard", F.when(ok, near))
+        .withColumn("worded_f1", F.when(ok, F.col("worded_f1")))
+        .withColumn("worded_jaccard", F.when(ok, F.col("worded_jaccard")))
     )
 
 

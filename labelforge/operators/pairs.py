@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge import constants
+from labelforge.functions.jsonx import settled
 from labelforge.functions.symptoms import jaccard, literal_map
 from labelforge.operators import gate
 from labelforge.operators.clean import first_wins, hash_ranked
@@ -54,7 +55,7 @@ def from_predictions(predictions: DataFrame, min_jaccard: float = 0.5) -> DataFr
     wrong = (F.col("gold_department") != F.col("pred_department")) | (F.col("gold_urgency") != F.col("pred_urgency")) | (jaccard(F.col("gold_symptoms"), F.col("pred_symptoms")) < min_jaccard)
     rejected = F.when(F.col("pred_reason") != "ok", F.col("response")).when(wrong, gate.compact(F.col("pred_department"), F.col("pred_urgency"), F.col("pred_symptoms")))
     gold = gate.compact(F.col("gold_department"), F.col("gold_urgency"), F.col("gold_symptoms"))
-    return both.withColumn("__r", rejected).where("__r is not null").select("pred_id", *record(F.lit(None).cast("string"), F.col("input"), gold, F.col("__r"), "prediction_errors"))
+    return settled(both, __r=rejected).where("__r is not null").select("pred_id", *record(F.lit(None).cast("string"), F.col("input"), gold, F.col("__r"), "prediction_errors"))
 
 
 def union_first(sources: list[DataFrame], ids: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge import constants
-from labelforge.functions.symptoms import literal_map, worded, worded_scores
+from labelforge.functions.symptoms import literal_map, with_worded_scores
 from labelforge.operators import gate
 
 
@@ -22,8 +22,7 @@ def score(rows: DataFrame, answer: str = "response", gold: str = "gold") -> Data
     """
     both = gate.with_label(gate.with_label(rows, gold, "gold"), answer, "pred")
     fenced = F.contains(F.col(answer), F.lit("```"))
-    f1, _ = worded_scores(F.col("gold_symptoms"), F.col("pred_symptoms"))
-    both = both.withColumn("__f1", f1).withColumn("__p", worded(F.col("pred_symptoms"))).withColumn("__g", worded(F.col("gold_symptoms")))
+    both = with_worded_scores(both, "gold_symptoms", "pred_symptoms").withColumnsRenamed({"worded_f1": "__f1", "pred_worded": "__p", "gold_worded": "__g"})
     gu, pu = F.col("gold_urgency"), F.col("pred_urgency")
     off = lambda cond, by: F.when(cond, F.lit(-by)).otherwise(F.lit(0.0))
     penalty = (
@@ -36,4 +35,4 @@ def score(rows: DataFrame, answer: str = "response", gold: str = "gold") -> Data
     urgency = F.coalesce(F.try_element_at(literal_map(constants.URGENCY_SCORE), F.concat(gu, F.lit(">"), pu)), F.lit(0.0))
     total = F.lit(0.05) * F.when(fenced, 0.8).otherwise(1.0) + F.lit(0.25) * (F.col("gold_department") == F.col("pred_department")).cast("double") + F.lit(0.30) * urgency + F.lit(0.40) * F.col("__f1") + penalty
     reward = F.when(F.col("gold_reason") != "ok", 0.0).when(~F.col("pred_parsed"), -1.0).when(F.col("pred_reason") != "ok", -0.5).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total)))
-    return both.withColumn("reward", reward).drop("__f1", "__p", "__g")
+    return both.withColumn("reward", reward).drop("__f1", "__p", "__g", "worded_jaccard")

@@ -42,7 +42,8 @@ def row_errors(rows: DataFrame, id_col: str = "row_id", every: bool = False) ->
             F.when(obj & F.coalesce(F.exists(items, lambda v: ~jsonx.is_string(v) | _blank(jsonx.string_value(v))), F.lit(False)), "bad_symptom_item"),
         ]
     else:
-        why = gate.reason(F.col("__o"))
+        base = jsonx.settled(base, __why=gate.reason(F.col("__o")))
+        why = F.col("__why")
         errors = [*first, F.when(~_blank(out) & (why != "ok"), why)]
     return base.select(F.col(id_col).alias("row_id"), F.posexplode(F.array_compact(F.array(*errors))).alias("seq", "error"))
 
@@ -87,7 +88,7 @@ def pair_diffs(pairs: DataFrame) -> DataFrame:
     differs = lambda k: F.when(F.col(f"chosen_{k}") != F.col(f"rejected_{k}"), k)
     diff = F.concat_ws("+", differs("department"), differs("urgency"), differs("symptoms"))
     valid = (F.col("chosen_reason") == "ok") & (F.col("rejected_reason") == "ok")
-    return both.withColumn("errors", errors).withColumn("warning", warning).withColumn("diff", F.when(valid, F.when(diff == "", "no_diff").otherwise(diff)))
+    return jsonx.settled(both, errors=errors, warning=warning, diff=F.when(valid, F.when(diff == "", "no_diff").otherwise(diff)))
 
 
 def hard_pairs(diffs: DataFrame) -> DataFrame:

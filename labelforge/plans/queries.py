@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelforge import constants
 from labelforge.functions import jsonx
-from labelforge.functions.symptoms import jaccard, jaccard_strict, schema_symptoms, worded, worded_scores
+from labelforge.functions.symptoms import jaccard, jaccard_strict, schema_symptoms, worded
 from labelforge.operators import clean, gate, metrics, pairs, records, reward, semantic, validate
 from labelforge.session import table
 
@@ -65,7 +65,7 @@ def label_fields(spark: SparkSession, d: str) -> DataFrame:
 @query
 def object_keys(spark: SparkSession, d: str) -> DataFrame:
     """Key sets of objects, with missing and extra keys."""
-    o = _raw(spark, d).select(F.map_keys(gate.parsed(F.col("output"))).alias("k")).where("k is not null")
+    o = jsonx.settled(_raw(spark, d).select("output"), k=F.map_keys(gate.parsed(F.col("output")))).where("k is not null")
     need = F.array(*[F.lit(k) for k in constants.LABEL_KEYS])
     j = lambda a: F.concat_ws(",", F.array_sort(a))
     return o.select(j(F.col("k")).alias("keys"), j(F.array_except(need, "k")).alias("missing"), j(F.array_except("k", need)).alias("extra")).groupBy("keys", "missing", "extra").agg(F.count("*").alias("n"))
@@ -75,7 +75,7 @@ def object_keys(spark: SparkSession, d: str) -> DataFrame:
 def schema_symptom_lists(spark: SparkSession, d: str) -> DataFrame:
     """Symptom lists trimmed and without repeats; null where an element is no string."""
     items = jsonx.array_items(F.try_element_at(gate.parsed(F.col("output")), F.lit("symptoms")))
-    return _raw(spark, d).select("raw_id", items.alias("items")).where("items is not null").select("raw_id", F.array_join(schema_symptoms(F.col("items")), "|").alias("symptoms"))
+    return jsonx.settled(_raw(spark, d).select("raw_id", "output"), items=items).where("items is not null").select("raw_id", F.array_join(schema_symptoms(F.col("items")), "|").alias("symptoms"))
 
 
 @query
@@ -222,8 +222,7 @@ def hard_jaccard_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def worded_symptom_scores(spark: SparkSession, d: str) -> DataFrame:
-    f1, near = worded_scores(F.col("gold_symptoms"), F.col("pred_symptoms"))
-    return _valid_gold(spark, d).where("pred_reason = 'ok'").select("pred_id", F.round(f1, 6).alias("f1"), F.round(near, 6).alias("jaccard"))
+    return _valid_gold(spark, d).where("pred_reason = 'ok'").select("pred_id", F.round("worded_f1", 6).alias("f1"), F.round("worded_jaccard", 6).alias("jaccard"))
 
 
 @query

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from labelforge.functions.symptoms import jaccard, jaccard_strict, schema_symptoms, wording, worded, worded_scores
+from labelforge.functions.symptoms import jaccard, jaccard_strict, schema_symptoms, with_worded_scores, wording, worded
 
 
 def greedy(gold, pred):
@@ -25,8 +25,7 @@ def greedy(gold, pred):
 
 def scores(spark, pairs):
     rows = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(pairs)], "i int, g array<string>, p array<string>")
-    f1, j = worded_scores(F.col("g"), F.col("p"))
-    return [(r["f1"], r["j"]) for r in rows.select("i", f1.alias("f1"), j.alias("j")).orderBy("i").collect()]
+    return [(r["worded_f1"], r["worded_jaccard"]) for r in with_worded_scores(rows, "g", "p").orderBy("i").collect()]
 
 
 CASES = [
