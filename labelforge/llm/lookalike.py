@@ -69,7 +69,8 @@ def char_table() -> dict[int, str]:
 
 def same_look(text: str) -> str:
     """The consistent form of one text."""
-    text = unicodedata.normalize("NFC", text).translate(char_table())
+    # taken apart first, so that a look-alike letter is found under its accent
+    text = unicodedata.normalize("NFD", text).translate(char_table())
     return unicodedata.normalize("NFC", text).strip()
 
 

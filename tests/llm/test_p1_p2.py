@@ -2,7 +2,7 @@ import pytest
 
 from labelforge.llm import lookalike, p1_lookalikes, p2_canonical
 
-SAME = [("Ｔ区", "T区"), ("é", "é"), ("发​热", "发热"), ("a b", "a b"), ("СО2", "CO2"), ("听カ下降", "听力下降"), ("㎎", "mg"), ("⾎", "血"), ("Ⅱ度", "II度"), (" 头痛　", "头痛"), ("（轻）", "(轻)"), ("不", "不"), ("℃", "°C")]
+SAME = [("Ｔ区", "T区"), ("é", "é"), ("发​热", "发热"), ("a b", "a b"), ("СО2", "CO2"), ("听カ下降", "听力下降"), ("㎎", "mg"), ("⾎", "血"), ("Ⅱ度", "II度"), (" 头痛　", "头痛"), ("（轻）", "(轻)"), ("不", "不"), ("℃", "°C"), ("о\u0308", "ö"), ("ӧ", "o\u0308"), ("がぎ", "か\u3099き\u3099")]
 DIFFERENT = [("A", "a"), ("é", "e"), ("m²", "m2"), ("①", "1"), ("，", "。"), ("頭", "头"), ("?", "!"), ("½", "1/2"), ("a b", "ab"), ("㎡", "m2")]
 
 
