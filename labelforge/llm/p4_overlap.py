@@ -43,7 +43,8 @@ SALTS = 16
 
 _POS = 13  # bits of a position; farther positions share the last one, which only weakens the filter
 _BINS = 32
-_CELLS = 2_000_000  # characters of a batch, padding included
+_CELLS = 2_000_000  # characters of a batch, padding included; pairs that are counted at once
+_POSTINGS = 4_000_000  # postings that are gathered at once
 
 
 @F.pandas_udf(T.StringType())
@@ -158,7 +159,7 @@ class _Index:
         counts = frame["prefix"].str.len().to_numpy() // 4
         keys = np.frombuffer(b"".join(frame["prefix"]), dtype=np.uint32)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.who = keys[order].astype(np.int64), np.repeat(np.arange(len(frame)), counts)[order]
+        self.keys, self.who = keys[order].astype(np.int64), np.repeat(np.arange(len(frame), dtype=np.int32), counts)[order]
 
     def probe(self, frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of probing and indexed texts that pass all filters."""
@@ -166,22 +167,32 @@ class _Index:
         step = max(1, _CELLS // max(1, size))
         for at in range(0, len(frame), step):
             part = frame.iloc[at : at + step]
-            n, nid = part["n"].to_numpy().astype(np.int64), part["nid"].to_numpy()
+            n, nid, shared = part["n"].to_numpy().astype(np.int64), part["nid"].to_numpy(), part["shared"].to_numpy()
             counts = part["prefix"].str.len().to_numpy() // 4
             keys = np.frombuffer(b"".join(part["prefix"]), dtype=np.uint32).astype(np.int64)
             who = np.repeat(np.arange(len(part)), counts)
             shift, pos = tau_of(n)[who], keys & ((1 << _POS) - 1)
             first = np.searchsorted(self.keys, keys - np.minimum(shift, pos), "left")
-            last = np.searchsorted(self.keys, keys + np.minimum(shift, (1 << _POS) - 1 - pos), "right")
-            found = last - first
-            ends = np.cumsum(found)
-            where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - found), found)
-            cell = self.who[where] + np.repeat(who * size, found)
-            hits = np.bincount(cell, minlength=len(part) * size)
-            cells = np.flatnonzero(hits)
+            found = np.searchsorted(self.keys, keys + np.minimum(shift, (1 << _POS) - 1 - pos), "right") - first
+            # the postings of all shingles, one after the other, counted per pair of texts; long texts take several rounds
+            hits = np.zeros(len(part) * size, dtype=np.int64)
+            ends, at_shingle = np.cumsum(found), 0
+            while at_shingle < len(found):
+                done = ends[at_shingle] - found[at_shingle]
+                to = max(at_shingle + 1, int(np.searchsorted(ends, done + _POSTINGS, "right")))
+                own = found[at_shingle:to]
+                where = np.repeat((first[at_shingle:to] - (ends[at_shingle:to] - own - done)).astype(np.int32), own)
+                where += np.arange(len(where), dtype=np.int32)
+                cell = np.repeat((who[at_shingle:to] * size).astype(np.int32), own)
+                cell += self.who[where]
+                hits += np.bincount(cell, minlength=len(hits))
+                at_shingle = to
+            same = shared.min() == shared.max() == self.shared.min() == self.shared.max()
+            least = shared[0] if same else np.minimum.outer(shared, self.shared).ravel()
+            cells = np.flatnonzero(hits >= least)
             a, b = cells // size, cells % size
             most = np.floor(SHARE * np.maximum(n[a], self.n[b]) + 1e-9)
-            keep = (hits[cells] >= np.minimum(part["shared"].to_numpy()[a], self.shared[b])) & (np.abs(n[a] - self.n[b]) <= most)
+            keep = np.abs(n[a] - self.n[b]) <= most
             a, b, most = a[keep], b[keep], most[keep]
             bags = np.frombuffer(b"".join(part["bag"]), dtype=np.uint8).reshape(-1, _BINS).astype(np.int16)
             diff = bags[a] - self.bags[b]
