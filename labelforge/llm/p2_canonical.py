@@ -15,7 +15,7 @@ returns all names within the threshold and the shards' winners are merged.
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ from labelforge.session import cut_lineage
 
 #: Names per BK-tree; a longer list becomes more shards, not a larger broadcast.
 SHARD_SIZE = 5000
-#: Groups that the distinct values of a shard are split into.
-BUCKETS = 16
+#: Tasks that the distinct values of a shard are split into.
+BUCKETS = 24
 #: Different entries beside which an affix must have been seen to count as an addition.
 MIN_ENTRIES = 4
 #: Longest affix, in characters.
@@ -170,44 +170,82 @@ def _opposite(text: str, name: str) -> bool:
     return len(text) == len(name) and len(diff) == 1 and any(set(diff[0]) == set(p) for p in OPPOSITES)
 
 
+class _Field:
+    """Names and additions of one field in one shard."""
+
+    def __init__(self, head: pd.DataFrame, pinyin: dict[str, str]):
+        names, affixes = head[head["kind"] == "name"], head[head["kind"] == "affix"]
+        self.ids = dict(zip(names["text"], names["term_id"].astype(int), strict=True))
+        self.tree = BKTree(list(self.ids))
+        self.prefixes = {*PREFIXES, *affixes.loc[affixes["side"] == "prefix", "text"]}
+        self.suffixes = {*SUFFIXES, *affixes.loc[affixes["side"] == "suffix", "text"]}
+        self.pinyin = pinyin
+        self.known: dict[tuple[str, int], list[tuple[int, int, int, int]]] = {}
+
+    def _sound(self, text: str) -> str:
+        return "".join(self.pinyin.get(c, c) for c in text)
+
+    def near(self, core: str, most: int) -> list[tuple[int, int, int, int]]:
+        """``term_id, distance, heard, moved`` of every name within the distance that means no opposite."""
+        if (core, most) not in self.known:
+            # among names equally far, one that sounds the same is meant, then one of the same characters
+            self.known[core, most] = [
+                (self.ids[name], d, int(self._sound(core) != self._sound(name)), int(sorted(core) != sorted(name)))
+                for name, d in self.tree.within(core, most)
+                if not (d and _opposite(core, name))
+            ]
+        return self.known[core, most]
+
+    def search(self, plain: str) -> list[tuple[int, int, int, int, int]]:
+        """All names near a core of the value; if a core is a name itself, only such."""
+        found = cores(plain, self.prefixes, self.suffixes)
+        hits = [(*hit, k) for k, core in enumerate(found) for hit in self.near(core, 0)]
+        return hits or [(*hit, k) for k, core in enumerate(found) for hit in self.near(core, threshold(core))]
+
+
 def lookup(values: DataFrame, names: DataFrame, additions: DataFrame, spark: SparkSession) -> DataFrame:
     """``field, plain, term_id``: the entry meant by each distinct plain value, -1 for none."""
-    pinyin = {c: p for c, p in pinyin_table(spark).items()}
-
-    def shard_search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        entries = right[right["kind"] == "name"]
-        extra = right[right["kind"] == "affix"]
-        for field, part in left.groupby("field"):
-            own = entries[entries["field"] == field]
-            ids = dict(zip(own["text"], own["term_id"], strict=True))
-            tree = BKTree(list(ids))
-            affixes = extra[extra["field"] == field]
-            prefixes = {*PREFIXES, *affixes.loc[affixes["side"] == "prefix", "text"]}
-            suffixes = {*SUFFIXES, *affixes.loc[affixes["side"] == "suffix", "text"]}
-            for plain in part["plain"]:
-                for k, core in enumerate(cores(plain, prefixes, suffixes)):
-                    for name, d in tree.within(core, threshold(core)):
-                        if d and _opposite(core, name):
-                            continue
-                        # among names equally far, one that sounds the same is meant
-                        heard = int("".join(pinyin.get(c, c) for c in core) != "".join(pinyin.get(c, c) for c in name))
-                        rows.append((field, plain, int(ids[name]), d, heard, int(sorted(core) != sorted(name)), k))
-        return pd.DataFrame(rows, columns=["field", "plain", "term_id", "d", "heard", "moved", "k"])
-
-    plain = values.select("field", "plain").distinct().withColumn("bucket", F.pmod(F.xxhash64("plain"), F.lit(BUCKETS)).cast("int"))
-    name_rows = names.select("field", F.col("name").alias("text"), "term_id", F.lit("name").alias("kind"), F.lit("").alias("side"), F.expr(f"cast(floor((row_number() over (partition by field order by name) - 1) / {SHARD_SIZE}) as int)").alias("shard"))
-    shards = name_rows.select("shard").distinct()
-    one = F.lit(1).alias("one")
-    affix_rows = additions.select(one, "field", F.col("affix").alias("text"), F.lit(-1).cast("bigint").alias("term_id"), F.lit("affix").alias("kind"), "side").join(F.broadcast(shards.select("*", one)), "one").drop("one")
-    right = name_rows.unionByName(affix_rows).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))).toDF("field", "text", "term_id", "kind", "side", "r_shard", "r_bucket")
-    left = plain.select("*", one).join(F.broadcast(shards.select("*", one)), "one").drop("one")
-    found = left.groupBy("shard", "bucket").cogroup(right.groupBy("r_shard", "r_bucket")).applyInPandas(shard_search, "field string, plain string, term_id bigint, d int, heard int, moved int, k int")
+    pinyin = pinyin_table(spark)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task's rows start with the names and additions of its shard; the values come after them."""
+        head: list[pd.DataFrame] = []
+        fields: dict[str, _Field] | None = None
+        for frame in frames:
+            is_value = frame["kind"] == "value"
+            if not is_value.all():
+                head.append(frame[~is_value])
+            if not is_value.any():
+                continue
+            if fields is None:
+                fields = {f: _Field(part, pinyin) for f, part in pd.concat(head).groupby("field")} if head else {}
+            rows = []
+            for field, plain in zip(frame.loc[is_value, "field"], frame.loc[is_value, "text"], strict=True):
+                if field in fields:
+                    rows += [(field, plain, *hit) for hit in fields[field].search(plain)]
+            yield pd.DataFrame(rows, columns=["field", "plain", "term_id", "d", "heard", "moved", "k"])
+
+    # the list is fixed; more names than a shard holds become more shards
+    shards = max(1, -(-names.count() // SHARD_SIZE))
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    all_buckets = F.transform(every(BUCKETS), lambda b: F.col("shard") * BUCKETS + b)
+    own_shard = F.expr(f"cast(floor((row_number() over (partition by field order by name) - 1) / {SHARD_SIZE}) as int)")
+
+    def row(kind: str, text: str, term_id: Column, side: Column, to: Column) -> list:
+        return ["field", F.lit(kind).alias("kind"), F.col(text).alias("text"), term_id.cast("bigint").alias("term_id"), side.alias("side"), F.explode(to.cast("array<int>")).alias("cell")]
+
+    name_rows = names.select("field", "name", "term_id", own_shard.alias("shard")).select(row("name", "name", F.col("term_id"), F.lit(""), all_buckets))
+    affix_rows = additions.select(row("affix", "affix", F.lit(-1), F.col("side"), every(shards * BUCKETS)))
+    plain = values.select("field", "plain").distinct()
+    bucket = F.pmod(F.xxhash64("plain"), F.lit(BUCKETS))
+    value_rows = plain.select(row("value", "plain", F.lit(-1), F.lit(""), F.transform(every(shards), lambda s: s * BUCKETS + bucket)))
+    cells = name_rows.union(affix_rows).union(value_rows).repartitionById(shards * BUCKETS, "cell").sortWithinPartitions(F.col("kind") == "value")
+    found = cut_lineage(cells.select("field", "kind", "text", "term_id", "side").mapInPandas(search, "field string, plain string, term_id bigint, d int, heard int, moved int, k int"))
     # an entry must win alone: the nearest, then the same sound, then the same characters, then the longest core
     best = found.withColumn("rank", F.struct("d", "heard", "moved", "k"))
     top = best.groupBy("field", "plain").agg(F.min("rank").alias("rank"))
     won = best.join(top, ["field", "plain", "rank"]).groupBy("field", "plain").agg(F.countDistinct("term_id").alias("n"), F.min("term_id").alias("term_id"))
-    return plain.select("field", "plain").join(won.where("n = 1").select("field", "plain", "term_id"), ["field", "plain"], "left").select("field", "plain", F.coalesce("term_id", F.lit(-1).cast("bigint")).alias("term_id"))
+    return plain.join(won.where("n = 1").select("field", "plain", "term_id"), ["field", "plain"], "left").select("field", "plain", F.coalesce("term_id", F.lit(-1).cast("bigint")).alias("term_id"))
 
 
 def typed_values(rows: DataFrame, id_col: str = "raw_id", output: str = "output") -> DataFrame:
@@ -216,10 +254,11 @@ def typed_values(rows: DataFrame, id_col: str = "raw_id", output: str = "output"
     Only outputs that are one JSON object once a code fence and blanks around it
     are gone; null outputs, values that are no strings and other keys give no row.
     """
-    obj = rows.select(F.col(id_col).alias("raw_id"), jsonx.object_map(jsonx.strip_fences(F.col(output), eos_tokens=False)).alias("o")).where("o is not null")
-    dept = obj.select("raw_id", F.lit("department").alias("field"), F.lit(0).alias("pos"), F.try_element_at("o", F.lit("department")).alias("v"))
-    symp = obj.select("raw_id", F.lit("symptoms").alias("field"), F.posexplode(jsonx.array_items(F.try_element_at("o", F.lit("symptoms")))).alias("p", "v")).select("raw_id", "field", (F.col("p") + 1).alias("pos"), "v")
-    return dept.union(symp).select("raw_id", "field", "pos", jsonx.string_value(F.col("v")).alias("value")).where("value is not null")
+    read = jsonx.settled(rows.select(F.col(id_col).alias("raw_id"), output), o=jsonx.object_map(jsonx.strip_fences(F.col(output), eos_tokens=False))).where("o is not null")
+    value = lambda field, pos, v: F.struct(F.lit(field).alias("field"), pos.cast("int").alias("pos"), jsonx.string_value(v).alias("value"))
+    items = F.coalesce(jsonx.array_items(F.try_element_at("o", F.lit("symptoms"))), F.array().cast("array<variant>"))
+    typed = F.concat(F.array(value("department", F.lit(0), F.try_element_at("o", F.lit("department")))), F.transform(items, lambda v, i: value("symptoms", i + 1, v)))
+    return read.select("raw_id", F.inline(typed)).where("value is not null")
 
 
 def reference_names(terms: DataFrame) -> DataFrame:
