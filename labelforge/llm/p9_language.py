@@ -38,7 +38,8 @@ LEAST_WEIGHT = 16
 #: Sentences remembered by a task, as forums repeat themselves.
 MEMORY = 200_000
 
-_END = re.compile(r"[。！？!?…\n]+|\.(?=\s|$|[　-鿿가-힯])|(?<=[a-zß-ÿа-яё])\.(?=[A-ZÀ-ÞА-ЯЁ])")
+# a full stop ends a sentence before a space or the end, and between letters unless it looks like an abbreviation
+_END = re.compile(r"[。！？!?…\n]+|\.(?=\s|$)|(?<=[^\W\d_A-Z])\.(?=[^\W\d_a-z])")
 _ASIDE = re.compile(r"[（(][^（）()\n]{0,60}[）)]|“[^”\n]{0,40}”|「[^」\n]{0,40}」|\{[^{}]*\}|\[[^\[\]]*\]")
 _CJK = "　-鿿가-힯豈-﫿"
 
@@ -77,9 +78,14 @@ def _words(wording: str) -> set[str]:
     return words
 
 
+def _mixed(wording: str) -> bool:
+    """Whether Latin words beyond a name or two stand beside another script."""
+    return bool(re.search("[Ѐ-ӿ぀-鿿가-힯]", wording)) and len(re.findall("[a-zß-ÿ]{2,}", wording)) > 3
+
+
 def fit_dictionaries(sample: list[tuple[str, str]]) -> dict[str, bytes]:
     """Raw dictionaries from (labelled language, text); wrong labels are outvoted word by word."""
-    held = [(lang, wording) for lang, text in sample for _, _, wording in sentences(text) if _weight(wording) >= 12]
+    held = [(lang, wording) for lang, text in sample for _, _, wording in sentences(text) if _weight(wording) >= 12 and not _mixed(wording)]
     given = [lang for lang, _ in held]
     words = [_words(w) for _, w in held]
     assigned = list(given)
