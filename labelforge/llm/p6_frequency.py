@@ -23,7 +23,7 @@ def record_terms(rows: DataFrame, output: str = "output") -> DataFrame:
     object. Terms are neither trimmed nor folded; elements that are no strings
     are no terms, an empty string is one.
     """
-    obj = rows.select(jsonx.object_map(jsonx.uni_strip(F.col(output))).alias("o")).where("o is not null")
+    obj = jsonx.settled(rows.select(output), o=jsonx.object_map(jsonx.uni_strip(F.col(output)))).where("o is not null")
     items = jsonx.array_items(F.try_element_at("o", F.lit("symptoms")))
     strings = F.filter(F.transform(items, jsonx.string_value), lambda t: t.isNotNull())
     return obj.select(F.coalesce(strings, F.array().cast("array<string>")).alias("terms"))
