@@ -10,7 +10,7 @@ two different values share the letters and digits of their mapped form; no two
 values that are equal under the collation differ in these.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions import jsonx
@@ -21,20 +21,25 @@ from labelforge.session import cut_lineage
 SALTS = 16
 
 
+def _hashes(column: Column) -> list[Column]:
+    """Two hashes that stand for a text in joins, so that long texts aren't shuffled."""
+    return [F.xxhash64(column).alias("vid"), F.hash(column).alias("check")]
+
+
 def class_members(values: DataFrame, column: str = "value") -> DataFrame:
-    """Distinct values with their mapped form and class.
+    """``value, canonical, vid, check`` of values that look like another value.
 
-    Returns ``value, mapped, canonical``: ``canonical`` is the class's chosen
-    member and equals ``value`` for a value that nothing else looks like. Null
-    values and values with nothing visible are left out.
+    ``canonical`` is the class's chosen member. A value that nothing else looks
+    like has no row; null values and values with nothing visible have none
+    either. ``vid, check`` are hashes of the value.
     """
     spark = values.sparkSession
-    distinct = values.select(F.col(column).alias("value")).where("value is not null").distinct()
-    mapped = distinct.withColumn("mapped", lookalike.consistent(F.col("value"))).where("mapped <> ''")
-    mapped = mapped.withColumn("coarse", F.xxhash64(F.regexp_replace("mapped", r"[^\p{L}\p{N}]", "")))
-    mapped = cut_lineage(mapped)
-    shared = mapped.groupBy("coarse").count().where("count > 1").select("coarse")
-    alike = mapped.join(shared, "coarse", "left_semi")
+    mapped = values.select(F.col(column).alias("value")).where("value is not null").withColumn("mapped", lookalike.consistent(F.col("value"))).where("mapped <> ''")
+    coarse = F.xxhash64(F.regexp_replace("mapped", r"[^\p{L}\p{N}]", "")).alias("coarse")
+    keyed = cut_lineage(mapped.select("value", "mapped", coarse, F.xxhash64("value").alias("vid")))
+    # copies of a value count once: least and greatest hash tell whether there are two values
+    shared = keyed.groupBy("coarse").agg(F.min("vid").alias("lo"), F.max("vid").alias("hi")).where("lo <> hi").select("coarse")
+    alike = cut_lineage(keyed.join(shared, "coarse", "left_semi").select("value", "mapped").distinct())
     classes = spark.sql(
         """
         SELECT min(struct(value <> mapped AS changed, value AS value)).value AS canonical, mapped COLLATE UNICODE AS look
@@ -50,7 +55,7 @@ def class_members(values: DataFrame, column: str = "value") -> DataFrame:
         alike=alike,
         classes=classes,
     )
-    return mapped.select("value", "mapped").join(joined, "value", "left").select("value", "mapped", F.coalesce("canonical", "value").alias("canonical"))
+    return cut_lineage(joined.select("value", "canonical", *_hashes(F.col("value"))))
 
 
 def canonical_column(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -59,10 +64,11 @@ def canonical_column(df: DataFrame, column: str, out: str) -> DataFrame:
     Null stays null; a text with nothing visible becomes ''. Other columns,
     whatever their names, and repeated rows are kept.
     """
-    members = class_members(df, column).where("canonical <> value").select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
-    joined = df.join(members, df[column].eqNullSafe(members["__value"]), "left")
+    changed = class_members(df, column).where("canonical <> value").toDF("__value", "__canonical", "__vid", "__check")
+    vid, check = _hashes(df[column])
+    joined = df.join(changed, (vid == changed["__vid"]) & (check == changed["__check"]) & (df[column] == changed["__value"]), "left")
     blank = F.regexp_replace(df[column], r"[\p{Z}\p{C}\s]", "") == ""
-    return joined.select(*[df[c] for c in df.columns], F.when(blank, "").otherwise(F.coalesce("__canonical", df[column])).alias(out))
+    return joined.select(*[df[c] for c in df.columns], F.when(blank, "").otherwise(F.coalesce(changed["__canonical"], df[column])).alias(out))
 
 
 def alike_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
@@ -73,16 +79,14 @@ def alike_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
     the rows that hold these texts, with hot texts spread over salts.
     """
     members = class_members(rows, column)
-    many = cut_lineage(members.select("value", "canonical").join(members.where("canonical <> value").select("canonical").distinct(), "canonical", "left_semi").withColumn("vid", F.xxhash64("value")))
-    a, b = many.select(F.col("canonical").alias("c"), F.col("vid").alias("a"), F.col("value").alias("va")), many.select(F.col("canonical").alias("c"), F.col("vid").alias("b"), F.col("value").alias("vb"))
-    pairs = a.join(b, "c").where("va < vb").select("a", "b")
-    holders = rows.select(F.col(id_col).alias("id"), F.col(column).alias("value")).join(many.select("value", "vid"), "value").select("id", "vid", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    holders = cut_lineage(holders)
-    salted = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = salted.join(holders.select(F.col("vid").alias("a"), F.col("id").alias("ia"), "salt"), ["a", "salt"]).drop("salt")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = left.join(holders.select(F.col("vid").alias("b"), F.col("id").alias("ib"), "salt"), ["b", "salt"])
-    return both.select(F.least("ia", "ib").alias("row_id"), F.greatest("ia", "ib").alias("match_id"))
+    side = lambda x: members.select("canonical", F.col("vid").alias(x), F.col("check").alias(f"{x}_check"), F.col("value").alias(f"{x}_value"))
+    pairs = side("a").join(side("b"), "canonical").where("a_value < b_value").select("a", "a_check", "b", "b_check")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    holders = rows.select(F.col(id_col).alias("id"), *_hashes(F.col(column)), F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"))
+    holders = cut_lineage(holders.join(members.select("vid", "check"), ["vid", "check"], "left_semi"))
+    left = pairs.select("*", salts).join(holders.toDF("a", "a_check", "a_id", "salt"), ["a", "a_check", "salt"]).select("a_id", "b", "b_check", salts)
+    both = left.join(holders.toDF("b", "b_check", "b_id", "salt"), ["b", "b_check", "salt"])
+    return both.select(F.least("a_id", "b_id").alias("row_id"), F.greatest("a_id", "b_id").alias("match_id"))
 
 
 def string_symptoms(rows: DataFrame, id_col: str, output: str = "output") -> DataFrame:
@@ -99,10 +103,10 @@ def terms_looked_like(rows: DataFrame, terms: DataFrame, id_col: str = "row_id")
     names = terms.where("field = 'symptoms'").select("term_id", "term")
     # what is a term already is no case, which also takes the hottest values out
     symptoms = string_symptoms(rows, id_col).join(F.broadcast(names), F.col("symptom") == names["term"], "left_anti")
-    members = class_members(symptoms.select(F.col("symptom").alias("value")).union(names.select("term")))
+    members = class_members(symptoms.select(F.col("symptom").alias("value")).union(names.select("term")).distinct()).select("value", "canonical")
     named = names.join(members, names["term"] == members["value"]).select("term_id", "term", "canonical")
     # ref_terms is a fixed list, so the joined names are as few
-    like = members.select("value", "canonical").join(F.broadcast(named), "canonical").where("value <> term").select("value", "term_id")
+    like = members.join(F.broadcast(named), "canonical").where("value <> term").select("value", "term_id")
     # Spark takes what was parsed from VARIANT for much smaller than it is; it may not be broadcast
     return symptoms.hint("merge").join(like.hint("merge"), symptoms["symptom"] == like["value"]).select(F.col("id").alias("row_id"), F.col("term_id").alias("match_id")).distinct()
 
