@@ -12,6 +12,8 @@ metric). The list is split into shards of ``SHARD_SIZE`` names; every shard
 returns all names within the threshold and the shards' winners are merged.
 """
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,8 +31,8 @@ SHARD_SIZE = 5000
 BUCKETS = 24
 #: Different entries beside which an affix must have been seen to count as an addition.
 MIN_ENTRIES = 4
-#: Longest affix, in characters.
-MAX_AFFIX = 8
+#: Longest affix and longest duration, in characters.
+MAX_AFFIX, MAX_DURATION = 8, 16
 
 # Additions that say nothing about which entry is meant.
 PREFIXES = "间歇 稍有 近期 明显 阵发性 自觉 轻度 中度 重度 总是 主诉 突发 反复 持续 持续性 有点 疑似 偶尔 偶有 经常 剧烈 轻微 严重 建议挂 建议 转 转诊 请至 首选 先看 挂".split()
@@ -116,8 +118,6 @@ _MARKS = " \t\n.,;:!?、。-_*#·【】[]{}<>《》「」“”\"'()/~"
 
 
 def _plain(text: str, simplified: dict[int, str]) -> str:
-    import re
-
     out = lookalike.same_look(text).translate(simplified)
     out = re.sub(r"^[\s【\[(-]*(?:[0-9]{1,2}[.、)])+\s*", "", out)
     return "".join(out.split())
@@ -131,24 +131,42 @@ def plain_udf(simplified: dict[int, str]):
     return plain
 
 
-def cores(text: str, prefixes: set[str], suffixes: set[str]) -> list[str]:
-    """The text and what additions taken off its ends leave, longest first."""
-    import re
+_NUMBER = re.compile(r"[0-9]{1,2}[.、)]")
+_DURATION = re.compile(DURATION + "$")
+
+
+def cores(text: str, prefixes: set[str], suffixes: set[str], longest: int) -> list[str]:
+    """The text and what additions taken off its ends leave, if at most ``longest`` characters, longest first.
 
-    seen, todo = [], [text.strip(_MARKS)]
+    Beginnings and ends are stripped apart and then combined, so a text of any
+    length is looked at once from each side.
+    """
+    starts, ends = set(), set()
+    todo = [0]
+    while todo:
+        a = todo.pop()
+        while a < len(text) and text[a] in _MARKS:
+            a += 1
+        if a in starts or a >= len(text):
+            continue
+        starts.add(a)
+        todo += [a + n for n in range(1, MAX_AFFIX + 1) if text[a : a + n] in prefixes]
+        if m := _NUMBER.match(text, a):
+            todo.append(m.end())
+    todo = [len(text)]
     while todo:
-        t = todo.pop(0)
-        if not t or t in seen:
+        b = todo.pop()
+        while b > 0 and text[b - 1] in _MARKS:
+            b -= 1
+        if b in ends or b <= 0:
             continue
-        seen.append(t)
-        numbered = re.sub(r"^[0-9]{1,2}[.、)]", "", t)
-        found = [numbered] if numbered != t else []
-        found += [t[n:] for n in range(1, min(MAX_AFFIX, len(t) - 1) + 1) if t[:n] in prefixes]
-        found += [t[:-n] for n in range(1, min(MAX_AFFIX, len(t) - 1) + 1) if t[-n:] in suffixes]
-        if m := re.search(DURATION + "$", t):
-            found.append(t[: m.start()])
-        todo.extend(f.strip(_MARKS) for f in found)
-    return sorted(seen, key=len, reverse=True)
+        ends.add(b)
+        todo += [b - n for n in range(1, MAX_AFFIX + 1) if text[max(0, b - n) : b] in suffixes]
+        if m := _DURATION.search(text[max(0, b - MAX_DURATION) : b]):
+            todo.append(b - len(m.group()))
+    ordered = sorted(ends)
+    found = {text[a:b] for a in starts for b in ordered[bisect.bisect_right(ordered, a) : bisect.bisect_right(ordered, a + longest)]}
+    return sorted(found, key=lambda t: (-len(t), t))
 
 
 def learned_additions(plain: DataFrame, names: DataFrame) -> DataFrame:
@@ -158,7 +176,9 @@ def learned_additions(plain: DataFrame, names: DataFrame) -> DataFrame:
     joined with the names by equality, so no value meets every name.
     """
     n = F.length("plain")
-    cuts = plain.where((n > 1) & (n <= 40)).select("field", "plain", F.explode(F.sequence(F.lit(1), n - 1)).alias("cut"))
+    # an affix is short, so a value of any length has few cuts
+    places = F.array_distinct(F.concat(F.sequence(F.lit(1), F.least(F.lit(MAX_AFFIX), n - 1)), F.sequence(F.greatest(F.lit(1), n - MAX_AFFIX), n - 1)))
+    cuts = plain.where(n > 1).select("field", "plain", F.explode(places).alias("cut"))
     head, tail = F.substring("plain", 1, F.col("cut")), F.expr("substring(plain, cut + 1)")
     parts = cuts.select("field", F.explode(F.array(F.struct(F.lit("suffix").alias("side"), head.alias("name"), tail.alias("affix")), F.struct(F.lit("prefix").alias("side"), tail.alias("name"), head.alias("affix")))).alias("p")).select("field", "p.*")
     parts = parts.where(F.length("affix") <= MAX_AFFIX)
@@ -177,6 +197,7 @@ class _Field:
         names, affixes = head[head["kind"] == "name"], head[head["kind"] == "affix"]
         self.ids = dict(zip(names["text"], names["term_id"].astype(int), strict=True))
         self.tree = BKTree(list(self.ids))
+        self.longest = max(map(len, self.ids), default=0)
         self.prefixes = {*PREFIXES, *affixes.loc[affixes["side"] == "prefix", "text"]}
         self.suffixes = {*SUFFIXES, *affixes.loc[affixes["side"] == "suffix", "text"]}
         self.pinyin = pinyin
@@ -198,7 +219,8 @@ class _Field:
 
     def search(self, plain: str) -> list[tuple[int, int, int, int, int]]:
         """All names near a core of the value; if a core is a name itself, only such."""
-        found = cores(plain, self.prefixes, self.suffixes)
+        # a core beyond the longest name by more than its threshold is near none: the distance is at least the difference in length
+        found = cores(plain, self.prefixes, self.suffixes, self.longest + threshold("x" * 99))
         hits = [(*hit, k) for k, core in enumerate(found) for hit in self.near(core, 0)]
         return hits or [(*hit, k) for k, core in enumerate(found) for hit in self.near(core, threshold(core))]
 

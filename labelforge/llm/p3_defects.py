@@ -59,6 +59,10 @@ def _visible(text: str) -> str:
     return "".join(c for c in text if not c.isspace() and unicodedata.category(c) not in ("Cf", "Cc", "Mn", "Zs"))
 
 
+# where a JSON value may start: an object or list that goes on like one, or a text or null in front
+_VALUE = re.compile(r"\{(?=\s*[\"}])|\[(?=\s*[\"{\[\]\d])|^(?:\"|null)")
+
+
 def parts(text: str) -> tuple[str, list, str]:
     """An answer's body without shells, the JSON values in it, and its prose."""
     body = _SHELL.sub(" ", text).strip()
@@ -69,10 +73,10 @@ def parts(text: str) -> tuple[str, list, str]:
             pass
     values, prose, at = [], [], 0
     decoder = json.JSONDecoder(strict=False)
-    for m in re.finditer(r"[{\[]|^\s*(?:\"|null)", body):
+    for m in _VALUE.finditer(body):
         if m.start() < at:
             continue
-        start = m.end() - 1 if body[m.end() - 1] in '{["' else m.start()
+        start = m.start()
         try:
             value, end = decoder.raw_decode(body, start)
         except ValueError:
@@ -103,8 +107,14 @@ def is_copy(said: str, prompt: str) -> bool:
     return given - 9 <= COPY_RATIO * max(1, plain - 9)
 
 
-# Latin words that any language may hold: names and abbreviations with capitals or digits, units.
-_NAMES = re.compile(r"[A-Za-zÀ-ɏ]*[A-ZÀ-Þ0-9][\w\-]*|\b(?:mg|ml|cm|mm|kg|bpm|mmHg|min|h|vs|pH)\b")
+# Latin words that any language may hold: names and abbreviations with capitals or digits, and units.
+_WORD = re.compile(r"[A-Za-zÀ-ɏ0-9][A-Za-zÀ-ɏ0-9_\-]*")
+_UNITS = {"mg", "ml", "cm", "mm", "kg", "bpm", "min", "h", "vs"}
+
+
+def _without_name(m: re.Match) -> str:
+    word = m.group()
+    return " " if word in _UNITS or any(c.isupper() or c.isdigit() for c in word) else word
 
 
 _HAN, _KANA, _LATIN = re.compile("[一-鿿㐀-䶿]"), re.compile("[ぁ-ヺ]"), re.compile("[A-Za-zÀ-ɏ]")
@@ -113,7 +123,7 @@ _REST = re.compile("[一-鿿㐀-䶿ぁ-ヿ\x00-ɏ\u2000-\u206f\u3000-\u303f\uff0
 
 def is_foreign(said: str) -> bool:
     """Whether the wording is not Chinese: another script, or Latin words beyond names and abbreviations."""
-    names = _NAMES.sub(" ", said) if _LATIN.search(said) else said
+    names = _WORD.sub(_without_name, said) if _LATIN.search(said) else said
     han, kana, latin = len(_HAN.findall(names)), len(_KANA.findall(names)), len(_LATIN.findall(names))
     other = sum(c.isalpha() and c > "ɐ" and not "⺀" <= c <= "⿟" for c in _REST.sub("", names))
     if kana >= 2 and kana * 8 > han:

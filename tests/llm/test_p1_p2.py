@@ -90,3 +90,11 @@ def test_mapping(spark):
     want = {(i, 2): t for i, t in enumerate(values.values()) if t is not None} | {(99, 0): -1, (96, 0): 103}
     assert got == want
     assert p2_canonical.map_values(rows.limit(0), terms).count() == 0
+
+
+@pytest.mark.parametrize("text", ["1" * 200_000, "头痛" * 100_000, "轻度" * 50_000, "，" * 100_000])
+def test_very_long_values(text):
+    import pandas as pd
+
+    head = pd.DataFrame({"kind": ["name"], "text": ["头痛"], "term_id": [1], "side": [""]})
+    assert p2_canonical._Field(head, {}).search(text) == []

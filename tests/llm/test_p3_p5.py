@@ -73,3 +73,9 @@ def test_one_defect_per_record(spark):
     named = {(r["table_name"], r["record_id"]): r["defect"] for r in got}
     want = {("predictions", i): "other_language" if d == "foreign" else d for i, (_, d) in enumerate(DEFECTS) if d} | {("dpo_train_2", 500): "truncated"}
     assert {k: v for k, v in named.items() if k in want} == want and set(named) == set(want)
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "{" * 200_000, "1" * 200_000, "（" * 100_000, '"' * 99_999, "。" * 100_000, "热、" * 100_000, "A" * 200_000])
+def test_very_long_texts(text):
+    p3_defects.defect_of(text, PROMPT)
+    p5_cutoff.scan(text, text)
