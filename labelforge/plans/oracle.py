@@ -250,3 +250,18 @@ h as (select set_id, count(distinct g) as hits from b where sim >= 0.1 group by
 n as (select set_id, count_if(k < 4) as golds, count_if(k >= 4) as preds from e group by set_id)
 select set_id::bigint as set_id, golds, preds, coalesce(hits, 0) as hits, round(coalesce(hits, 0)::double / (golds + preds - coalesce(hits, 0)), 6) as soft_jaccard from n left join h using (set_id)""",
 }
+
+
+def _bigint(sql: str, columns: str) -> str:
+    """Counts by condition are HUGEINT in DuckDB; the queries give BIGINT."""
+    return f"select * replace ({', '.join(f'{c}::bigint as {c}' for c in columns.split())}) from ({sql})"
+
+
+for _name, _columns in {
+    "dedup_conflicts": "conflicts",
+    "clean_report": "duplicates conflicts num_clean_rows",
+    "prediction_metrics": "high_urgency_total high_to_medium high_to_low high_to_bad",
+    "paired_comparison": "input_mismatch both_correct both_wrong improved regressed net_e2e urgency_fixed urgency_broken high_total high_hit_a high_hit_b high_to_low_a high_to_low_b",
+    "semantic_soft_jaccard": "golds preds",
+}.items():
+    SQL[_name] = _bigint(SQL[_name], _columns)

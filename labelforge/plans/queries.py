@@ -117,7 +117,7 @@ def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     for field in ("department", "urgency"):
         counts = rows.groupBy(F.col(f"clean_{field}").alias("value")).agg(F.count("*").alias("n"), F.min("place").alias("at"))
         # as few rows as there are labels
-        out.append(counts.select(F.lit(field).alias("field"), "value", "n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "at")).alias("rank")))
+        out.append(counts.select(F.lit(field).alias("field"), "value", "n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "at")).cast("bigint").alias("rank")))
     return out[0].union(out[1])
 
 
