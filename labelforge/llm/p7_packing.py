@@ -2,11 +2,12 @@
 
 Only the histogram of sizes is solved, at most one row per size up to the
 capacity, whatever the number of documents. For each container a configuration
-program (patterns of sizes that fit together, each used some number of times)
-is solved by multiplicative weights: sizes that are covered least weigh most,
-and a knapsack by dynamic programming prices the best pattern. The fractional
-counts are rounded down, what is left over is filled by further patterns,
-largest sizes first. Documents then find their place by joins: the k-th
+program (patterns of sizes that fit together, each used a whole number of
+times) is solved round by round on the counts that are left: the largest size
+left must be placed, and a knapsack by dynamic programming prices what fills
+the rest of its pattern best, where sizes that are covered least weigh most
+(multiplicative weights). Every container comes from such a pattern; nothing is
+filled in another way. Documents then find their place by joins: the k-th
 document of a size goes to the k-th place for that size.
 
 A document beyond the capacity is cut into full containers and a rest; no other
@@ -27,10 +28,13 @@ from labelforge.session import cut_lineage
 SALTS = 64
 #: Steps of the knapsack; a larger capacity is counted in units of several tokens, sizes rounded up.
 GRID = 8192
-#: Rounds of multiplicative weights, their learning rate, and the part of a size that a round may cover.
-ROUNDS, RATE, STEP = 240, 4.0, 0.34
-#: Steps of all knapsacks of a container, and the least fill of a pattern that is kept from the program.
-EFFORT, FULL = 3_000_000_000, 0.985
+#: Neighbouring sizes are joined into so many classes; the member covered least stands for its class, with its own size.
+CLASSES = 64
+#: Learning rate of the weights. In the first ROUNDS rounds a pattern takes the part STEP of what it could, then all:
+#: each round then uses up a size, so there are at most ROUNDS rounds and one for each size.
+RATE, STEP, ROUNDS = 0.05, 0.5, 2000
+#: A pattern filled less is priced again by fill alone, with all sizes.
+FULL = 0.985
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -67,50 +71,30 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = RO
     ``sizes`` are distinct, ascending, from 1 to ``capacity``.
     """
     unit = -(-capacity // GRID)
-    small, room = -(-sizes // unit), capacity // unit
+    small = -(-sizes // unit)
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[np.ndarray, int]] = []
-    fits = small <= room
-    if fits.any():
-        s, n = small[fits], counts[fits].astype(float)
-        covered = np.zeros(len(s))
-        found: dict[bytes, list] = {}
-        # a round costs pieces times capacity; the rest of the rounds adds little where sizes are many
-        for _ in range(int(min(rounds, 8 * len(s), 2 + EFFORT // (3 * len(s) * room)))):
-            weights = np.exp(-RATE * (covered - covered.min()))
-            # among patterns of like price the fuller is worth more
-            pattern = knapsack(s, weights / n * n.mean() + s / room, counts[fits], room)
-            if not pattern.any():
-                break
-            used = pattern > 0
-            amount = STEP * float((n[used] / pattern[used]).min())
-            covered += amount * pattern / n
-            found.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += amount
-        volume = sum(amount * float(pattern @ s) for pattern, amount in found.values())
-        scale = float(n @ s) / volume if volume else 0.0
-        # fullest patterns first; none takes more than is left
-        for pattern, amount in sorted(found.values(), key=lambda x: (-int(x[0] @ s), x[0].tobytes())):
-            whole = np.zeros(len(sizes), dtype=np.int64)
-            whole[fits] = pattern
-            used = whole > 0
-            if pattern @ s < FULL * room:
-                break
-            uses = min(int(np.floor(scale * amount)), int((left[used] // whole[used]).min()))
-            if uses:
-                left -= uses * whole
-                chosen.append((whole, uses))
     while left.any():
-        whole, free = np.zeros(len(sizes), dtype=np.int64), capacity
-        while True:
-            fit = np.flatnonzero((sizes <= free) & (left > whole))
-            if not len(fit):
-                break
-            k = fit[-1]
-            take = min(int(left[k] - whole[k]), free // int(sizes[k]))
-            whole[k] += take
-            free -= take * int(sizes[k])
+        whole = np.zeros(len(sizes), dtype=np.int64)
+        largest = np.flatnonzero(left)[-1]
+        whole[largest] = 1
+        room = (capacity - int(sizes[largest])) // unit
+        free = left - whole
+        fits = np.flatnonzero((free > 0) & (small <= room))
+        if len(fits):
+            share = left / counts
+            ends = np.linspace(0, len(fits), min(CLASSES, len(fits)) + 1).astype(int)
+            least = np.array([fits[a + np.argmax(share[fits[a:b]])] for a, b in zip(ends, ends[1:], strict=False)])
+            for at, rate in ((least, RATE), (fits, 0.0)):
+                whole[:] = 0
+                whole[at] = knapsack(small[at], small[at] * np.exp(rate * (share[at] - 1)), free[at], room)
+                whole[largest] += 1
+                if whole @ sizes >= FULL * capacity:
+                    break
         used = whole > 0
         uses = int((left[used] // whole[used]).min())
+        if len(chosen) < rounds:
+            uses = max(1, int(STEP * uses))
         left -= uses * whole
         chosen.append((whole, uses))
     return chosen

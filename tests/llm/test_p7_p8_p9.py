@@ -30,6 +30,15 @@ def test_knapsack_like_brute_force():
         assert got @ sizes <= 20 and (got <= counts).all() and got @ prices == pytest.approx(best)
 
 
+def test_patterns_cover_sizes_that_a_greedy_fill_places_badly():
+    rng = np.random.default_rng(3)
+    two = rng.integers(251, 400, (100, 2))
+    u, c = np.unique(np.concatenate([two.ravel(), 1000 - two.sum(1)]), return_counts=True)
+    found = p7_packing.solve(u, c, 1000)
+    # three to a container fill 100 exactly
+    assert (sum(p * k for p, k in found) == c).all() and sum(k for _, k in found) <= 105
+
+
 def test_packing(spark):
     docs = spark.createDataFrame([(i, "发热 " * (i % 40)) for i in range(300)] + [(300, None), (301, ""), (302, "咳嗽，" * 3000), (5, "发热 " * 5)], "doc_id long, text string").withColumn("bin", F.lit("x"))
     limits = spark.createDataFrame([("s", 64), ("l", 1024)], LIMITS)
