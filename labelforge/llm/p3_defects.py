@@ -1,10 +1,10 @@
 """Problem 3: answers that do not answer their prompt, with the type of defect.
 
 Copies are found by compressing the answer with the prompt as a zstandard
-dictionary: a copy shrinks to almost nothing. Refusals and answers in another
-language are told by dictionaries over what the answer says (values of its
-label object and its prose, never keys), cut answers by the automaton and the
-terminal contexts of problem 5. One defect is given, the first of empty, copy,
+dictionary: a copy shrinks to almost nothing. Refusals are told by a list of
+wordings and answers in another language by their script, over what the answer
+says (values of its label object and its prose, never keys), cut answers by the
+automaton and the terminal contexts of problem 5. One defect is given, the first of empty, copy,
 refusal, truncated, other_language that holds; an answer that only looks
 unfinished because it is a refusal or a copy is no cut one.
 """
@@ -107,9 +107,16 @@ def is_copy(said: str, prompt: str) -> bool:
     return given - 9 <= COPY_RATIO * max(1, plain - 9)
 
 
-# Latin words that any language may hold: names and abbreviations with capitals or digits, and units.
+# Latin words that any language may hold: short abbreviations, words with digits, and units; beside Han also names.
 _WORD = re.compile(r"[A-Za-zÀ-ɏ0-9][A-Za-zÀ-ɏ0-9_\-]*")
 _UNITS = {"mg", "ml", "cm", "mm", "kg", "bpm", "min", "h", "vs"}
+#: Longest all-capital word that is an abbreviation in any wording.
+ABBREVIATION = 4
+
+
+def _without_abbreviation(m: re.Match) -> str:
+    word = m.group()
+    return " " if word in _UNITS or any(c.isdigit() for c in word) or word.isupper() and len(word) <= ABBREVIATION else word
 
 
 def _without_name(m: re.Match) -> str:
@@ -121,9 +128,13 @@ _HAN, _KANA, _LATIN = re.compile("[一-鿿㐀-䶿]"), re.compile("[ぁ-ヺ]"), r
 _REST = re.compile("[一-鿿㐀-䶿ぁ-ヿ\x00-ɏ\u2000-\u206f\u3000-\u303f\uff00-\uffef]")
 
 
-def is_foreign(said: str) -> bool:
-    """Whether the wording is not Chinese: another script, or Latin words beyond names and abbreviations."""
-    names = _WORD.sub(_without_name, said) if _LATIN.search(said) else said
+def is_foreign(said: list[str]) -> bool:
+    """Whether the wording of prose and values is not Chinese, by script: another one, or Latin words beyond names and abbreviations.
+
+    A capital makes a name only beside Han characters in the same text; a value
+    without any may be in title case or German.
+    """
+    names = " ".join(_WORD.sub(_without_name if _HAN.search(s) else _without_abbreviation, s) if _LATIN.search(s) else s for s in said)
     han, kana, latin = len(_HAN.findall(names)), len(_KANA.findall(names)), len(_LATIN.findall(names))
     other = sum(c.isalpha() and c > "ɐ" and not "⺀" <= c <= "⿟" for c in _REST.sub("", names))
     if kana >= 2 and kana * 8 > han:
@@ -151,7 +162,7 @@ def defect_of(text: str | None, prompt: str | None) -> str:
         own = re.sub("“[^”]*”|「[^」]*」|\"[^\"]*\"", "", prose) + " " + " ".join(strings)
         if REFUSALS.search(own) or REFUSALS_ABROAD.search(own):
             return "refusal"
-    if is_foreign(said):
+    if is_foreign([prose, *strings]):
         return "foreign"
     return ""
 

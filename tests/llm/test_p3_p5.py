@@ -61,6 +61,14 @@ def test_defects(text, defect):
     assert p3_defects.defect_of(text, PROMPT) == defect
 
 
+@pytest.mark.parametrize("label,defect", [
+    (("Cardiology", "High", ["Chest Pain", "Fever"]), "foreign"), (("CARDIOLOGY", "HIGH", ["FEVER"]), "foreign"), (("Lungenheilkunde", "中", ["Halsschmerzen", "Schwindel"]), "foreign"), (("Lungenheilkunde", "Mittel", ["Halsschmerzen"]), "foreign"),
+    (("ENT", "中", ["MRI", "CT"]), ""), (("儿科", "中", ["Paracetamol Ibuprofen 过敏"]), ""),
+])
+def test_capitals_do_not_hide_another_language(label, defect):
+    assert p3_defects.defect_of(json.dumps(dict(zip(("department", "urgency", "symptoms"), label, strict=True)), ensure_ascii=False), PROMPT) == defect
+
+
 def test_null_prompt_is_no_copy():
     assert p3_defects.defect_of(PROMPT, None) == ""
 
