@@ -173,7 +173,8 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         add(("a", start, clause, end))
                 if "、" in response:
                     for item in _ITEMS.findall(response):
-                        add(("i", item.strip(), "", ""))
+                        if item := item.strip():
+                            add(("i", item, "", ""))
             if prompt and hash(prompt) not in prompts:
                 if len(prompts) >= KEPT:
                     prompts.clear()
@@ -187,7 +188,7 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _label_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Symptom strings of whole label objects, each once per task."""
+    """Symptoms of whole label objects that have a list of them, without blank ones and what is no string, each once per task."""
     sent: set[str] = set()
     for frame in frames:
         new = []
@@ -196,12 +197,13 @@ def _label_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 value = json.loads(label) if label else None
             except ValueError:
                 continue
-            for item in value.get("symptoms") or [] if isinstance(value, dict) else []:
-                if isinstance(item, str) and item not in sent:
+            symptoms = value.get("symptoms") if isinstance(value, dict) else None
+            for item in symptoms if isinstance(symptoms, list) else []:
+                if isinstance(item, str) and (item := item.strip()) and item not in sent:
                     if len(sent) >= KEPT:
                         sent.clear()
                     sent.add(item)
-                    new.append(item.strip())
+                    new.append(item)
         yield pd.DataFrame({"item": new}, dtype=object)
 
 
@@ -226,6 +228,8 @@ def cut_keys(texts: DataFrame, labels: DataFrame) -> DataFrame:
     segments = seen.where("kind in ('a', 'p')").select("start", "end").distinct()
     clauses = seen.where("kind = 'a'").select("clause", "end").distinct().join(seen.where("kind = 'c'").select("clause", "end"), ["clause", "end"], "left_anti")
     items = labels.select("label").mapInPandas(_label_items, "item string").union(seen.where("kind = 'i'").select("start")).distinct()
+    # an ending outside a list has item '', which no item may excuse
+    items = items.where("item <> ''")
     sizes = texts.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("answers"))
     habits = ask.groupBy("source", "end").agg(F.count("*").alias("n"))
     habits = habits.join(sizes, habits["source"].eqNullSafe(sizes["of"])).where((F.col("n") >= HABIT_COUNT) & (F.col("n") >= HABIT_SHARE * F.col("answers"))).select("end").distinct()

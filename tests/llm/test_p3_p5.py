@@ -39,6 +39,13 @@ def test_contexts_decide_unterminated_prose(spark):
     assert got == {11, 12, 16, 17}
 
 
+@pytest.mark.parametrize("symptoms", ['[""]', '["  "]', '"头痛 心"', "5", "true", "null", '{"头": 1}'])
+def test_odd_symptoms_excuse_no_cut(spark, symptoms):
+    rows = [(1, "s", None, LABEL + "\n患者提到恶"), (2, "s", None, "科室：儿科；症状：发热、头"), (3, "s", None, "科室：儿科；症状：发热、头痛"), (4, "s", None, "症状：发热、 、头痛。")]
+    labels = spark.createDataFrame([('{"symptoms":' + symptoms + "}",), (LABEL,)], "label string")
+    assert {r["key"] for r in p5_cutoff.cut_keys(answers(spark, rows), labels).collect()} == {1, 2}
+
+
 def test_habit_of_a_source(spark):
     rows = [(i, "s", None, LABEL + " 完毕") for i in range(6)] + [(9, "s", None, LABEL + "\n完")]
     got = {r["key"] for r in p5_cutoff.cut_keys(answers(spark, rows), spark.createDataFrame([], "label string")).collect()}
