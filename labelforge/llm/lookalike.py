@@ -11,6 +11,7 @@ are, because a reader sees the difference; case and accents stay too.
 import functools
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,16 +68,99 @@ def char_table() -> dict[int, str]:
     return table
 
 
+def _mapped(text: str) -> str:
+    # taken apart first, so that a look-alike letter is found under its accent
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(char_table()))
+
+
+#: What a character becomes that may join with its neighbours; no mapped text holds it.
+_JOINS = "\x00"
+
+
+def _may_join(ch: str) -> bool:
+    return unicodedata.category(ch)[0] == "M" or unicodedata.combining(ch) > 0 or "\u1100" <= ch <= "\u11ff" or "\ua960" <= ch <= "\ua97f" or "\ud7b0" <= ch <= "\ud7ff"
+
+
+class _Alone(dict):
+    """Code point to what ``form`` makes of a character by itself, filled as characters are met."""
+
+    def __init__(self, form):
+        super().__init__()
+        self.form = form
+
+    def __missing__(self, cp: int) -> str:
+        ch = chr(cp)
+        out = _mapped(ch)
+        # a capital sigma's small form depends on what follows
+        self[cp] = _JOINS if ch == "\u03a3" or any(map(_may_join, ch + out)) else self.form(out)
+        return self[cp]
+
+
+_ALONE = _Alone(lambda out: out)
+_ALONE_LETTERS = _Alone(lambda out: "".join(c for c in out.lower() if c.isalnum()))
+
+
 def same_look(text: str) -> str:
     """The consistent form of one text."""
-    # taken apart first, so that a look-alike letter is found under its accent
-    text = unicodedata.normalize("NFD", text).translate(char_table())
-    return unicodedata.normalize("NFC", text).strip()
+    out = text.translate(_ALONE)
+    # only texts with marks that join need normalisation as a whole
+    return (_mapped(text) if _JOINS in out else out).strip()
+
+
+_DROP, _LONG, _NEW = 0x110000, 0x110001, 0x110002
+
+
+class _Batch:
+    """A form of many texts at once: characters that stand for one by themselves are looked up in an array."""
+
+    def __init__(self, alone: _Alone, whole):
+        self.alone, self.whole = alone, whole
+        self.table = np.full(0x110000, _NEW, dtype=np.uint32)
+
+    def _learn(self, codes: np.ndarray) -> None:
+        for cp in np.unique(codes).tolist():
+            out = self.alone[cp]
+            self.table[cp] = _LONG if out == _JOINS or len(out) > 1 else ord(out) if out else _DROP
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        mapped = self.table[codes]
+        if (new := mapped == _NEW).any():
+            self._learn(codes[new])
+            mapped = self.table[codes]
+        ends = np.cumsum(lengths)
+        kept = np.concatenate([[0], np.cumsum(mapped < _DROP)])[ends]
+        slow = np.unique(np.searchsorted(ends, np.flatnonzero(mapped == _LONG), "right"))
+        joined = mapped[mapped < _DROP].tobytes().decode("utf-32-le", "surrogatepass")
+        out, at = [], 0
+        for end in kept.tolist():
+            out.append(joined[at:end])
+            at = end
+        for k in slow.tolist():
+            out[k] = self.whole(texts[k])
+        return out
+
+
+_look_batch, _letters_batch = _Batch(_ALONE, same_look), _Batch(_ALONE_LETTERS, lambda text: letters_and_digits(text))
+
+
+def same_looks(texts: list[str]) -> list[str]:
+    """:func:`same_look` of each text."""
+    return [t.strip() for t in _look_batch(texts)]
+
+
+def letters_and_digits_of(texts: list[str]) -> list[str]:
+    """:func:`letters_and_digits` of each text."""
+    return _letters_batch(texts)
 
 
 @F.pandas_udf(T.StringType())
 def _same_look(texts: pd.Series) -> pd.Series:
-    return texts.map(same_look, na_action="ignore")
+    held = texts.notna().to_numpy()
+    out = np.full(len(texts), None, dtype=object)
+    out[held] = same_looks(texts[held].tolist())
+    return pd.Series(out)
 
 
 def consistent(text: Column) -> Column:
@@ -86,4 +170,5 @@ def consistent(text: Column) -> Column:
 
 def letters_and_digits(text: str) -> str:
     """Consistent form in lower case with only letters (of any script) and digits kept."""
-    return "".join(c for c in same_look(text).lower() if c.isalnum())
+    out = text.translate(_ALONE_LETTERS)
+    return "".join(c for c in _mapped(text).lower() if c.isalnum()) if _JOINS in out else out

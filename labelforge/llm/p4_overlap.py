@@ -4,52 +4,61 @@ Two texts overlap if an edit distance of at most ``SHARE`` times the longer
 length turns one into the other, over consistent lower-case letters and digits.
 The join is exact:
 
-* Shingles are pairs of neighbouring characters (the ends of a text count as
-  characters), hashed into ``BUCKETS`` and ordered by how many distinct texts
-  of both tables hold them, rarest first.
-* A text's prefix is its rarest shingles, as many as cannot all be destroyed by
-  fewer than ``tau + SHARED`` edits, where tau bounds the edits of any pair the
-  text is in. At most tau edits leave ``SHARED`` of them, each moved by at most
-  tau places, and these are in the other text's prefix too.
-* Evaluation prefixes are indexed in blocks of bounded size; training texts
-  probe them with position and length filters, then with a count of characters.
-* What is left is verified with Spark's own Levenshtein distance.
+* A training text's prefix is ``tau + 1`` shingles that don't overlap, where tau
+  bounds the edits of any pair the text is in: the choice whose shingles the
+  fewest evaluation texts hold. Fewer edits than shingles leave one whole.
+* Evaluation texts are indexed by all their shingles that any prefix holds.
+  Both sides' postings are shuffled by shingle, each once, whatever the number
+  of texts. A shingle held by many is a grid of cells, so that no task gets it all.
+* The prefix cuts a text, joined at its ends, into ``m = tau + 1`` boxes. Of at
+  most ``d`` edits, some box has none and every chain of ``l`` boxes from there
+  on at most ``l * d / m`` (cycle lemma), so a posting also holds which characters
+  are odd in number in the ``WINDOW`` places from its shingle on: an edit changes
+  at most two of them. Position, length and this window filter a pair at once.
+* Pairs that are left are filtered by the odd characters of whole texts, then
+  verified with Spark's own Levenshtein distance.
 
 Rows are brought in only at the end, so copies cost nothing before that.
 """
 
-import math
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelforge.llm import lookalike
 from labelforge.session import cut_lineage
 
 #: Edits allowed per character of the longer text.
 SHARE = 0.15
-#: Buckets of shingles (2 to the power of): bounds the broadcast order to 2 MB.
-BITS = 18
-#: Prefix shingles that a pair must share.
-SHARED = 6
-#: Evaluation texts in an index block, and training texts that probe it in one task.
-INDEX_BLOCK, PROBE_BLOCK = 50_000, 50_000
+#: Longest shingle. Short texts have shorter ones, as many as they need.
+SHINGLE = 4
+#: Places of a posting's window.
+WINDOW = 40
+#: Buckets of shingles (2 to the power of) in which texts are counted: bounds what is broadcast to 16 MB.
+BITS = 20
+#: Postings of a shingle in one cell, of evaluation and of training texts.
+CELL_EVAL, CELL_TRAIN = 50_000, 200_000
+#: Postings, and pairs of postings, that a task should meet.
+TASK_POSTINGS, TASK_HITS = 1_500_000, 400_000_000
 #: Copies over which the rows of a hot text are spread.
 SALTS = 16
+#: Pairs up to which their texts are fetched by a broadcast of their ids (16 bytes each).
+FEW_PAIRS = 200_000
 
-_POS = 13  # bits of a position; farther positions share the last one, which only weakens the filter
-_BINS = 32
-_CELLS = 2_000_000  # characters of a batch, padding included; pairs that are counted at once
-_POSTINGS = 4_000_000  # postings that are gathered at once
-
-
-@F.pandas_udf(T.StringType())
-def _letters(texts: pd.Series) -> pd.Series:
-    return texts.map(lookalike.letters_and_digits, na_action="ignore")
+_BLOCK = 120  # least length of the pieces in which a long text's shingles are chosen
+_CELLS = 1_000_000  # characters of a batch, padding included
+_HITS = 2_000_000  # pairs of postings that are gathered at once
+_HELD = 1_000_000  # postings that a task gathers before it sends them
+_FAR = 0xFFFF  # farthest position that is told; what lies beyond passes the filters
+_NEVER = np.int32(1 << 29)
+_DEAREST = 1 << 21
+_KEPT = 500_000  # texts a task remembers, to send each only once
 
 
 def tau_of(length: np.ndarray) -> np.ndarray:
@@ -57,215 +66,440 @@ def tau_of(length: np.ndarray) -> np.ndarray:
     return np.floor(SHARE * np.floor(length / (1 - SHARE) + 1e-9) + 1e-9).astype(np.int64)
 
 
-def _batches(texts: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index, lengths and shingle buckets (padded with -1) of texts of similar lengths."""
-    lengths = texts.str.len().to_numpy(dtype=np.int64)
+def shingle_of(length: np.ndarray) -> np.ndarray:
+    """Size of the shingles of a training text, so that its prefix fits into it."""
+    return np.clip(length // (tau_of(length) + 1), 1, SHINGLE)
+
+
+@functools.cache
+def _sizes_met(length: int) -> tuple[int, ...]:
+    """Sizes of shingles of the training texts that an evaluation text may pair with."""
+    least, most = max(1, int(np.ceil((1 - SHARE) * length - 1e-9))), int(length / (1 - SHARE) + 1e-9)
+    return tuple(np.unique(shingle_of(np.arange(least, most + 1))).tolist())
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _batches(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index, lengths and characters (padded) of texts of similar lengths."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     order = np.argsort(lengths, kind="stable")
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end - at + 1) * (lengths[order[end]] + 2) <= _CELLS:
+        while end < len(order) and (end - at + 1) * lengths[order[end]] <= _CELLS:
             end += 1
         own = order[at:end]
         at = end
-        n, width = lengths[own], int(lengths[own].max()) + 2
-        # both ends count as the character 1, which no text holds
-        flat = np.frombuffer("".join("\x01" + t + "\x01" for t in texts.iloc[own]).encode("utf-32-le"), dtype=np.uint32)
-        codes = np.zeros((len(own), width), dtype=np.uint64)
-        filled = np.arange(width)[None, :] < (n + 2)[:, None]
-        codes[filled] = flat
-        h = codes[:, :-1] * np.uint64(0x9E3779B97F4A7C15) + codes[:, 1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        grams = ((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
-        grams[~filled[:, 1:]] = -1
-        yield own, n, grams
-
-
-def shingle_order(texts: DataFrame) -> np.ndarray:
-    """Rank of each bucket, rarest first, over all texts (column ``norm``).
-
-    Every task sums its own texts; a bucket reaches the shuffle once per task,
-    and the result has at most 2**BITS rows whatever the input.
+        n = lengths[own]
+        codes = np.zeros((len(own), int(n.max())), dtype=np.uint64)
+        codes[np.arange(codes.shape[1])[None, :] < n[:, None]] = np.frombuffer("".join(texts[k] for k in own).encode("utf-32-le"), dtype=np.uint32)
+        yield own, n, codes
+
+
+def shingles(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 32-bit hash of the shingle that starts at each place; its first BITS are its bucket."""
+    h = np.full((len(codes), codes.shape[1] - size + 1), size, dtype=np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, k : codes.shape[1] - size + 1 + k]
+        h ^= h >> np.uint64(29)
+    return (_mix(h) >> np.uint64(32)).astype(np.uint32)
+
+
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint32(32 - BITS)).astype(np.int64)
+
+
+def windows(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Characters (hashed to 64) that are odd in number in the window from each place on; a text goes on at its start."""
+    ring = np.arange(codes.shape[1] + WINDOW)[None, :] % lengths[:, None]
+    bits = np.uint64(1) << (_mix(codes) & np.uint64(63))
+    odd = np.zeros((len(codes), ring.shape[1] + 1), dtype=np.uint64)
+    np.bitwise_xor.accumulate(np.take_along_axis(bits, ring, axis=1), axis=1, out=odd[:, 1:])
+    width = np.minimum(WINDOW, lengths)
+    ends = np.arange(codes.shape[1])[None, :] + width[:, None]
+    return np.take_along_axis(odd, ends, axis=1) ^ odd[:, : codes.shape[1]]
+
+
+def odd_characters(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters (hashed to 128) that are odd in number in each text."""
+    h = _mix(codes + np.uint64(0x51ED27))
+    bits = np.where(np.arange(codes.shape[1])[None, :] < lengths[:, None], np.uint64(1) << (h & np.uint64(63)), np.uint64(0))
+    high = (h & np.uint64(64)) > 0
+    return tuple(np.bitwise_xor.reduce(np.where(high == side, bits, np.uint64(0)), axis=1).view(np.int64) for side in (False, True))
+
+
+def _cheapest(costs: np.ndarray, size: int, wanted: np.ndarray) -> np.ndarray:
+    """For each column of ``costs``: which starts of ``wanted`` shingles that don't overlap cost least in all."""
+    width, rows = costs.shape
+    most = int(wanted.max())
+    best = np.full((size + 1, most + 1, rows), _NEVER, dtype=np.int32)  # of the last places only
+    best[:, 0] = 0
+    taken = np.zeros((width + 1, most + 1, rows), dtype=bool)
+    for end in range(1, width + 1):
+        now, before = best[end % (size + 1)], best[(end - 1) % (size + 1)]
+        if end < size:
+            now[:] = before
+            continue
+        with_it = best[(end - size) % (size + 1)][:-1] + costs[end - size][None, :]
+        np.less(with_it, before[1:], out=taken[end, 1:])
+        np.minimum(before[1:], with_it, out=now[1:])
+    chosen = np.zeros((width, rows), dtype=bool)
+    left, cursor, every = wanted.copy(), np.full(rows, width), np.arange(rows)
+    for end in range(width, size - 1, -1):
+        here = cursor == end
+        take = here & taken[end, left, every]
+        chosen[end - size] = take
+        left -= take
+        cursor -= np.where(take, size, here)
+    return chosen
+
+
+def prefixes(keys: np.ndarray, lengths: np.ndarray, size: int, held: np.ndarray) -> np.ndarray:
+    """Which shingles (a mask of ``keys``) are in each text's prefix: ``tau + 1`` that don't overlap and are held least.
+
+    A long text is cut into blocks; every block gives its part of the shingles,
+    so the work is linear in the length.
     """
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << BITS, dtype=np.int64)
-        for frame in frames:
-            for _, _, grams in _batches(frame["norm"]):
-                s = np.sort(grams, axis=1)
-                first = np.ones_like(s, dtype=bool)
-                first[:, 1:] = s[:, 1:] != s[:, :-1]
-                total += np.bincount(s[first & (s >= 0)], minlength=1 << BITS)
-        held = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": held.astype(np.int32), "n": total[held]})
-
-    rows = texts.select("norm").mapInPandas(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    held = np.zeros(1 << BITS, dtype=np.int64)
-    held[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    rank = np.empty(1 << BITS, dtype=np.int32)
-    rank[np.lexsort((np.arange(1 << BITS), held))] = np.arange(1 << BITS, dtype=np.int32)
-    return rank
-
-
-def _edits_to_destroy(chosen: np.ndarray) -> np.ndarray:
-    """Fewest edits that touch every chosen shingle of each row: disjoint ones, taken from the left."""
-    count = np.zeros(len(chosen), dtype=np.int64)
-    free = np.zeros(len(chosen), dtype=np.int64)
-    for col in range(chosen.shape[1]):
-        take = chosen[:, col] & (free <= col)
-        count += take
-        free[take] = col + 2
-    return count
-
-
-def prefixes(grams: np.ndarray, lengths: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which shingles are in each row's prefix, and how many of them a pair must share."""
-    ranks = np.where(grams >= 0, rank[np.maximum(grams, 0)], np.iinfo(np.int32).max)
-    ordered = np.sort(ranks, axis=1)
-    tau = tau_of(lengths)
-    rows = np.arange(len(grams))
-    low, high = np.zeros(len(grams), dtype=np.int64), lengths.copy()  # index of the last shingle taken
-    everything = _edits_to_destroy(grams >= 0)
-    wanted = np.minimum(tau + SHARED, everything)
-    while (low < high).any():
-        mid = (low + high) // 2
-        enough = _edits_to_destroy(ranks <= ordered[rows, mid][:, None]) >= wanted
-        high = np.where(enough, mid, high)
-        low = np.where(enough, low, np.minimum(mid + 1, high))
-    chosen = (ranks <= ordered[rows, high][:, None]) & (grams >= 0)
-    return chosen, np.maximum(wanted - tau, 1)
-
-
-def _featured(frames: Iterator[pd.DataFrame], rank: np.ndarray) -> Iterator[pd.DataFrame]:
+    m = tau_of(lengths) + 1
+    blocks = np.maximum(1, lengths // _BLOCK)
+    row = np.repeat(np.arange(len(lengths)), blocks)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    first, last = lengths[row] * k // blocks[row], lengths[row] * (k + 1) // blocks[row]
+    wanted = m[row] * last // lengths[row] - m[row] * first // lengths[row]
+    places = first[:, None] + np.arange(int((last - first).max()))[None, :]
+    inside = places + size <= last[:, None]
+    places = np.minimum(places, keys.shape[1] - 1)
+    costs = np.where(inside, np.minimum(held[bucket(keys[row[:, None], places])], _DEAREST), _NEVER).astype(np.int32)
+    mask = np.zeros(keys.shape, dtype=bool)
+    b, at = np.nonzero(_cheapest(np.ascontiguousarray(costs.T), size, wanted).T)
+    mask[row[b], first[b] + at] = True
+    return mask
+
+
+def _boxes(row: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Boxes that the window from each chosen shingle on touches; ``row, start`` in order."""
+    n, big = lengths[row], np.int64(int(lengths.max()) + WINDOW + 1)
+    flat = row * big + start
+    from_start = np.searchsorted(flat, row * big)
+    ahead = np.searchsorted(flat, flat + np.minimum(WINDOW, n)) - np.arange(len(flat))
+    around = np.searchsorted(flat, row * big + np.clip(start + np.minimum(WINDOW, n) - n, 0, start)) - from_start
+    return ahead + around
+
+
+def _slack(lengths: np.ndarray) -> np.ndarray:
+    """By how much the windows of a short text's partners may differ in length."""
+    own = np.minimum(WINDOW, lengths)
+    least, most = np.ceil((1 - SHARE) * lengths - 1e-9), np.floor(lengths / (1 - SHARE) + 1e-9)
+    return np.maximum(own - np.minimum(WINDOW, least), np.minimum(WINDOW, most) - own).astype(np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of little-endian numbers, all lowest ones first: those that are mostly 0 compress."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplaned(data: memoryview, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, n).T).reshape(-1).view(kind)
+
+
+_FIELDS = (("key", np.uint32), ("id", np.uint32), ("odd", np.uint64), ("pos", np.uint16), ("rest", np.uint16), ("boxes", np.uint8))
+
+
+def _packed(eval_side: bool, part: np.ndarray, fields: dict[str, np.ndarray]) -> Iterator[tuple[int, bool, int, bytes]]:
+    """Postings by partition, sorted by shingle, as compressed columns."""
+    order = np.lexsort((fields["pos"], fields["key"], part))
+    part = part[order]
+    ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+    compress = zstandard.ZstdCompressor(level=1).compress
+    start = 0
+    for end in ends.tolist():
+        own = order[start:end]
+        keys = fields["key"][own]
+        data = [_planes(np.diff(keys, prepend=np.uint32(0)))] + [_planes(fields[f].astype(kind)[own]) for f, kind in _FIELDS[1:] if f in fields]
+        yield int(part[start]), eval_side, end - start, compress(b"".join(data))
+        start = end
+
+
+def _unpacked(n: int, data: bytes) -> dict[str, np.ndarray]:
+    raw, out, at = memoryview(zstandard.ZstdDecompressor().decompress(data)), {}, 0
+    for f, kind in _FIELDS:
+        if at < len(raw):
+            width = n * np.dtype(kind).itemsize
+            out[f] = _unplaned(raw[at : at + width], n, kind)
+            at += width
+    out["key"] = np.cumsum(out["key"], dtype=np.uint32)
+    return out
+
+
+class _Layout:
+    """Where postings go: a shingle's cells are ``across`` parts of the training side times ``down`` parts of the evaluation side."""
+
+    def __init__(self, held: np.ndarray, chosen: np.ndarray, least: int):
+        self.held = np.minimum(held, _DEAREST).astype(np.int32)
+        self.down = np.where(chosen > 0, -(-held // CELL_EVAL), 0).astype(np.int32)
+        self.across = (-(-chosen // CELL_TRAIN)).astype(np.int32)
+        live = chosen > 0
+        postings = int((held[live] * self.across[live]).sum() + (chosen[live] * self.down[live]).sum())
+        self.parts = max(least, -(-postings // TASK_POSTINGS), -(-int((held[live].astype(np.float64) * chosen[live]).sum()) // TASK_HITS))
+
+    def cells(self, keys: np.ndarray, ids: np.ndarray, eval_side: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Which posting goes to which partition; one goes to several if its shingle is hot on the other side."""
+        b = bucket(keys)
+        copies, split = (self.across, self.down) if eval_side else (self.down, self.across)
+        n = copies[b]
+        which = np.repeat(np.arange(len(keys)), n)
+        other = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        own = ids[which] % np.maximum(split[b[which]], 1)
+        down, across = (own, other) if eval_side else (other, own)
+        cell = _mix((keys[which].astype(np.uint64) << np.uint64(32)) ^ (down.astype(np.uint64) << np.uint64(16)) ^ across.astype(np.uint64))
+        return which, (cell % np.uint64(self.parts)).astype(np.int64)
+
+
+def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Ids and consistent letters and digits of the rows that have any."""
     for frame in frames:
-        for own, lengths, grams in _batches(frame["norm"]):
-            chosen, shared = prefixes(grams, lengths, rank)
-            row, pos = np.nonzero(chosen)
-            keys = ((grams[row, pos] << _POS) | np.minimum(pos, (1 << _POS) - 1)).astype(np.uint32)
-            ends = np.cumsum(np.bincount(row, minlength=len(own)))
-            raw = keys.tobytes()
-            part = frame.iloc[own]
-            codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % 31 for t in part["norm"]]
-            bags = [np.minimum(np.bincount(c, minlength=_BINS), 255).astype(np.uint8).tobytes() for c in codes]
-            yield pd.DataFrame({"eval": part["eval"].to_numpy(), "nid": part["nid"].to_numpy(), "n": lengths.astype(np.int32), "shared": shared.astype(np.int32), "prefix": [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], "bag": bags})
+        frame = frame[frame["text"].notna()]
+        norms = lookalike.letters_and_digits_of(frame["text"].tolist())
+        kept = [k for k, t in enumerate(norms) if t]
+        if kept:
+            yield frame["row_id"].to_numpy()[kept], [norms[k] for k in kept]
+
+
+def _hashes(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes that stand for a text."""
+    raw = [t.encode() for t in norms]
+    return np.array([xxhash.xxh64_intdigest(t) for t in raw], dtype=np.uint64).view(np.int64), np.array([xxhash.xxh32_intdigest(t, 7) for t in raw], dtype=np.uint32).view(np.int32)
+
+
+def _first(nid: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of texts that the task has not met, each once."""
+    out = []
+    for k, h in enumerate(nid.tolist()):
+        if h not in seen:
+            if len(seen) >= _KEPT:
+                seen.clear()
+            seen.add(h)
+            out.append(k)
+    return np.array(out, dtype=np.int64)
+
+
+_INFO = "row_id bigint, nid bigint, check int, odd0 bigint, odd1 bigint, bucket int, n bigint"
+
+
+def _described(frames: Iterator[pd.DataFrame], held: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """Hashes, odd characters and length of each row, then how many texts of the task hold a shingle, or have it in their prefix if ``held`` is given."""
+    total, seen = np.zeros(1 << BITS, dtype=np.int64), set()
+    for ids, norms in _texts(frames):
+        nid, check = _hashes(norms)
+        new = np.zeros(len(norms), dtype=bool)
+        new[_first(nid, seen)] = True
+        odd = np.zeros((2, len(norms)), dtype=np.int64)
+        for own, lengths, codes in _batches(norms):
+            odd[:, own] = odd_characters(codes, lengths)
+            fresh = new[own]
+            for keys, mask, _ in _shingled(codes[fresh], lengths[fresh], held):
+                if held is None:
+                    # a text counts once for each of its shingles
+                    row, _ = np.nonzero(mask)
+                    pairs = np.unique(row.astype(np.int64) << BITS | bucket(keys[mask]))
+                    total += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+                else:
+                    total += np.bincount(bucket(keys[mask]), minlength=1 << BITS)
+        yield pd.DataFrame({"row_id": ids, "nid": nid, "check": check, "odd0": odd[0], "odd1": odd[1], "bucket": -1, "n": [len(t) for t in norms]})
+    if len(some := np.flatnonzero(total)):
+        yield pd.DataFrame({"row_id": 0, "nid": 0, "check": 0, "odd0": 0, "odd1": 0, "bucket": some, "n": total[some]})
+
+
+def _shingled(codes: np.ndarray, lengths: np.ndarray, held: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shingles, a mask of those to post, and which texts they are of; all that partners may ask for, or the prefixes if ``held`` is given."""
+    if not len(lengths):
+        return
+    if held is None:
+        sizes = {size for n in np.unique(lengths).tolist() for size in _sizes_met(n)}
+        for size in sizes:
+            own = np.flatnonzero([size <= n and size in _sizes_met(n) for n in lengths.tolist()])
+            if len(own):
+                keys = shingles(codes[own], size)
+                yield keys, np.arange(keys.shape[1])[None, :] + size <= lengths[own][:, None], own
+        return
+    size_of = shingle_of(lengths)
+    for size in np.unique(size_of).tolist():
+        own = np.flatnonzero(size_of == size)
+        keys = shingles(codes[own], size)
+        yield keys, prefixes(keys, lengths[own], size, held), own
+
+
+def _postings(frames: Iterator[pd.DataFrame], eval_side: bool, layout: _Layout) -> Iterator[pd.DataFrame]:
+    """Packed postings of a task's texts, by partition."""
+    seen: set[int] = set()
+    waiting: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
+
+    def sent() -> pd.DataFrame:
+        fields = {f: np.concatenate([w[1][f] for w in waiting]) for f in waiting[0][1]}
+        rows = list(_packed(eval_side, np.concatenate([w[0] for w in waiting]), fields))
+        waiting.clear()
+        return pd.DataFrame(rows, columns=["part", "eval", "n", "data"])
+
+    for _, norms in _texts(frames):
+        nid, _ = _hashes(norms)
+        new = _first(nid, seen)
+        if not len(new):
+            continue
+        ids, norms = (nid[new] & 0xFFFFFFFF).astype(np.uint32), [norms[k] for k in new]
+        for own, lengths, codes in _batches(norms):
+            odd = windows(codes, lengths)
+            for keys, mask, of in _shingled(codes, lengths, None if eval_side else layout.held):
+                row, pos = np.nonzero(mask)
+                fields = {"key": keys[mask], "id": ids[own[of[row]]], "odd": odd[of[row], pos], "pos": np.minimum(pos, _FAR), "rest": np.minimum(lengths[of[row]] - pos, _FAR)}
+                if not eval_side:
+                    fields["boxes"] = np.minimum(_boxes(row, pos, lengths[of]), 255)
+                which, part = layout.cells(fields["key"], fields["id"], eval_side)
+                waiting.append((part, {f: v[which] for f, v in fields.items()}))
+            if sum(len(w[0]) for w in waiting) >= _HELD:
+                yield sent()
+    if waiting:
+        yield sent()
 
 
 class _Index:
-    """Postings of evaluation prefixes, by shingle and position."""
-
-    def __init__(self, frame: pd.DataFrame):
-        self.nid, self.n = frame["nid"].to_numpy(), frame["n"].to_numpy().astype(np.int64)
-        self.shared = frame["shared"].to_numpy()
-        self.bags = np.frombuffer(b"".join(frame["bag"]), dtype=np.uint8).reshape(-1, _BINS).astype(np.int16)
-        counts = frame["prefix"].str.len().to_numpy() // 4
-        keys = np.frombuffer(b"".join(frame["prefix"]), dtype=np.uint32)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.who = keys[order].astype(np.int64), np.repeat(np.arange(len(frame), dtype=np.int32), counts)[order]
-
-    def probe(self, frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of probing and indexed texts that pass all filters."""
-        size = len(self.nid)
-        step = max(1, _CELLS // max(1, size))
-        for at in range(0, len(frame), step):
-            part = frame.iloc[at : at + step]
-            n, nid, shared = part["n"].to_numpy().astype(np.int64), part["nid"].to_numpy(), part["shared"].to_numpy()
-            counts = part["prefix"].str.len().to_numpy() // 4
-            keys = np.frombuffer(b"".join(part["prefix"]), dtype=np.uint32).astype(np.int64)
-            who = np.repeat(np.arange(len(part)), counts)
-            shift, pos = tau_of(n)[who], keys & ((1 << _POS) - 1)
-            first = np.searchsorted(self.keys, keys - np.minimum(shift, pos), "left")
-            found = np.searchsorted(self.keys, keys + np.minimum(shift, (1 << _POS) - 1 - pos), "right") - first
-            # the postings of all shingles, one after the other, counted per pair of texts; long texts take several rounds
-            hits = np.zeros(len(part) * size, dtype=np.int64)
-            ends, at_shingle = np.cumsum(found), 0
-            while at_shingle < len(found):
-                done = ends[at_shingle] - found[at_shingle]
-                to = max(at_shingle + 1, int(np.searchsorted(ends, done + _POSTINGS, "right")))
-                own = found[at_shingle:to]
-                where = np.repeat((first[at_shingle:to] - (ends[at_shingle:to] - own - done)).astype(np.int32), own)
-                where += np.arange(len(where), dtype=np.int32)
-                cell = np.repeat((who[at_shingle:to] * size).astype(np.int32), own)
-                cell += self.who[where]
-                hits += np.bincount(cell, minlength=len(hits))
-                at_shingle = to
-            same = shared.min() == shared.max() == self.shared.min() == self.shared.max()
-            least = shared[0] if same else np.minimum.outer(shared, self.shared).ravel()
-            cells = np.flatnonzero(hits >= least)
-            a, b = cells // size, cells % size
-            most = np.floor(SHARE * np.maximum(n[a], self.n[b]) + 1e-9)
-            keep = np.abs(n[a] - self.n[b]) <= most
-            a, b, most = a[keep], b[keep], most[keep]
-            bags = np.frombuffer(b"".join(part["bag"]), dtype=np.uint8).reshape(-1, _BINS).astype(np.int16)
-            diff = bags[a] - self.bags[b]
-            keep = np.maximum(np.maximum(diff, 0).sum(axis=1), np.maximum(-diff, 0).sum(axis=1)) <= most
-            yield nid[a[keep]], self.nid[b[keep]]
+    """Postings of evaluation texts, by shingle and position."""
+
+    def __init__(self, rows: list[dict[str, np.ndarray]]):
+        fields = {f: np.concatenate([r[f] for r in rows]) for f in rows[0]}
+        where = fields["key"].astype(np.uint64) << np.uint64(16) | fields["pos"]
+        order = np.lexsort((fields["id"], where))
+        where, ids = where[order], fields["id"][order]
+        # tasks that met the same text sent the same postings
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (where[1:] != where[:-1]) | (ids[1:] != ids[:-1])
+        order = order[new]
+        self.where, self.id, self.odd, self.pos, self.rest = where[new], ids[new], fields["odd"][order], fields["pos"][order].astype(np.int64), fields["rest"][order].astype(np.int64)
+
+    def probe(self, t: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """Pairs (training id, evaluation id, as one number) that pass all filters of their postings."""
+        pos, rest, boxes = (t[f].astype(np.int64) for f in ("pos", "rest", "boxes"))
+        n = pos + rest
+        m = tau_of(n) + 1
+        told = (pos < _FAR) & (rest < _FAR) & (boxes < 255)
+        slack = _slack(n)
+        most = np.where(told, 2 * (boxes * (m - 1) // m) + slack, 64).astype(np.uint8)
+        key = t["key"].astype(np.uint64) << np.uint64(16)
+        first = np.searchsorted(self.where, key | np.where(told, np.maximum(pos - m + 1, 0), 0).astype(np.uint64), "left")
+        found = np.searchsorted(self.where, key | np.where(told, np.minimum(pos + m - 1, _FAR), _FAR).astype(np.uint64), "right") - first
+        ends, at = np.cumsum(found), 0
+        while at < len(found):
+            done = ends[at] - found[at]
+            to = max(at + 1, int(np.searchsorted(ends, done + _HITS, "right")))
+            own = found[at:to]
+            where = np.repeat(first[at:to] - (ends[at:to] - own - done), own) + np.arange(int(own.sum()))
+            hit = np.flatnonzero(np.bitwise_count(self.odd[where] ^ np.repeat(t["odd"][at:to], own)) <= np.repeat(most[at:to], own))
+            v = where[hit]
+            p = np.searchsorted(ends[at:to] - done, hit, "right") + at
+            # for those left: the edits that this very pair may have
+            edits = np.floor(SHARE * np.maximum(n[p], self.pos[v] + self.rest[v]) + 1e-9).astype(np.int64)
+            near = np.abs(pos[p] - self.pos[v]) + np.abs(rest[p] - self.rest[v]) <= edits
+            near &= np.bitwise_count(self.odd[v] ^ t["odd"][p]) <= 2 * (boxes[p] * edits // m[p]) + slack[p]
+            near |= ~told[p] | (self.pos[v] >= _FAR) | (self.rest[v] >= _FAR)
+            if near.any():
+                yield np.unique(t["id"][p[near]].astype(np.uint64) << np.uint64(32) | self.id[v[near]])
+            at = to
 
 
 def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's rows come with the evaluation texts of its block first; these are indexed, the rest probes."""
-    head: list[pd.DataFrame] = []
-    index: _Index | None = None
+    """A task's rows come by partition, the evaluation side first; it is indexed, the rest probes."""
+    part, head, index = -1, [], None
     for frame in frames:
-        own = frame[frame["eval"]]
-        if len(own):
-            head.append(own)
-        rest = frame[~frame["eval"]]
-        if not len(rest) or not head:
-            continue
-        if index is None:
-            index = _Index(pd.concat(head, ignore_index=True))
-        for a, b in index.probe(rest):
-            if len(a):
-                yield pd.DataFrame({"t": a, "v": b})
+        for row in frame.itertuples(index=False):
+            if row.part != part:
+                part, head, index = row.part, [], None
+            if row.eval:
+                head.append(_unpacked(row.n, row.data))
+            elif head:
+                index = index or _Index(head)
+                for pairs in index.probe(_unpacked(row.n, row.data)):
+                    yield pd.DataFrame({"pair": pairs.view(np.int64)})
+
+
+def _counts(info: DataFrame) -> np.ndarray:
+    """Texts by bucket; at most 2**BITS rows whatever the input."""
+    rows = info.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << BITS, dtype=np.int64)
+    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _short(nid: Column) -> Column:
+    """The part of a text's hash that postings hold; several texts may share it."""
+    return nid.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def candidates(train: DataFrame, valid: DataFrame, layout) -> DataFrame:
+    """``t, v``: hashes of training and evaluation texts that pass all filters."""
+    packed = "part int, eval boolean, n int, data binary"
+    sides = [rows.mapInPandas(lambda frames, own=own: _postings(frames, own, layout.value), packed) for rows, own in ((valid, True), (train, False))]
+    spread = sides[0].union(sides[1]).repartitionById(layout.value.parts, "part").sortWithinPartitions("part", F.desc("eval"))
+    pairs = spread.mapInPandas(_joined, "pair bigint").distinct()
+    return pairs.select(_short(F.shiftright("pair", 32)).alias("t_id"), _short(F.col("pair")).alias("v_id"))
 
 
-def normalised(rows: DataFrame, id_col: str, column: str) -> DataFrame:
-    """``row_id, norm, nid, check`` of rows with something to compare; two hashes stand for a text in joins."""
-    letters = rows.select(F.col(id_col).alias("row_id"), _letters(F.col(column)).alias("norm")).where("norm <> ''")
-    return letters.select("row_id", "norm", F.xxhash64("norm").alias("nid"), F.hash("norm").alias("check"))
+def _named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, norms in _texts(frames):
+        nid, check = _hashes(norms)
+        yield pd.DataFrame({"nid": nid, "check": check, "norm": norms})
 
 
-def near_texts(texts: DataFrame) -> DataFrame:
-    """``t, t_check, v, v_check``: hashes of training and evaluation texts within the distance.
+def near_texts(train: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs ``t, t_check, v, v_check`` of hashes of texts within the distance, and ``row_id, nid, check`` of either side's rows.
 
-    ``texts`` has distinct ``eval, nid, check, norm``, where ``eval`` tells the
-    evaluation side. An empty side gives no pairs; equal texts are a pair.
+    The sides have ``row_id, text``. Null texts and texts without a letter or
+    digit have no row; equal texts are a pair.
     """
-    spark = texts.sparkSession
-    rank = spark.sparkContext.broadcast(shingle_order(texts))
-    features = texts.select("eval", "nid", "norm").mapInPandas(lambda frames: _featured(frames, rank.value), "eval boolean, nid bigint, n int, shared int, prefix binary, bag binary")
-    sizes = {r["eval"]: r["count"] for r in texts.groupBy("eval").count().collect()}
-    blocks = max(1, math.ceil(sizes.get(True, 0) / INDEX_BLOCK))
-    probes = max(spark.sparkContext.defaultParallelism, math.ceil(sizes.get(False, 0) / PROBE_BLOCK))
-    # cell = block * probes + probe: an evaluation text goes to all cells of its block, a training text to one of each block
-    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    hashed = F.xxhash64("nid", F.lit("block"))
-    cells = F.when(F.col("eval"), F.transform(every(probes), lambda p: F.pmod(hashed, F.lit(blocks)) * probes + p)).otherwise(F.transform(every(blocks), lambda b: b * probes + F.pmod(hashed, F.lit(probes))))
-    spread = features.withColumn("cell", F.explode(cells.cast("array<int>"))).repartitionById(blocks * probes, "cell").sortWithinPartitions(F.desc("eval"))
-    found = cut_lineage(spread.select("eval", "nid", "n", "shared", "prefix", "bag").mapInPandas(_joined, "t bigint, v bigint").distinct())
-
-    def named(side: str, own: bool) -> DataFrame:
-        # the few texts in pairs are fetched by their hash before the pairs meet them
-        wanted = found.select(F.col(side).alias("nid")).distinct()
-        return texts.where(F.col("eval") == own).join(wanted, "nid").select(F.col("nid").alias(side), F.col("check").alias(f"{side}_check"), F.col("norm").alias(f"{side}_norm"))
-
-    pairs = found.join(named("t", False), "t").join(named("v", True), "v")
+    spark = train.sparkSession
+    valid_info = cut_lineage(valid.mapInPandas(lambda frames: _described(frames, None), _INFO))
+    held = spark.sparkContext.broadcast(_counts(valid_info))
+    train_info = cut_lineage(train.mapInPandas(lambda frames: _described(frames, held.value), _INFO))
+    layout = spark.sparkContext.broadcast(_Layout(held.value, _counts(train_info), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sides = {"t": (train, train_info.where("bucket < 0")), "v": (valid, valid_info.where("bucket < 0"))}
+
+    found = candidates(train, valid, layout)
+    for x, (_, info) in sides.items():
+        texts = info.select(_short(F.col("nid")).alias(f"{x}_id"), F.col("nid").alias(x), F.col("odd0").alias(f"{x}0"), F.col("odd1").alias(f"{x}1"), F.col("n").alias(f"{x}n")).distinct()
+        found = found.join(texts, f"{x}_id").drop(f"{x}_id")
+    odd = F.bit_count(F.col("t0").bitwiseXOR(F.col("v0"))) + F.bit_count(F.col("t1").bitwiseXOR(F.col("v1")))
+    most = F.floor(SHARE * F.greatest("tn", "vn") + 1e-9)
+    # an edit changes at most two characters' oddness
+    close = cut_lineage(found.where(odd <= 2 * most).select("t", "v"))
+    few = close.count() <= FEW_PAIRS
+    small = F.broadcast if few else lambda df: df
+
+    pairs = close
+    for x, (rows, info) in sides.items():
+        wanted = small(close.select(F.col(x).alias("nid")).distinct())
+        some = info.join(wanted, "nid", "left_semi").groupBy("nid", "check").agg(F.min("row_id").alias("row_id"))
+        named = rows.join(small(some.select("row_id")), "row_id", "left_semi").mapInPandas(_named, "nid bigint, check int, norm string").distinct()
+        pairs = pairs.join(named.toDF(x, f"{x}_check", f"{x}_norm"), x)
     most = F.floor(SHARE * F.greatest(F.length("t_norm"), F.length("v_norm")) + 1e-9)
-    return pairs.where(F.levenshtein("t_norm", "v_norm") <= most).select("t", "t_check", "v", "v_check")
+    near = pairs.where(F.levenshtein("t_norm", "v_norm") <= most).select("t", "t_check", "v", "v_check")
+    return near, *(info.select("row_id", "nid", "check") for _, info in sides.values())
 
 
 def overlaps(train: DataFrame, valid: DataFrame, column: str = "input", id_col: str = "row_id") -> DataFrame:
     """``train_row_id, valid_row_id`` of all overlapping rows, copies included.
 
-    Null texts and texts without a letter or digit never overlap.
+    Null texts, texts without a letter or digit and rows without an id never
+    overlap. Other columns don't matter; repeated rows give repeated pairs.
     """
-    both = normalised(train, id_col, column).withColumn("eval", F.lit(False)).union(normalised(valid, id_col, column).withColumn("eval", F.lit(True)))
-    rows = cut_lineage(both)
-    texts = cut_lineage(rows.select("eval", "nid", "check", "norm").distinct())
-    near = near_texts(texts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("salt")
-    side = lambda own, name: rows.where(F.col("eval") == own).select(F.col("nid").alias(name), F.col("check").alias(f"{name}_check"), F.col("row_id").alias(f"{name}_row"), salt)
-    left = near.join(side(False, "t"), ["t", "t_check", "salt"]).select("t_row", "v", "v_check", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return left.join(side(True, "v"), ["v", "v_check", "salt"]).select(F.col("t_row").alias("train_row_id"), F.col("v_row").alias("valid_row_id"))
+    near, t_rows, v_rows = near_texts(*(rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("row_id"), F.col(column).alias("text")) for rows in (train, valid)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    side = lambda rows, x: rows.select(F.col("nid").alias(x), F.col("check").alias(f"{x}_check"), F.col("row_id").alias(f"{x}_row"), F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).alias("salt"))
+    left = near.select("*", salts).join(side(t_rows, "t"), ["t", "t_check", "salt"]).select("t_row", "v", "v_check", salts)
+    return left.join(side(v_rows, "v"), ["v", "v_check", "salt"]).select(F.col("t_row").alias("train_row_id"), F.col("v_row").alias("valid_row_id"))
 
 
 def report(pairs: DataFrame, valid: DataFrame) -> DataFrame:

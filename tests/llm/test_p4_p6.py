@@ -1,7 +1,7 @@
+import itertools
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from labelforge.llm import lookalike, p4_overlap, p6_frequency
@@ -49,9 +49,10 @@ def test_join_is_exact(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_blocks_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(p4_overlap, "INDEX_BLOCK", 7)
-    monkeypatch.setattr(p4_overlap, "PROBE_BLOCK", 5)
+def test_hot_shingles_and_copies(spark, monkeypatch):
+    """Every shingle is in a grid of cells."""
+    for name, value in {"CELL_EVAL": 3, "CELL_TRAIN": 4, "TASK_POSTINGS": 50}.items():
+        monkeypatch.setattr(p4_overlap, name, value)
     rows = [(i, f"孩子{i % 11}屁股又红又烫上周末饭后慢慢觉得同时腿脚发软一躺下更明显{i % 11}") for i in range(40)]
     t = spark.createDataFrame(rows, "row_id long, input string")
     got = p4_overlap.overlaps(t, t.selectExpr("row_id + 100 as row_id", "input"))
@@ -63,14 +64,29 @@ def test_empty_sides(spark):
     assert p4_overlap.overlaps(t.limit(0), t).count() == p4_overlap.overlaps(t, t.limit(0)).count() == 0
 
 
-def test_prefix_needs_enough_edits():
-    rank = np.random.default_rng(0).permutation(1 << p4_overlap.BITS).astype(np.int32)
-    for _, n, grams in p4_overlap._batches(pd.Series(texts(5))):
-        chosen, shared = p4_overlap.prefixes(grams, n, rank)
-        everything = p4_overlap._edits_to_destroy(grams >= 0)
-        need = np.minimum(p4_overlap.tau_of(n) + p4_overlap.SHARED, everything)
-        assert (p4_overlap._edits_to_destroy(chosen) >= need).all() and (shared >= 1).all()
-        assert not (chosen & (grams < 0)).any()
+def test_prefixes_are_cheapest_and_apart():
+    held = np.random.default_rng(0).integers(0, 50, 1 << p4_overlap.BITS)
+    for _, n, codes in p4_overlap._batches([t for t in texts(5) if t] + ["头" * 700, "".join(random.Random(3).choices("头痛发热咳嗽", k=1300))]):
+        for keys, mask, own in p4_overlap._shingled(codes, n, held):
+            size = int(p4_overlap.shingle_of(n[own])[0])
+            for row, chosen, length in zip(keys, mask, n[own].tolist(), strict=True):
+                places = np.flatnonzero(chosen)
+                assert len(places) == p4_overlap.tau_of(np.array([length]))[0] + 1
+                assert (np.diff(places) >= size).all() and places[-1] + size <= length
+                if length < 30:
+                    cost = held[p4_overlap.bucket(row)]
+                    best = min(sum(cost[list(c)]) for c in itertools.combinations(range(length - size + 1), len(places)) if all(y - x >= size for x, y in zip(c, c[1:])))
+                    assert cost[places].sum() == best
+
+
+def test_windows_change_by_two_for_an_edit():
+    rng = random.Random(7)
+    for _ in range(300):
+        a = "".join(rng.choices("头痛发热咳嗽恶心呕吐失眠腹泻", k=rng.randrange(45, 70)))
+        k = rng.randrange(1, len(a))
+        b = a[:k] + rng.choice(["", "甲", "甲乙", a[k] + "丙"]) + a[k + 1 :]
+        odd = [p4_overlap.windows(codes, n)[0] for t in (a, b) for _, n, codes in p4_overlap._batches([t])]
+        assert np.bitwise_count(odd[0][0] ^ odd[1][0]) <= 2 * levenshtein(a, b)
 
 
 def test_report(spark):
