@@ -22,16 +22,25 @@ def local_session(cpus: str = "8", shuffle: int = 8, memory: str = "8g") -> Spar
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables, visible to all executors.
 
-    It is the session's ``spark.checkpoint.dir``. Only where none is set (a
-    local run) a temporary folder is made, once per session.
+    It is the session's ``spark.checkpoint.dir``. Where none is set, a session
+    whose executors run in the driver's process gets a temporary folder, one
+    per application; any other raises, as executors on other machines would
+    each write to a disk of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="labelforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set; executors of {master} need a folder that they all share")
+        if app not in _local_folders:
+            _local_folders[app] = "file://" + tempfile.mkdtemp(prefix="labelforge-")
+        folder = _local_folders[app]
     return folder.rstrip("/")
 
 
