@@ -48,7 +48,9 @@ CELL_EVAL, CELL_TRAIN = 50_000, 200_000
 TASK_POSTINGS, TASK_HITS = 1_500_000, 400_000_000
 #: Copies over which the rows of a hot text are spread.
 SALTS = 16
-#: Pairs up to which their texts are fetched by a broadcast of their ids (16 bytes each).
+#: Evaluation texts up to which the odd characters of all are broadcast (40 bytes each); more are shuffled.
+FEW_TEXTS = 500_000
+#: Pairs up to which their texts are fetched by a broadcast of their ids (16 bytes each); those of more are shuffled.
 FEW_PAIRS = 200_000
 
 _BLOCK = 120  # least length of the pieces in which a long text's shingles are chosen
@@ -289,7 +291,7 @@ def _first(nid: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-_INFO = "row_id bigint, nid bigint, check int, odd0 bigint, odd1 bigint, bucket int, n bigint"
+_INFO = "row_id bigint, nid bigint, check int, fresh boolean, odd0 bigint, odd1 bigint, bucket int, n bigint"
 
 
 def _described(frames: Iterator[pd.DataFrame], held: np.ndarray | None) -> Iterator[pd.DataFrame]:
@@ -311,9 +313,9 @@ def _described(frames: Iterator[pd.DataFrame], held: np.ndarray | None) -> Itera
                     total += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
                 else:
                     total += np.bincount(bucket(keys[mask]), minlength=1 << BITS)
-        yield pd.DataFrame({"row_id": ids, "nid": nid, "check": check, "odd0": odd[0], "odd1": odd[1], "bucket": -1, "n": [len(t) for t in norms]})
+        yield pd.DataFrame({"row_id": ids, "nid": nid, "check": check, "fresh": new, "odd0": odd[0], "odd1": odd[1], "bucket": -1, "n": [len(t) for t in norms]})
     if len(some := np.flatnonzero(total)):
-        yield pd.DataFrame({"row_id": 0, "nid": 0, "check": 0, "odd0": 0, "odd1": 0, "bucket": some, "n": total[some]})
+        yield pd.DataFrame({"row_id": 0, "nid": 0, "check": 0, "fresh": False, "odd0": 0, "odd1": 0, "bucket": some, "n": total[some]})
 
 
 def _shingled(codes: np.ndarray, lengths: np.ndarray, held: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -444,8 +446,9 @@ def candidates(train: DataFrame, valid: DataFrame, layout) -> DataFrame:
     packed = "part int, eval boolean, n int, data binary"
     sides = [rows.mapInPandas(lambda frames, own=own: _postings(frames, own, layout.value), packed) for rows, own in ((valid, True), (train, False))]
     spread = sides[0].union(sides[1]).repartitionById(layout.value.parts, "part").sortWithinPartitions("part", F.desc("eval"))
-    pairs = spread.mapInPandas(_joined, "pair bigint").distinct()
-    return pairs.select(_short(F.shiftright("pair", 32)).alias("t_id"), _short(F.col("pair")).alias("v_id"))
+    pairs = spread.mapInPandas(_joined, "pair bigint")
+    # partitioned as the join that follows needs it, so pairs are shuffled once
+    return pairs.select(_short(F.shiftright("pair", 32)).alias("t_id"), _short(F.col("pair")).alias("v_id")).repartition("t_id").distinct()
 
 
 def _named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -469,7 +472,12 @@ def near_texts(train: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame
 
     found = candidates(train, valid, layout)
     for x, (_, info) in sides.items():
-        texts = info.select(_short(F.col("nid")).alias(f"{x}_id"), F.col("nid").alias(x), F.col("odd0").alias(f"{x}0"), F.col("odd1").alias(f"{x}1"), F.col("n").alias(f"{x}n")).distinct()
+        # a task's first sight of a text only, so that a hot one is a row of each task
+        texts = info.where("fresh").select(_short(F.col("nid")).alias(f"{x}_id"), F.col("nid").alias(x), F.col("odd0").alias(f"{x}0"), F.col("odd1").alias(f"{x}1"), F.col("n").alias(f"{x}n"))
+        if x == "v" and valid_info.where("fresh").count() <= FEW_TEXTS:
+            texts = F.broadcast(texts.distinct())
+        else:
+            texts = texts.repartition(f"{x}_id").distinct()
         found = found.join(texts, f"{x}_id").drop(f"{x}_id")
     odd = F.bit_count(F.col("t0").bitwiseXOR(F.col("v0"))) + F.bit_count(F.col("t1").bitwiseXOR(F.col("v1")))
     most = F.floor(SHARE * F.greatest("tn", "vn") + 1e-9)
