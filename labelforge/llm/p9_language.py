@@ -1,12 +1,14 @@
 """Problem 9: the language of each document and of each stretch of a mixed one.
 
 Every language gets a zstandard dictionary of raw sentences. A sentence is
-encoded with each dictionary; the smallest encoding names the language, unless
-the runner-up is nearly as small, which leaves it undecided and part of the
-stretch around it.
+encoded with each dictionary that knows most of its letters (others can't
+shrink it); the smallest encoding names the language, unless the runner-up, or
+without one the encoding without a dictionary, is nearly as small. That leaves
+it undecided and part of the stretch around it.
 
 The dictionaries are made from a bounded sample of labelled documents
-(``SAMPLE_DOCS`` per language, ``SAMPLE_CHARS`` of each, ``DICT_BYTES`` kept).
+(``SAMPLE_DOCS`` per language, sentences from all over each up to
+``SAMPLE_CHARS``, ``DICT_BYTES`` kept).
 As labels may be wrong and documents mixed, each sampled sentence first goes to
 the language among whose sampled documents its words are most at home.
 """
@@ -16,10 +18,12 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANGUAGES = ("zh", "en", "ja", "es", "ko", "fr", "de", "pt", "ru")
 # Other names of the languages (ISO 639-2 and English and own names).
@@ -31,6 +35,10 @@ NAMES = {
 
 #: The labelled sample that the dictionaries are fitted on; everything else sees all documents whole.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 150, 3000, 48_000
+#: Level of the encodings.
+LEVEL = 1
+#: A dictionary knows a letter if it is so large a part of the dictionary's letters; it is used if it knows this part of what the best one knows.
+KNOWN_LETTER, KNOWN_PART = 0.0005, 0.5
 #: The runner-up's encoding must be larger by this part of the smallest.
 MARGIN = 0.04
 #: A sentence that says less than this (see :func:`_weight`) starts no stretch of its own.
@@ -41,6 +49,8 @@ MEMORY = 200_000
 # a full stop ends a sentence before a space or the end, and between letters unless it looks like an abbreviation
 _END = re.compile(r"[。！？!?…\n]+|\.(?=\s|$)|(?<=[^\W\d_A-Z])\.(?=[^\W\d_a-z])")
 _ASIDE = re.compile(r"[（(][^（）()\n]{0,60}[）)]|“[^”\n]{0,40}”|「[^」\n]{0,40}」|\{[^{}]*\}|\[[^\[\]]*\]")
+# an aside that is a sentence by itself: it ends inside the brackets, and the text before it had ended
+_STOP = re.compile(r"[。！？!?…\n.]\s*$")
 _CJK = "　-鿿가-힯豈-﫿"
 
 
@@ -51,11 +61,18 @@ def label_language(label: Column) -> Column:
     return F.when(head.isin(*LANGUAGES), head).otherwise(F.try_element_at(other, head))
 
 
+def _aside(m: re.Match) -> str:
+    found, before = m.group(), m.string[max(0, m.start() - 4) : m.start()]
+    if found[0] in "（(“「" and _STOP.search(found[1:-1]) and (not m.start() or _STOP.search(before)):
+        return f" {found[1:-1]} "
+    return " " * len(found)
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """Start, end and wording of each sentence; asides, quoted terms and JSON are not part of the wording."""
     out, at = [], 0
     # an aside may hold marks that end no sentence of the text
-    shown = _ASIDE.sub(lambda m: " " * len(m.group()), text)
+    shown = _ASIDE.sub(_aside, text)
     for m in [*_END.finditer(shown), None]:
         end = m.end() if m else len(text)
         wording = " ".join(shown[at:end].split())
@@ -65,9 +82,13 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_NO_LETTER, _WIDE = re.compile(r"[\W\d_]+"), re.compile("[⺀-鿿가-힯]+")
+
+
 def _weight(wording: str) -> int:
     """About how much a sentence says: a Han, kana or Hangul character counts as three letters."""
-    return sum(3 if "⺀" <= c <= "鿿" or "가" <= c <= "힯" else 1 for c in wording if c.isalpha())
+    letters = _NO_LETTER.sub("", wording)
+    return len(letters) + 2 * (len(letters) - len(_WIDE.sub("", letters)))
 
 
 def _words(wording: str) -> set[str]:
@@ -86,21 +107,25 @@ def _mixed(wording: str) -> bool:
 def fit_dictionaries(sample: list[tuple[str, str]]) -> dict[str, bytes]:
     """Raw dictionaries from (labelled language, text); wrong labels are outvoted word by word."""
     held = [(lang, wording) for lang, text in sample for _, _, wording in sentences(text) if _weight(wording) >= 12 and not _mixed(wording)]
-    given = [lang for lang, _ in held]
-    words = [_words(w) for _, w in held]
-    assigned = list(given)
+    place = {lang: k for k, lang in enumerate(LANGUAGES)}
+    assigned = np.array([place[lang] for lang, _ in held], dtype=np.int64)
+    vocabulary: dict[str, int] = {}
+    words = [[vocabulary.setdefault(w, len(vocabulary)) for w in _words(wording)] for _, wording in held]
+    of = np.repeat(np.arange(len(held)), [len(ws) for ws in words])
+    ids = np.array([w for ws in words for w in ws], dtype=np.int64)
     for _ in range(3):
-        counts: dict[str, collections.Counter] = {lang: collections.Counter() for lang in LANGUAGES}
-        size = collections.Counter(assigned)
-        for lang, ws in zip(assigned, words, strict=True):
-            counts[lang].update(ws)
-        present = [lang for lang in LANGUAGES if size[lang]]
-
-        def score(lang: str, ws: set[str], own: bool) -> float:
-            n = size[lang] - own
-            return sum(math.log((counts[lang][w] - own + 0.02) / (n + 1)) for w in ws)
-
-        assigned = [max(present, key=lambda lang: (score(lang, ws, lang == a), lang == a)) if ws else a for a, ws in zip(assigned, words, strict=True)]
+        size = np.bincount(assigned, minlength=len(LANGUAGES))
+        counts = np.zeros((len(LANGUAGES), len(vocabulary)))
+        np.add.at(counts, (assigned[of], ids), 1)
+        scores = np.full((len(LANGUAGES), len(held)), -np.inf)
+        for k in np.flatnonzero(size):
+            # a sentence doesn't speak for itself
+            own = (assigned[of] == k).astype(float)
+            scores[k] = np.bincount(of, np.log((counts[k][ids] - own + 0.02) / (size[k] - own + 1)), minlength=len(held))
+        best = scores.max(axis=0, initial=-np.inf)
+        stays = scores[assigned, np.arange(len(held))] >= best
+        assigned = np.where(stays, assigned, scores.argmax(axis=0))
+    assigned = [LANGUAGES[k] for k in assigned]
     out = {}
     for lang in LANGUAGES:
         own = list(dict.fromkeys(w for a, (_, w) in zip(assigned, held, strict=True) if a == lang))
@@ -117,39 +142,50 @@ class Classifier:
     """Names a sentence's language by the dictionary that encodes it smallest."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.encoders = {lang: zstandard.ZstdCompressor(level=6, dict_data=self._loaded(raw), write_content_size=False) for lang, raw in dictionaries.items()}
-        self.known: dict[str, tuple[str | None, float]] = {}
+        self.encoders = {lang: zstandard.ZstdCompressor(level=LEVEL, dict_data=self._loaded(raw), write_content_size=False) for lang, raw in dictionaries.items()}
+        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        self.letters = {lang: self._letters(raw.decode("utf-8", "ignore")) for lang, raw in dictionaries.items()}
+        self.known: dict[str, tuple[str | None, float, int]] = {}
 
     @staticmethod
     def _loaded(raw: bytes) -> zstandard.ZstdCompressionDict:
         data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(level=6)
+        data.precompute_compress(level=LEVEL)
         return data
 
-    def __call__(self, wording: str) -> tuple[str | None, float]:
-        """Language and confidence, 0 to 1; no language if the margin is narrow or too little is said."""
+    @staticmethod
+    def _letters(text: str) -> set[str]:
+        counts = collections.Counter(_NO_LETTER.sub("", text.lower()))
+        return {c for c, n in counts.items() if n >= KNOWN_LETTER * counts.total()}
+
+    def __call__(self, wording: str) -> tuple[str | None, float, int]:
+        """Language, confidence from 0 to 1, and weight; no language if the margin is narrow or too little is said."""
         if wording not in self.known:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            self.known[wording] = self._decide(wording)
+            weight = _weight(wording)
+            self.known[wording] = (*self.decide(wording), weight) if weight >= LEAST_WEIGHT else (None, 0.0, weight)
         return self.known[wording]
 
-    def _decide(self, wording: str, least: int = LEAST_WEIGHT, margin: float = MARGIN) -> tuple[str | None, float]:
-        if _weight(wording) < least or not self.encoders:
+    def decide(self, wording: str) -> tuple[str | None, float]:
+        letters = set(_NO_LETTER.sub("", wording.lower()))
+        knows = {lang: len(letters & own) for lang, own in self.letters.items()}
+        most = max(knows.values(), default=0)
+        if not most:
             return None, 0.0
         data = wording.encode("utf-8", "ignore")
-        ranked = sorted((max(1, len(e.compress(data)) - 8), lang) for lang, e in self.encoders.items())
-        if len(ranked) == 1:
-            return ranked[0][1], 0.5
-        return (ranked[0][1] if ranked[1][0] >= (1 + margin) * ranked[0][0] else None), 1 - ranked[0][0] / ranked[1][0]
+        size = lambda encoder: max(1, len(encoder.compress(data)) - 8)
+        ranked = sorted((size(self.encoders[lang]), lang) for lang, n in knows.items() if n >= KNOWN_PART * most)
+        best, lang = ranked[0]
+        other = ranked[1][0] if len(ranked) > 1 else size(self.plain)
+        return (lang if other >= (1 + MARGIN) * best else None), max(0.0, 1 - best / other)
 
     def stretches(self, text: str) -> list[tuple[str, float, int, int]]:
         """Language, confidence and place of each longest run of sentences in one language."""
         runs: list[list] = []  # language, sum of confidence by weight, weight, start, end
         pending = None
         for start, end, wording in sentences(text):
-            lang, sure = self(wording)
-            weight = _weight(wording)
+            lang, sure, weight = self(wording)
             if lang is None:
                 if runs:
                     runs[-1][4] = end
@@ -164,18 +200,29 @@ class Classifier:
                 runs.append([lang, sure * weight, weight, start if pending is None else pending, end])
                 pending = None
         if not runs:
-            # nothing but short or doubtful sentences: they are judged together
-            lang, sure = self._decide(" ".join(w for _, _, w in sentences(text)), least=2, margin=0.0)
+            # nothing but short or doubtful sentences: they are judged together, by the same margin
+            lang, sure = self.decide(" ".join(w for _, _, w in sentences(text)))
             return [(lang, sure, 0, len(text))] if lang else []
         return [(lang, total / weight, start, end) for lang, total, weight, start, end in runs]
 
 
+@F.pandas_udf(T.StringType())
+def _spread(texts: pd.Series) -> pd.Series:
+    """Sentences from all over a text, evenly spaced, up to about SAMPLE_CHARS in all."""
+
+    def spread(text: str) -> str:
+        every = math.ceil(len(text) / SAMPLE_CHARS)
+        return "\n".join(w for _, _, w in sentences(text)[::every])[: 2 * SAMPLE_CHARS]
+
+    return texts.map(spread, na_action="ignore")
+
+
 def fit(documents: DataFrame) -> dict[str, bytes]:
     """Dictionaries from at most SAMPLE_DOCS labelled documents of each language, whatever the input."""
     labelled = documents.select("doc_id", "text", label_language(F.col("lang")).alias("known")).where("known is not null and length(text) > 10")
     # a window with a limit: each task keeps SAMPLE_DOCS of a language before the shuffle
     order = Window.partitionBy("known").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = labelled.select("known", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    few = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS).select("known", "k", _spread("text").alias("text"))
     return fit_dictionaries([(r["known"], r["text"]) for r in few.orderBy("known", "k").collect()])
 
 
