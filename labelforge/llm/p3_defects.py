@@ -1,17 +1,27 @@
 """Problem 3: answers that do not answer their prompt, with the type of defect.
 
-Copies are found by compressing the answer with the prompt as a zstandard
-dictionary: a copy shrinks to almost nothing. Refusals are told by a list of
-wordings and answers in another language by their script, over what the answer
-says (values of its label object and its prose, never keys), cut answers by the
-automaton and the terminal contexts of problem 5. One defect is given, the first of empty, copy,
-refusal, truncated, other_language that holds; an answer that only looks
-unfinished because it is a refusal or a copy is no cut one.
+* A copy is told by compression: with the prompt as a zstandard dictionary it
+  shrinks to almost nothing.
+* A refusal is prose without a label that is encoded smaller with a dictionary
+  of refusals than with one of ordinary prose. Both are fitted on a bounded
+  sample of the answers: ``REFUSAL_SAMPLE`` that decline in one of the fixed
+  wordings, as many prompts and as much prose beside labels. A whole Chinese
+  answer that names no label and triages nothing is a refusal in any wording.
+* Another language is told by the dictionaries of problem 9: one of them encodes
+  what the answer says (values of its label object and its prose, never keys)
+  clearly smaller than the Chinese one. A few words that no dictionary shrinks
+  are judged by their script.
+* Cut answers are told by the automaton and the terminal contexts of problem 5.
+
+One defect is given, the first of empty, copy, refusal, truncated,
+other_language that holds; an answer that only looks unfinished because it is a
+refusal or a copy is no cut one.
 """
 
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
@@ -19,13 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.llm import p5_cutoff
+from labelforge.llm import p5_cutoff, p9_language
 from labelforge.session import cut_lineage
 
 #: An answer is a copy if, given the prompt, it takes at most this part of its own compressed size,
 COPY_RATIO = 0.5
-#: and if it is at least this part as long as the prompt (letters and digits of both).
-COPY_LENGTH = 0.5
+#: and if it gives back at least this part of the prompt: so much is left of the prompt's own size once the answer is known.
+COPY_SHARE = 0.5
+#: Answers that decline, and prompts and whole answers, on which the refusal and the ordinary dictionary are fitted; and bytes kept of each.
+REFUSAL_SAMPLE, REFUSAL_BYTES = 2000, 64_000
+#: The ordinary encoding of a refusal must be larger by this part.
+REFUSAL_MARGIN = 0.05
 
 # Ways of declining, and wordings that use the same words without declining.
 REFUSALS = re.compile(
@@ -92,19 +106,25 @@ def _folded(text: str) -> str:
     return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text).lower())
 
 
+def _size_given(text: bytes, known: bytes) -> int:
+    """Compressed size of a text with another as dictionary, without the nine bytes that a frame takes by itself."""
+    raw = zstandard.ZstdCompressionDict(known.ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False).compress(text)) - 9
+
+
+_PLAIN = zstandard.ZstdCompressor(level=3, write_content_size=False)
+
+
 def is_copy(said: str, prompt: str) -> bool:
-    """Whether what was said gives back the prompt, by compression with it as dictionary."""
-    if len(said) < COPY_LENGTH * len(prompt) * 0.6:
+    """Whether what was said gives back the prompt, by compression of each with the other as dictionary."""
+    a, b = _folded(prompt).encode("utf-8", "ignore"), _folded(said).encode("utf-8", "ignore")
+    if not a or not b:
         return False
-    a, b = _folded(prompt), _folded(said)
-    if not a or len(b) < COPY_LENGTH * len(a):
+    plain = max(1, len(_PLAIN.compress(b)) - 9)
+    if _size_given(b, a) > COPY_RATIO * plain:
         return False
-    data = b.encode("utf-8", "ignore")
-    raw = zstandard.ZstdCompressionDict(a.encode("utf-8", "ignore").ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    plain = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(data))
-    given = len(zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False).compress(data))
-    # a frame takes nine bytes by itself, which is much of a short text
-    return given - 9 <= COPY_RATIO * max(1, plain - 9)
+    # a short quote of the prompt shrinks as well, but leaves most of the prompt untold
+    return _size_given(a, b) <= (1 - COPY_SHARE) * max(1, len(_PLAIN.compress(a)) - 9)
 
 
 # Latin words that any language may hold: short abbreviations, words with digits, and units; beside Han also names.
@@ -128,8 +148,20 @@ _HAN, _KANA, _LATIN = re.compile("[一-鿿㐀-䶿]"), re.compile("[ぁ-ヺ]"), r
 _REST = re.compile("[一-鿿㐀-䶿ぁ-ヿ\x00-ɏ\u2000-\u206f\u3000-\u303f\uff00-\uffef]")
 
 
-def is_foreign(said: list[str]) -> bool:
-    """Whether the wording of prose and values is not Chinese, by script: another one, or Latin words beyond names and abbreviations.
+_KEY = re.compile(r'"\w*"?\s*:|\\u[0-9a-fA-F]{0,4}|\\')
+
+
+def is_foreign(said: list[str], languages: p9_language.Classifier | None = None) -> bool:
+    """Whether the wording of prose and values is not Chinese: by language dictionaries, and by script where these can't tell."""
+    if languages is not None:
+        wording = " ".join(" ".join(_WORD.sub(_without_abbreviation, _KEY.sub(" ", s)) for s in said).lower().split())
+        if any(c.isalpha() for c in wording) and (foreign := languages.foreign_to(wording, "zh")) is not None:
+            return foreign
+    return _foreign_script(said)
+
+
+def _foreign_script(said: list[str]) -> bool:
+    """Another script, or Latin words beyond names and abbreviations.
 
     A capital makes a name only beside Han characters in the same text; a value
     without any may be in title case or German.
@@ -145,8 +177,55 @@ def is_foreign(said: list[str]) -> bool:
     return latin > 3 and latin > 3 * han
 
 
-def defect_of(text: str | None, prompt: str | None) -> str:
-    """empty, copy, refusal, foreign (other_language unless it was cut) or ''."""
+class Refusals:
+    """Tells refusals by the smaller of two encodings."""
+
+    def __init__(self, refusals: list[str], ordinary: list[str]):
+        self.encoders = [p9_language.encoder(self._joined(texts)) for texts in (refusals, ordinary)] if refusals and ordinary else []
+
+    @staticmethod
+    def _joined(texts: list[str]) -> bytes:
+        kept = b""
+        for t in dict.fromkeys(texts):
+            if len(kept) < REFUSAL_BYTES:
+                kept += t.encode("utf-8", "ignore") + b"\n"
+        return kept
+
+    def __call__(self, text: str) -> bool:
+        if not self.encoders:
+            return False
+        data = text.encode("utf-8", "ignore")
+        declining, ordinary = (max(1, len(e.compress(data)) - 8) for e in self.encoders)
+        return (1 + REFUSAL_MARGIN) * declining <= ordinary
+
+
+def _declines(text: str) -> bool:
+    return bool(REFUSALS.search(text) or REFUSALS_ABROAD.search(text))
+
+
+def _labelled(body: str, values: list) -> bool:
+    """Whether an answer names a label, in an object or in prose."""
+    named = any(isinstance(v, dict) and _LABEL_KEYS & v.keys() and any(_visible(s) for s in _strings({k: v[k] for k in _LABEL_KEYS & v.keys()})) for v in values)
+    return named or bool(re.search("(?:科室|紧急程度|症状)\\s*[：:]|\"department\"", body))
+
+
+def _own_words(prose: str, strings: list[str]) -> str:
+    """What an answer says without what it quotes, which tells nothing about its own intent."""
+    return re.sub("“[^”]*”|「[^」]*」|\"[^\"]*\"", "", prose) + " " + " ".join(strings)
+
+
+def fit_refusals(answers: DataFrame) -> tuple[list[str], list[str]]:
+    """Own words of REFUSAL_SAMPLE declining answers, and as many prompts and prose beside labels."""
+    some = lambda rows, column: [r[0] for r in rows.orderBy(F.xxhash64("key")).limit(REFUSAL_SAMPLE).select(column).collect()]
+    declining = F.col("response").rlike(REFUSALS.pattern) & ~F.col("response").contains("department")
+    read = [parts(t) for t in some(answers.where(declining), "response")]
+    refusals = [w for body, values, prose in read if not _labelled(body, values) and _declines(w := _own_words(prose, [s for v in values for s in _strings(v)]))]
+    beside = [prose for _, _, prose in map(parts, some(answers.where(F.col("response").rlike(r"\}\s*[^\s`}]{4}")), "response")) if prose.strip() and not _declines(prose)]
+    return [w.strip() for w in refusals], beside + some(answers.where("prompt is not null"), "prompt")
+
+
+def defect_of(text: str | None, prompt: str | None, languages: p9_language.Classifier | None = None, refusals: Refusals | None = None) -> str:
+    """empty, copy, refusal, foreign (other_language unless it was cut), silent (refusal unless it was cut) or ''."""
     if text is None or not _visible(text):
         return "empty"
     body, values, prose = parts(text)
@@ -156,36 +235,46 @@ def defect_of(text: str | None, prompt: str | None) -> str:
         return "empty"
     if prompt and is_copy(said, prompt):
         return "copy"
-    labelled = any(isinstance(v, dict) and _LABEL_KEYS & v.keys() and any(_visible(s) for s in _strings({k: v[k] for k in _LABEL_KEYS & v.keys()})) for v in values)
-    if not labelled and not re.search("(?:科室|紧急程度|症状)\\s*[：:]|\"department\"", body):
-        # what it quotes from the prompt says nothing about its own intent
-        own = re.sub("“[^”]*”|「[^」]*」|\"[^\"]*\"", "", prose) + " " + " ".join(strings)
-        if REFUSALS.search(own) or REFUSALS_ABROAD.search(own):
-            return "refusal"
-    if is_foreign([prose, *strings]):
+    labelled = _labelled(body, values)
+    if not labelled and _declines(own := _own_words(prose, strings)):
+        return "refusal"
+    if is_foreign([prose, *strings], languages):
         return "foreign"
+    if not labelled:
+        return "refusal" if refusals is not None and refusals(own) else "silent"
     return ""
 
 
-@F.pandas_udf(T.StringType())
-def _defect(text: pd.Series, prompt: pd.Series) -> pd.Series:
-    return pd.Series([defect_of(t, p) for t, p in zip(text, prompt, strict=True)], dtype=object)
+def _judge(dictionaries: dict[str, bytes], examples: tuple[list[str], list[str]]):
+    @F.pandas_udf(T.StringType())
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        # lower case on both sides: a value in title case is the same word
+        languages = p9_language.Classifier({lang: raw.decode("utf-8", "ignore").lower().encode() for lang, raw in dictionaries.items()}) if dictionaries else None
+        refusals = Refusals(*examples)
+        for text, prompt in batches:
+            yield pd.Series([defect_of(t, p, languages, refusals) for t, p in zip(text, prompt, strict=True)], dtype=object)
+
+    return judge
 
 
-def defective(answers: DataFrame, labels: DataFrame) -> DataFrame:
+def defective(answers: DataFrame, labels: DataFrame, dictionaries: dict[str, bytes] | None = None) -> DataFrame:
     """``table_name, record_id, defect`` of defective ``answers`` (table_name, record_id, source, prompt, response).
 
-    Null prompts allow every defect but copy; repeated rows are judged each.
+    ``dictionaries`` are those of :func:`p9_language.fit`; without them languages
+    are told by script. Null prompts allow every defect but copy; repeated rows
+    are judged each.
     """
     keyed = answers.select(F.struct("table_name", "record_id").alias("key"), "source", "prompt", "response")
-    judged = cut_lineage(keyed.select("key", _defect("response", "prompt").alias("d")).where("d <> ''"))
-    settled = judged.where("d <> 'foreign'")
+    judge = _judge(dictionaries or {}, fit_refusals(keyed))
+    judged = cut_lineage(keyed.select("key", judge("response", "prompt").alias("d")).where("d <> ''"))
+    settled = judged.where("d not in ('foreign', 'silent')").select("key", F.col("d").alias("defect"))
     cut = p5_cutoff.cut_keys(keyed, labels)
     # an unknown ending says little in another language, an open structure says all
-    foreign = judged.where("d = 'foreign'").join(cut.where("structural"), "key", "left_anti")
-    truncated = cut.join(settled.select("key").union(foreign.select("key")), "key", "left_anti").select("key", F.lit("truncated").alias("defect"))
-    foreign = foreign.select("key", F.lit("other_language").alias("defect"))
-    return settled.select("key", F.col("d").alias("defect")).union(foreign).union(truncated).select("key.table_name", "key.record_id", "defect")
+    foreign = judged.where("d = 'foreign'").join(cut.where("structural"), "key", "left_anti").select("key", F.lit("other_language").alias("defect"))
+    silent = judged.where("d = 'silent'").join(cut, "key", "left_anti").select("key", F.lit("refusal").alias("defect"))
+    known = settled.union(foreign)
+    truncated = cut.join(known.select("key"), "key", "left_anti").select("key", F.lit("truncated").alias("defect"))
+    return known.union(silent).union(truncated).select("key.table_name", "key.record_id", "defect")
 
 
 def answers_of(predictions: DataFrame, pairs: DataFrame) -> DataFrame:

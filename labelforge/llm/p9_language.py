@@ -138,21 +138,22 @@ def fit_dictionaries(sample: list[tuple[str, str]]) -> dict[str, bytes]:
     return out
 
 
+def encoder(raw: bytes) -> zstandard.ZstdCompressor:
+    """Encodes with a raw-content dictionary."""
+    data = zstandard.ZstdCompressionDict(raw.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False)
+
+
 class Classifier:
     """Names a sentence's language by the dictionary that encodes it smallest."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.encoders = {lang: zstandard.ZstdCompressor(level=LEVEL, dict_data=self._loaded(raw), write_content_size=False) for lang, raw in dictionaries.items()}
+        self.encoders = {lang: encoder(raw) for lang, raw in dictionaries.items()}
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.letters = {lang: self._letters(raw.decode("utf-8", "ignore")) for lang, raw in dictionaries.items()}
         self.known: dict[str, tuple[str | None, float, int]] = {}
 
-    @staticmethod
-    def _loaded(raw: bytes) -> zstandard.ZstdCompressionDict:
-        data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(level=LEVEL)
-        return data
-
     @staticmethod
     def _letters(text: str) -> set[str]:
         counts = collections.Counter(_NO_LETTER.sub("", text.lower()))
@@ -180,6 +181,20 @@ class Classifier:
         other = ranked[1][0] if len(ranked) > 1 else size(self.plain)
         return (lang if other >= (1 + MARGIN) * best else None), max(0.0, 1 - best / other)
 
+    def foreign_to(self, wording: str, home: str) -> bool | None:
+        """Whether another language's dictionary encodes a wording clearly smaller than that of ``home``; null if neither is clearly smaller."""
+        if home not in self.encoders:
+            return None
+        letters = set(_NO_LETTER.sub("", wording.lower()))
+        knows = {lang: len(letters & own) for lang, own in self.letters.items()}
+        most = max(knows.values())
+        data = wording.encode("utf-8", "ignore")
+        size = lambda encoder: max(1, len(encoder.compress(data)) - 8)
+        own = size(self.encoders[home])
+        others = [size(self.encoders[lang]) for lang, n in knows.items() if lang != home and most and n >= KNOWN_PART * most]
+        other = min(others) if others else size(self.plain)
+        return True if others and (1 + MARGIN) * other <= own else False if (1 + MARGIN) * own <= other else None
+
     def stretches(self, text: str) -> list[tuple[str, float, int, int]]:
         """Language, confidence and place of each longest run of sentences in one language."""
         runs: list[list] = []  # language, sum of confidence by weight, weight, start, end

@@ -70,7 +70,8 @@ def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred, pairs = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "dpo_train_2")
     labels = pred.select(F.col("gold").alias("label")).union(pred.select("parsed")).union(pairs.select("chosen.value"))
-    return p3_defects.defective(p3_defects.answers_of(pred, pairs), labels)
+    dictionaries = p9_language.fit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return p3_defects.defective(p3_defects.answers_of(pred, pairs), labels, dictionaries)
 
 
 def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
