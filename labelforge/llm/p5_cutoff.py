@@ -5,19 +5,21 @@ paired quotes and brackets of prose, code fences, control tokens and broken
 characters. Whatever is still open at the end means that the text was cut, a
 closed structure with nothing behind it that it was not.
 
-Prose that ends without a terminator is judged by terminal contexts: how the
-last segment starts and ends must have been seen on a segment that a terminator
-closed, its last list item must be a known item, or the ending must be a habit
-of the source (its baseline of unterminated answers). All contexts are counted
-over all texts.
+Prose that ends without a terminator is judged by terminal contexts, counted
+over all texts: how the last segment starts and ends, or its last list item,
+must be closed by a terminator often enough against how often it is left open,
+in all answers and in those of the same source. Else the ending must be a habit
+of its source, the baseline of its unterminated answers. Neither excuses an
+answer at the length at which its source's answers pile up unfinished.
 """
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +37,11 @@ _CONTROL_CUT = re.compile(r"<(?:\||\|[a-zA-Z_]+\|?|/|/?s)?$")
 START, END = 3, 4
 #: An unterminated ending is a habit of a source from this share of its answers, and this count, on.
 HABIT_SHARE, HABIT_COUNT = 0.001, 5
+#: A context excuses endings if it is closed at least so often for each that is open; from HABIT_COUNT open ones of a source on also by its rates.
+CLOSED_RATE = 0.5
+#: The greatest length of a source is a limit if so many answers have it and this part of them is unfinished, some of them
+#: in the middle of a structure or in different ways (one ending alone is a habit).
+LIMIT_COUNT, LIMIT_SHARE = 5, 0.5
 
 WHOLE, CUT, ASK = 0, 1, 2
 
@@ -134,7 +141,7 @@ _CLAUSES = re.compile(r"[，,。！？!?；;：:（）\n]")
 _ITEMS = re.compile(r"([^、，。：；]+)(?=[、。])")
 _SPLITTER, _LABELLED = re.compile(_SPLIT), re.compile(_LABEL)
 
-#: Contexts that a task keeps to send each only once; past that it sends some again.
+#: Contexts that a task counts before it sends them.
 KEPT = 500_000
 
 
@@ -151,60 +158,69 @@ def _closed_parts(text: str) -> Iterator[tuple[str, str, str]]:
             yield clean[:START], re.split("[，,]", clean)[-1].strip()[:START], clean[-END:]
 
 
+def _found_in(response: str | None, prompt: str | None) -> Iterator[tuple[str, str, str, str]]:
+    if response and not _plain_object(response):
+        ends = _CLOSED.search(response)
+        if ends:
+            for start, clause, end in _closed_parts(response[: ends.end()]):
+                yield "a", start, clause, end
+        if "、" in response:
+            for item in _ITEMS.findall(response):
+                if item := item.strip():
+                    yield "i", item, "", ""
+    if prompt:
+        for start, _, end in _closed_parts(prompt):
+            yield "p", start, "", end
+        for clause in _CLAUSES.split(prompt):
+            if clause:
+                yield "c", "", clause.strip()[:START], clause[-END:]
+
+
+def _counted(found: Iterator[Iterator], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Counts of what each frame holds, summed over the task's frames while they stay few."""
+    total: Counter = Counter()
+
+    def sent() -> pd.DataFrame:
+        out = pd.DataFrame([(*key, n) for key, n in total.items()], columns=[*columns, "n"])
+        total.clear()
+        return out
+
+    for keys in found:
+        total.update(keys)
+        if len(total) >= KEPT:
+            yield sent()
+    if total:
+        yield sent()
+
+
 def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``kind, start, clause, end``: a (closed segment of an answer), p (segment of a prompt), c (clause of a prompt), i (list item in prose)."""
-    sent: set[tuple] = set()
-    prompts: set[int] = set()
-    for frame in frames:
-        new = []
-
-        def add(key: tuple) -> None:
-            if key not in sent:
-                if len(sent) >= KEPT:
-                    sent.clear()
-                sent.add(key)
-                new.append(key)
-
-        for response, prompt in zip(frame["response"], frame["prompt"], strict=True):
-            if response and not _plain_object(response):
-                ends = _CLOSED.search(response)
-                if ends:
-                    for start, clause, end in _closed_parts(response[: ends.end()]):
-                        add(("a", start, clause, end))
-                if "、" in response:
-                    for item in _ITEMS.findall(response):
-                        if item := item.strip():
-                            add(("i", item, "", ""))
-            if prompt and hash(prompt) not in prompts:
-                if len(prompts) >= KEPT:
-                    prompts.clear()
-                prompts.add(hash(prompt))
-                for start, _, end in _closed_parts(prompt):
-                    add(("p", start, "", end))
-                for clause in _CLAUSES.split(prompt):
-                    if clause:
-                        add(("c", "", clause.strip()[:START], clause[-END:]))
-        yield pd.DataFrame(new, columns=["kind", "start", "clause", "end"])
+    """``kind, start, clause, end, n``: a (closed segment of an answer), p (segment of a prompt), c (clause of a prompt), i (list item in prose)."""
+    return _counted(((key for r, p in zip(f["response"], f["prompt"], strict=True) for key in _found_in(r, p)) for f in frames), ["kind", "start", "clause", "end"])
+
+
+def _symptoms(label: str | None) -> Iterator[tuple[str]]:
+    try:
+        value = json.loads(label) if label else None
+    except ValueError:
+        return
+    symptoms = value.get("symptoms") if isinstance(value, dict) else None
+    for item in symptoms if isinstance(symptoms, list) else []:
+        if isinstance(item, str) and (item := item.strip()):
+            yield (item,)
 
 
 def _label_items(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Symptoms of whole label objects that have a list of them, without blank ones and what is no string, each once per task."""
-    sent: set[str] = set()
-    for frame in frames:
-        new = []
-        for label in frame["label"]:
-            try:
-                value = json.loads(label) if label else None
-            except ValueError:
-                continue
-            symptoms = value.get("symptoms") if isinstance(value, dict) else None
-            for item in symptoms if isinstance(symptoms, list) else []:
-                if isinstance(item, str) and (item := item.strip()) and item not in sent:
-                    if len(sent) >= KEPT:
-                        sent.clear()
-                    sent.add(item)
-                    new.append(item)
-        yield pd.DataFrame({"item": new}, dtype=object)
+    """``item, n``: symptoms of whole label objects that have a list of them, without blank ones and what is no string."""
+    return _counted(((key for label in f["label"] for key in _symptoms(label)) for f in frames), ["item"])
+
+
+def _excused(ask: DataFrame, closed: DataFrame, sizes: DataFrame, *key: str) -> DataFrame:
+    """``of`` and ``key`` of the endings whose context is closed often enough; ``closed`` has ``key`` and ``n``."""
+    opened = ask.groupBy("of", *key).agg(F.count("*").alias("open")).join(sizes, "of")
+    # few rows share a key: one for each source
+    opened = opened.withColumn("open_in_all", F.sum("open").over(Window.partitionBy(*key)))
+    often = (F.col("n") >= CLOSED_RATE * F.col("open_in_all")) & ((F.col("open") < HABIT_COUNT) | (F.col("n") * F.col("answers") >= CLOSED_RATE * F.col("open") * F.col("all_answers")))
+    return closed.join(opened, list(key)).where(often).select("of", *key)
 
 
 def cut_keys(texts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,17 +237,28 @@ def cut_keys(texts: DataFrame, labels: DataFrame) -> DataFrame:
     clause of an answer counts only if no prompt holds it: answers quote
     clauses of their prompts in the middle of sentences.
     """
-    scanned = cut_lineage(texts.select("key", "source", _scan("response", "prompt").alias("s")).select("key", "source", "s.*").where(F.col("verdict") != WHOLE))
+    # a null source is a source of its own
+    of = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of")
+    scanned = cut_lineage(texts.select("key", of, F.length("response").alias("size"), _scan("response", "prompt").alias("s")).select("key", "of", "size", "s.*").where(F.col("verdict") != WHOLE))
     # most texts are settled by the automaton; only the rest meets the contexts
     ask = scanned.where(F.col("verdict") == ASK)
-    seen = cut_lineage(texts.select("response", "prompt").mapInPandas(_contexts, "kind string, start string, clause string, end string").distinct())
-    segments = seen.where("kind in ('a', 'p')").select("start", "end").distinct()
-    clauses = seen.where("kind = 'a'").select("clause", "end").distinct().join(seen.where("kind = 'c'").select("clause", "end"), ["clause", "end"], "left_anti")
-    items = labels.select("label").mapInPandas(_label_items, "item string").union(seen.where("kind = 'i'").select("start")).distinct()
+    seen = cut_lineage(texts.select("response", "prompt").mapInPandas(_contexts, "kind string, start string, clause string, end string, n bigint").groupBy("kind", "start", "clause", "end").agg(F.sum("n").alias("n")))
+    segments = seen.where("kind in ('a', 'p')").groupBy("start", "end").agg(F.sum("n").alias("n"))
+    asked = seen.where("kind = 'c'").select("clause", "end").distinct()
+    clauses = seen.where("kind = 'a'").groupBy("clause", "end").agg(F.sum("n").alias("n")).join(asked, ["clause", "end"], "left_anti")
     # an ending outside a list has item '', which no item may excuse
-    items = items.where("item <> ''")
-    sizes = texts.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("answers"))
-    habits = ask.groupBy("source", "end").agg(F.count("*").alias("n"))
-    habits = habits.join(sizes, habits["source"].eqNullSafe(sizes["of"])).where((F.col("n") >= HABIT_COUNT) & (F.col("n") >= HABIT_SHARE * F.col("answers"))).select("end").distinct()
-    doubtful = ask.join(segments, ["start", "end"], "left_anti").join(clauses, ["clause", "end"], "left_anti").join(habits, "end", "left_anti").join(items, "item", "left_anti")
-    return scanned.where(F.col("verdict") == CUT).select("key", F.lit(True).alias("structural")).union(doubtful.select("key", F.lit(False)))
+    items = labels.select("label").mapInPandas(_label_items, "item string, n bigint").union(seen.where("kind = 'i'").select("start", "n")).where("item <> ''").groupBy("item").agg(F.sum("n").alias("n"))
+
+    lengths = texts.groupBy(of, F.length("response").alias("size")).agg(F.count("*").alias("at"))
+    sizes = cut_lineage(lengths.groupBy("of").agg(F.sum("at").alias("answers"), F.max(F.struct("size", "at")).alias("longest")))
+    sizes = sizes.select("of", "answers", "longest", F.sum("answers").over(Window.partitionBy(F.lit(1))).alias("all_answers"))
+    ways = F.count_if(F.col("verdict") == CUT) + F.when(F.min("end") < F.max("end"), 1).otherwise(0)
+    open_at = scanned.groupBy("of", "size").agg(F.count("*").alias("open"), ways.alias("ways")).where("ways > 0")
+    limits = sizes.join(open_at, "of").where((F.col("size") == F.col("longest.size")) & (F.col("longest.at") >= LIMIT_COUNT) & (F.col("open") >= LIMIT_SHARE * F.col("longest.at"))).select("of", "size")
+    habits = ask.groupBy("of", "end").agg(F.count("*").alias("n")).join(sizes, "of").where((F.col("n") >= HABIT_COUNT) & (F.col("n") >= HABIT_SHARE * F.col("answers"))).select("of", "end")
+
+    at_limit = ask.join(limits, ["of", "size"], "left_semi")
+    doubtful = ask.join(limits, ["of", "size"], "left_anti").join(habits, ["of", "end"], "left_anti")
+    for closed, *key in ((segments, "start", "end"), (clauses, "clause", "end"), (items, "item")):
+        doubtful = doubtful.join(_excused(ask, closed, sizes, *key), ["of", *key], "left_anti")
+    return scanned.where(F.col("verdict") == CUT).select("key", F.lit(True).alias("structural")).union(at_limit.select("key").union(doubtful.select("key")).select("key", F.lit(False)))
