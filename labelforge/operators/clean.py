@@ -37,7 +37,7 @@ def normalise(rows: DataFrame, text: str = "output", asked: str = "input") -> Da
         F.when(blank, "drop_bad_input")
         .when(~F.col("__object"), "drop_bad_json")
         .when(~F.col("__keys"), "drop_missing_keys")
-        .when(typed.isNull(), "drop_department_not_str")
+        .when(typed.isNull(), "drop_bad_department_type")
         .when(F.col("clean_department").isin(constants.DROPPED_DEPARTMENTS), F.concat(F.lit("drop_department:"), F.col("clean_department")))
         .when(~F.col("clean_department").isin(constants.DEPARTMENTS), F.concat(F.lit("drop_unknown_department:"), F.col("clean_department")))
         .when(~F.coalesce(F.col("clean_urgency").isin(constants.URGENCIES), F.lit(False)), "drop_bad_urgency")

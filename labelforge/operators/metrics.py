@@ -1,30 +1,36 @@
 """Scores of saved predictions against gold labels, and comparisons of two runs."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge import constants
+from labelforge.functions import jsonx
 from labelforge.functions.symptoms import jaccard, with_worded_scores
 from labelforge.operators import gate
-from labelforge.operators.clean import first_wins
 
 BAD = "BAD_ANSWER"
 
 
-def scored(predictions: DataFrame, answer: str = "response", gold: str = "gold", mode: str = "full") -> DataFrame:
-    """One row per prediction with gold and predicted parts and row scores.
+def labelled(predictions: DataFrame, answer: str = "response", gold: str = "gold", mode: str = "full") -> DataFrame:
+    """One row per prediction with gold and predicted parts and whether they agree; symptoms are not compared.
 
     Rows whose gold is invalid keep ``gold_reason`` and count nowhere else.
-    Scores of symptoms are null unless the answer is valid.
     """
     both = gate.with_label(gate.with_label(predictions, gold, "gold"), answer, "pred", mode)
     ok = F.col("pred_reason") == "ok"
-    both = with_worded_scores(both, "gold_symptoms", "pred_symptoms")
     return (
         both.withColumn("dept_ok", ok & (F.col("gold_department") == F.col("pred_department")))
         .withColumn("urgency_ok", ok & (F.col("gold_urgency") == F.col("pred_urgency")))
         .withColumn("pred_label", F.coalesce("pred_urgency", F.lit(BAD)))
-        .withColumn("hard_jaccard", F.when(ok, jaccard(F.col("gold_symptoms"), F.col("pred_symptoms"))))
+    )
+
+
+def scored(predictions: DataFrame, answer: str = "response", gold: str = "gold", mode: str = "full") -> DataFrame:
+    """:func:`labelled` with scores of symptoms, which are null unless the answer is valid."""
+    both = with_worded_scores(labelled(predictions, answer, gold, mode), "gold_symptoms", "pred_symptoms")
+    ok = F.col("pred_reason") == "ok"
+    return (
+        both.withColumn("hard_jaccard", F.when(ok, jaccard(F.col("gold_symptoms"), F.col("pred_symptoms"))))
         .withColumn("worded_f1", F.when(ok, F.col("worded_f1")))
         .withColumn("worded_jaccard", F.when(ok, F.col("worded_jaccard")))
     )
@@ -34,18 +40,23 @@ def _rate(part, whole):
     return F.coalesce(F.round(F.try_divide(part.cast("double"), whole), 6), F.lit(0.0))
 
 
-def _f1(label: str):
-    gold, pred = F.col("gold_urgency") == label, F.col("pred_label") == label
+def _f1(label: str, among: Column):
+    gold, pred = among & (F.col("gold_urgency") == label), among & (F.col("pred_label") == label)
     hit = F.count_if(gold & pred)
     return F.coalesce(F.try_divide(2.0 * hit, F.count_if(gold) + F.count_if(pred)), F.lit(0.0))
 
 
+def macro_f1(among: Column | None = None) -> Column:
+    """Mean F1 of the urgencies, of all rows or those where ``among`` holds."""
+    among = F.lit(True) if among is None else among
+    return F.round(sum((_f1(u, among) for u in constants.URGENCIES), F.lit(0.0)) / len(constants.URGENCIES), 6)
+
+
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """All metrics of scored rows, per group; partial sums only are shuffled."""
     rows = rows.where("gold_reason = 'ok'")
     n, valid = F.count("*"), F.count_if(F.col("pred_reason") == "ok")
     high = F.col("gold_urgency") == "高"
-    macro = sum((_f1(u) for u in constants.URGENCIES), F.lit(0.0)) / len(constants.URGENCIES)
     mean = lambda c: F.coalesce(F.round(F.avg(c), 6), F.lit(0.0))
     return rows.groupBy(*by).agg(
         n.alias("num_evaluated"),
@@ -54,7 +65,7 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
         _rate(F.count_if("dept_ok"), valid).alias("department_accuracy"),
         _rate(F.count_if("urgency_ok"), valid).alias("urgency_accuracy"),
         _rate(F.count_if(F.col("dept_ok") & F.col("urgency_ok")), n).alias("e2e_accuracy"),
-        F.round(macro, 6).alias("urgency_macro_f1"),
+        macro_f1().alias("urgency_macro_f1"),
         _rate(F.count_if(high & (F.col("pred_label") == "高")), F.count_if(high)).alias("high_urgency_recall"),
         F.count_if(high).alias("high_urgency_total"),
         F.count_if(high & (F.col("pred_label") == "中")).alias("high_to_medium"),
@@ -81,9 +92,13 @@ def counters(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(labels).alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
 
 
-def confusion(rows: DataFrame, gold: str, pred: str, labels: list[str]) -> DataFrame:
-    """``gold, pred, n`` for every pair of labels, also those that never occur."""
+def confusion(rows: DataFrame, gold: str, pred: str, labels: list[str], seen: bool = False) -> DataFrame:
+    """``gold, pred, n`` for every pair of labels, also those that never occur; with ``seen`` all other values too, as they occur."""
     spark = rows.sparkSession
+    if seen:
+        counted = rows.groupBy(F.coalesce(gold, F.lit(BAD)).alias("gold"), F.coalesce(pred, F.lit(BAD)).alias("pred")).agg(F.count("*").alias("n"))
+        axis = spark.createDataFrame([(g, p) for g in labels for p in labels], "gold string, pred string")
+        return counted.union(axis.withColumn("n", F.lit(0).cast("bigint"))).groupBy("gold", "pred").agg(F.sum("n").alias("n"))
     axis = spark.createDataFrame([(g, p) for g in labels for p in labels], "gold string, pred string")
     counted = rows.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
     return axis.join(counted, ["gold", "pred"], "left").select("gold", "pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
@@ -92,40 +107,46 @@ def confusion(rows: DataFrame, gold: str, pred: str, labels: list[str]) -> DataF
 def classification_report(rows: DataFrame, gold: str, pred: str, labels: list[str]) -> DataFrame:
     """Precision, recall, F1 and support per label, then accuracy, macro and weighted means.
 
-    Zero divisions give 0. Everything is computed from the counts of the confusion matrix.
+    Zero divisions give 0; labels that neither side holds have no line. Rows are
+    counted once into cells; what follows is as small as the label set.
     """
     cells = rows.groupBy(F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
     per = cells.select(F.explode(F.array_distinct(F.array("g", "p"))).alias("label"), "g", "p", "n").where(F.col("label").isin(labels))
-    sums = per.groupBy("label").agg(F.sum(F.when((F.col("g") == F.col("label")) & (F.col("p") == F.col("label")), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("g") == F.col("label"), F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(F.col("p") == F.col("label"), F.col("n")).otherwise(0)).alias("predicted"))
+    held = lambda a, b: F.sum(F.when((F.col(a) == F.col("label")) & (F.col(b) == F.col("label")), F.col("n")).otherwise(0))
+    sums = per.groupBy("label").agg(held("g", "p").alias("tp"), held("g", "g").alias("support"), held("p", "p").alias("predicted"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    lines = sums.withColumn("precision", zero(F.col("tp"), F.col("predicted"))).withColumn("recall", zero(F.col("tp"), F.col("support"))).withColumn("f1", zero(2.0 * F.col("tp"), F.col("predicted") + F.col("support")))
-    total = F.sum("support")
-    means = lines.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")],
-        *[zero(F.sum(F.col(c) * F.col("support")), total).alias(f"w_{c}") for c in ("precision", "recall", "f1")],
-        zero(F.sum("tp"), total).alias("acc"),
-        total.alias("support"),
-    )
-    extra = means.select(F.explode(F.array(*[F.struct(F.lit(name).alias("label"), F.col(p).alias("precision"), F.col(r).alias("recall"), F.col(f).alias("f1"), F.col("support").alias("support")) for name, p, r, f in (("accuracy", "acc", "acc", "acc"), ("macro avg", "m_precision", "m_recall", "m_f1"), ("weighted avg", "w_precision", "w_recall", "w_f1"))])).alias("x")).select("x.*")
-    cols = ["label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support"]
-    return lines.select("label", "precision", "recall", "f1", "support").union(extra).select(*cols)
+    measures = [zero(F.col("tp"), F.col("predicted")).alias("precision"), zero(F.col("tp"), F.col("support")).alias("recall"), zero(2.0 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1")]
+    lines = sums.select("label", "tp", "support", *measures)
+    # one row that holds all lines, so that the means need no second reading of the rows
+    whole = lines.agg(F.collect_list(F.struct("label", "precision", "recall", "f1", "support")).alias("lines"), F.sum("tp").alias("tp"), F.sum("support").alias("support"), *[F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")], *[F.sum(F.col(c) * F.col("support")).alias(f"w_{c}") for c in ("precision", "recall", "f1")])
+    line = lambda name, p, r, f: F.struct(F.lit(name).alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1"), F.col("support").alias("support"))
+    accuracy, total = zero(F.col("tp"), F.col("support")), F.col("support")
+    extra = F.array(line("accuracy", accuracy, accuracy, accuracy), line("macro avg", *[F.col(f"m_{c}") for c in ("precision", "recall", "f1")]), line("weighted avg", *[zero(F.col(f"w_{c}"), total) for c in ("precision", "recall", "f1")]))
+    return whole.select(F.inline(F.concat("lines", extra))).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def positioned(predictions: DataFrame, gold: str = "gold", answer: str = "response") -> DataFrame:
+    """What a comparison by position needs: a gold label counts by its own values, valid or not, and every row counts."""
+    rows = gate.with_label(predictions.select("pred_id", "run_name", "idx", "input", answer, gate.parsed(F.col(gold)).alias("__gold")), answer, "pred")
+    value = lambda k: jsonx.string_value(F.try_element_at("__gold", F.lit(k)))
+    rows = jsonx.settled(rows, gold_department=value("department"), gold_urgency=value("urgency"))
+    same = lambda k: F.coalesce((F.col("pred_reason") == "ok") & (F.col(f"gold_{k}") == F.col(f"pred_{k}")), F.lit(False))
+    return rows.select("pred_id", "run_name", "idx", "input", (same("department") & same("urgency")).alias("ok"), same("urgency").alias("uok"), F.coalesce("pred_urgency", F.lit(BAD)).alias("urgency"), F.col("gold_urgency").alias("gold"))
 
 
 def paired(rows: DataFrame, base: str, candidate: str) -> DataFrame:
-    """Rows of two runs side by side by position; a retried position counts once, first answer wins."""
-    once = first_wins(rows, ["run_name", "idx"], "pred_id")
-    e2e = F.col("dept_ok") & F.col("urgency_ok")
-    side = lambda run, x: once.where(F.col("run_name") == run).select("idx", F.col("input").alias(f"input_{x}"), e2e.alias(f"ok_{x}"), F.col("pred_label").alias(f"urgency_{x}"), F.col("urgency_ok").alias(f"uok_{x}"), F.col("gold_urgency").alias(f"gold_{x}"))
-    # Spark takes what was parsed from VARIANT for much smaller than it is; neither side may be broadcast
-    return side(base, "a").hint("merge").join(side(candidate, "b").hint("merge"), "idx")
+    """:func:`positioned` rows of two runs side by side by position, as far as both go; a retried position counts once, first answer wins."""
+    of = lambda run: F.min(F.when(F.col("run_name") == run, F.struct("pred_id", "input", "ok", "uok", "urgency", "gold")))
+    both = rows.where(F.col("run_name").isin(base, candidate)).groupBy("idx").agg(of(base).alias("a"), of(candidate).alias("b")).where("a is not null and b is not null")
+    return both.select("idx", *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("input", "ok", "uok", "urgency", "gold")])
 
 
 def comparison(pairs: DataFrame) -> DataFrame:
     """One row: the two-by-two table, flips of urgency, high-risk answers of each side and net gains."""
-    a, b, high = F.col("ok_a"), F.col("ok_b"), F.col("gold_a") == "高"
+    a, b, high = F.col("ok_a"), F.col("ok_b"), F.coalesce(F.col("gold_a") == "高", F.lit(False))
     return pairs.agg(
         F.count("*").alias("num_compared"),
-        F.count_if(F.col("input_a") != F.col("input_b")).alias("input_mismatch"),
+        F.count_if(~F.col("input_a").eqNullSafe(F.col("input_b"))).alias("input_mismatch"),
         F.count_if(a & b).alias("both_correct"),
         F.count_if(~a & ~b).alias("both_wrong"),
         F.count_if(~a & b).alias("improved"),

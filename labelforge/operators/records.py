@@ -23,8 +23,13 @@ def chat_messages(rows: DataFrame, strong: bool = False) -> DataFrame:
     return rows.select("row_id", F.array(message("system", system), message("user", F.coalesce("input", F.lit("")))).alias("messages"))
 
 
-def with_answers(rows: DataFrame, predict: Callable[[pd.Series], pd.Series], column: str = "prompt") -> DataFrame:
-    """Adds ``response`` by a batch function, which loads its model inside the task. No model is shipped."""
+def with_answers(rows: DataFrame, predict: Callable[[pd.Series], pd.Series], column: str = "prompt", most: int | None = None, place: str = "row_id") -> DataFrame:
+    """Adds ``response`` by a batch function, which loads its model inside the task. No model is shipped.
+
+    ``most`` answers only the first rows by ``place``, for a quick look.
+    """
+    if most is not None:
+        rows = rows.orderBy(place).limit(most)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -1,5 +1,7 @@
 """Whole jobs from files to files; each returns its report as a frame."""
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,35 @@ from labelforge.session import cut_lineage
 from labelforge.sources import files, predictions
 
 
+PAIR_SCHEMA = "conversations array<struct<`from`:string,value:string>>, chosen struct<`from`:string,value:string>, rejected struct<`from`:string,value:string>, _source string"
+
+
 def raw_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows of JSON array files in the shape that cleaning takes; an output may be a text or an object."""
-    rows = files.read_json_arrays(spark, paths).select("source", "file_no", "row_idx", F.try_variant_get("value", "$", "map<string,variant>").alias("r"))
-    at = lambda k: F.try_element_at("r", F.lit(k))
-    return rows.select(F.col("row_idx").cast("bigint").alias("raw_id"), F.col("source").alias("source_file"), F.col("row_idx").cast("bigint").alias("row_idx"), jsonx.string_value(at("input")).alias("input"), predictions.text_of(at("output")).alias("output"))
+    """Rows of JSON array, JSONL or Parquet files (``input, output``) in the shape that cleaning takes; a JSON output may be a text or an object."""
+    frames = []
+    for path in paths:
+        name = F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("source_file")
+        if path.rstrip("/").endswith(".parquet"):
+            read = files.numbered(spark.read.parquet(path), "row_idx").select("row_idx", "input", "output")
+        else:
+            if path.rstrip("/").endswith(".jsonl"):
+                records = files.numbered(spark.read.option("singleVariantColumn", "value").option("mode", "FAILFAST").json(path), "row_idx")
+            else:
+                records = files.read_json_array(spark, path)
+            at = lambda k: F.try_element_at(F.try_variant_get("value", "$", "map<string,variant>"), F.lit(k))
+            read = records.select("row_idx", jsonx.string_value(at("input")).alias("input"), predictions.text_of(at("output")).alias("output"))
+        place = F.col("row_idx").cast("bigint")
+        frames.append(read.select(place.alias("raw_id"), name, place.alias("row_idx"), "input", "output"))
+    return functools.reduce(DataFrame.union, frames)
 
 
 def clean_files(spark: SparkSession, paths: list[str], output_dir: str, valid_ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """Cleans JSON array files into ``all``, ``train`` and ``valid`` JSONL and a report of all counters."""
+    """Cleans raw files into ``all``, ``train`` and ``valid`` JSONL and reports.
+
+    Files are JSON arrays, each read in one task, or JSONL or Parquet, which
+    Spark splits. ``report.json`` has the fixed counters; ``counters`` is a
+    folder of all, as those of typed values grow with the data.
+    """
     names = [p.rsplit("/", 1)[-1] for p in paths]
     normalised = cut_lineage(clean.normalise(clean.in_order(raw_rows(spark, paths), names)))
     rows = clean.first_wins(clean.kept(normalised), ["clean_input"])
@@ -27,7 +49,9 @@ def clean_files(spark: SparkSession, paths: list[str], output_dir: str, valid_ra
     for part in ("train", "valid"):
         files.write_jsonl(rows.where(F.col("split") == part).drop("split"), f"{output_dir}/{part}.jsonl")
     report = clean.statistics(normalised)
-    files.write_report(report.orderBy("stat"), f"{output_dir}/report.json", most=100_000)
+    files.write_jsonl(report, f"{output_dir}/counters")
+    fixed = report.where(~F.col("stat").rlike("^(map_department|drop_unknown_department):"))
+    files.write_report(fixed.orderBy("stat"), f"{output_dir}/report.json", most=len(paths) + 100)
     return report
 
 
@@ -51,6 +75,17 @@ def build_pairs(spark: SparkSession, train: DataFrame, logs: list[str], output_d
     return rows.groupBy("split", "_source").agg(F.count("*").alias("n"))
 
 
+def filter_hard_files(spark: SparkSession, folder: str, output_dir: str, splits: tuple[str, ...] = ("train", "valid")) -> DataFrame:
+    """:func:`filter_hard_pairs` of ``dpo_{split}.jsonl`` in a folder; counts per split, a missing file is skipped and counts nothing."""
+    counts = spark.createDataFrame([], "split string, filter_reason string, keep boolean, n bigint")
+    for split in splits:
+        path = f"{folder}/dpo_{split}.jsonl"
+        if files.exists(spark, path):
+            rows = files.numbered(files.read_jsonl(spark, path, PAIR_SCHEMA), "pair_id")
+            counts = counts.union(filter_hard_pairs(rows, f"{output_dir}/dpo_{split}_hard.jsonl").select(F.lit(split), "filter_reason", "keep", "n"))
+    return counts
+
+
 def filter_hard_pairs(pair_rows: DataFrame, path: str) -> DataFrame:
     """Writes the pairs whose department or urgency differ; returns the counts of all reasons."""
     judged = cut_lineage(validate.hard_pairs(validate.pair_diffs(pair_rows)))
@@ -80,9 +115,9 @@ def metrics_of_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compare_logs(spark: SparkSession, base: str, candidate: str) -> DataFrame:
-    """Two prediction logs side by side, by position."""
+    """Two prediction logs side by side, by position, as far as the shorter one goes; rows without a valid gold label count as wrong."""
     both = predictions.read_log(spark, base).withColumn("run_name", F.lit("base")).union(predictions.read_log(spark, candidate).withColumn("run_name", F.lit("candidate")))
-    return metrics.comparison(metrics.paired(metrics.scored(both).where("gold_reason = 'ok'"), "base", "candidate"))
+    return metrics.comparison(metrics.paired(metrics.positioned(both.withColumn("idx", F.col("pred_id"))), "base", "candidate"))
 
 
 def prompt_file(rows: DataFrame, path: str) -> None:

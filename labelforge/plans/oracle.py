@@ -87,7 +87,7 @@ n2 as (select *, coalesce({_map(constants.RENAMED_DEPARTMENTS)}[typed], typed) a
 n3 as (select *, case when not odd and len(shown) > 0 then {_distinct('shown')} end as clean_symptoms from n2),
 n4 as (select *, case when coalesce(clean_input, '') <> '' and o is not null and has_keys and typed <> clean_department then 'map_department:' || typed || '->' || clean_department end as rename,
     case when coalesce(clean_input, '') = '' then 'drop_bad_input' when o is null then 'drop_bad_json' when not has_keys then 'drop_missing_keys'
-      when typed is null then 'drop_department_not_str' when clean_department in {_list(constants.DROPPED_DEPARTMENTS)} then 'drop_department:' || clean_department
+      when typed is null then 'drop_bad_department_type' when clean_department in {_list(constants.DROPPED_DEPARTMENTS)} then 'drop_department:' || clean_department
       when clean_department not in {_list(constants.DEPARTMENTS)} then 'drop_unknown_department:' || clean_department
       when clean_urgency is null or clean_urgency not in {_list(constants.URGENCIES)} then 'drop_bad_urgency' when clean_symptoms is null then 'drop_bad_symptoms' end as drop_reason from n3),
 normalised as (select *, case when drop_reason is null then {_compact('clean_department', 'clean_urgency', 'clean_symptoms')} end as clean_output,
@@ -176,8 +176,9 @@ pp as (select pred_id, input, {_compact('gold_department', 'gold_urgency', 'gold
 made as (select * from pp where rejected is not null)"""
 
 _PAIRED = f"""
-once as (select * from (select *, row_number() over (partition by run_name, idx order by pred_id) as rn from good) where rn = 1),
-pairs as (select a.idx, a.input as input_a, b.input as input_b, a.dept_ok and a.urgency_ok as ok_a, b.dept_ok and b.urgency_ok as ok_b, a.pred_label as urgency_a, b.pred_label as urgency_b, a.urgency_ok as uok_a, b.urgency_ok as uok_b, a.gold_urgency as gold_a
+own as (select *, case when json_type(gold_o, '$.department') = 'VARCHAR' then gold_o->>'$.department' end as gd, case when json_type(gold_o, '$.urgency') = 'VARCHAR' then gold_o->>'$.urgency' end as gu from scored),
+once as (select *, coalesce(pred_reason = 'ok' and gd = pred_department, false) as dok, coalesce(pred_reason = 'ok' and gu = pred_urgency, false) as uok from (select *, row_number() over (partition by run_name, idx order by pred_id) as rn from own) where rn = 1),
+pairs as (select a.idx, a.input as input_a, b.input as input_b, a.dok and a.uok as ok_a, b.dok and b.uok as ok_b, a.pred_label as urgency_a, b.pred_label as urgency_b, a.uok as uok_a, b.uok as uok_b, a.gu as gold_a
     from once a join once b on a.idx = b.idx and a.run_name = 'base' and b.run_name = 'grpo_a')"""
 
 _URGENCY_SCORE = "case gu || '>' || pu " + " ".join(f"when '{k}' then {v}" for k, v in constants.URGENCY_SCORE.items()) + " else 0.0 end"
@@ -205,7 +206,17 @@ count_if(rn > 1) as duplicates, count_if(rn > 1 and clean_output <> first_output
     "sft_row_errors_all": f"select error, count(*) as n from (select unnest(errors) as error from {_errors(True)}) group by all",
     "sft_error_preview": f"select row_id, unnest(range(0, len(errors)))::int as seq, unnest(errors) as error from {_errors(False)} order by row_id, seq limit 50",
     "duplicate_inputs": "select substr(input, 1, 200) as input, n from (select input, count(*) as n from sft_train where input is not null group by input having count(*) > 1)",
-    "validation_report": f"select split_name, count(*) as num_rows, sum(len(errors))::bigint as num_errors, sum(len(errors)) = 0 as passed from {_errors(False).replace('from sft_train', 'from sft_valid')} group by all",
+    "validation_report": f"""with e as (select *, coalesce({_strip('input')}, '') <> '' as asked, ({_reason('o')}) = 'ok' as valid from {_errors(False).replace('from sft_train', 'from sft_valid')}),
+rep as (select split_name, count(*) as repeated from (select split_name, input from e where asked group by split_name, input having count(*) > 1) group by split_name),
+d as (select split_name, field, string_agg(value || ':' || n, ',' order by n desc, pos) as dist from (select split_name, 'd' as field, o->>'$.department' as value, count(*) as n, min(row_id) as pos from e where valid group by all
+    union all select split_name, 'u', o->>'$.urgency', count(*), min(row_id) from e where valid group by all) group by split_name, field),
+s as (select split_name, count(*) as num_rows, sum(len(errors)) as errors from e group by split_name)
+select s.split_name, num_rows, (errors + coalesce(repeated, 0))::bigint as num_errors, coalesce(repeated, 0) as repeated_inputs, errors + coalesce(repeated, 0) = 0 as passed, coalesce(a.dist, '') as department_distribution, coalesce(b.dist, '') as urgency_distribution
+from s left join rep on s.split_name is not distinct from rep.split_name left join d a on a.split_name is not distinct from s.split_name and a.field = 'd' left join d b on b.split_name is not distinct from s.split_name and b.field = 'u'""",
+    "validation_error_preview": f"""with e as (select *, coalesce({_strip('input')}, '') <> '' as asked from {_errors(False).replace('from sft_train', 'from sft_valid')}),
+x as (select split_name, row_id as pos, row_id, unnest(range(0, len(errors))) as seq, unnest(errors) as error, substr(output, 1, 200) as value from e
+    union all select split_name, min(row_id), null, 0, 'duplicate_input', substr(input, 1, 200) from e where asked group by split_name, input having count(*) > 1)
+select * from (select split_name, row_number() over (partition by split_name order by error = 'duplicate_input', pos, seq) as place, row_id, error, value from x) where place <= 50""",
     "pair_validation_diffs": f"""with {_DIFFS} select concat_ws(',', case when coalesce(len(conversations), 0) < 2 then 'bad_conversations' end, case when missing then 'bad_rejected_text' end, case when not missing and chosen_reason <> 'ok' then 'bad_chosen:' || chosen_reason end) as errors,
 case when not missing and rejected_o is null then 'rejected_not_json' when not missing and rejected_reason <> 'ok' then 'rejected_schema:' || rejected_reason end as warning, diff, count(*) as n from diffs group by all""",
     "hard_pair_filter": f"""with {_DIFFS}, f as (select _source, case when diff is null then 'parse_error' when chosen_department <> rejected_department and chosen_urgency <> rejected_urgency then 'dept+urgency'
@@ -234,7 +245,7 @@ union all select case when pred_reason = 'ok' then 'schema_valid' else 'schema_e
     "classification_report_department": _report("gold_department", "pred_department", constants.DEPARTMENTS),
     "confusion_urgency": _confusion("gold_urgency", "pred_label", [*constants.URGENCIES, "BAD_ANSWER"], "true"),
     "confusion_department": _confusion("gold_department", "pred_department", constants.DEPARTMENTS, "pred_reason = 'ok'"),
-    "paired_comparison": f"""with {_SCORED}, {_PAIRED} select count(*) as num_compared, count_if(input_a <> input_b) as input_mismatch, count_if(ok_a and ok_b) as both_correct, count_if(not ok_a and not ok_b) as both_wrong, count_if(not ok_a and ok_b) as improved, count_if(ok_a and not ok_b) as regressed,
+    "paired_comparison": f"""with {_SCORED}, {_PAIRED} select count(*) as num_compared, count_if(input_a is distinct from input_b) as input_mismatch, count_if(ok_a and ok_b) as both_correct, count_if(not ok_a and not ok_b) as both_wrong, count_if(not ok_a and ok_b) as improved, count_if(ok_a and not ok_b) as regressed,
 count_if(not ok_a and ok_b) - count_if(ok_a and not ok_b) as net_e2e, count_if(not uok_a and uok_b) as urgency_fixed, count_if(uok_a and not uok_b) as urgency_broken, count_if(gold_a = '高') as high_total, count_if(gold_a = '高' and urgency_a = '高') as high_hit_a,
 count_if(gold_a = '高' and urgency_b = '高') as high_hit_b, count_if(gold_a = '高' and urgency_a = '低') as high_to_low_a, count_if(gold_a = '高' and urgency_b = '低') as high_to_low_b from pairs""",
     "top_regressions": f"with {_SCORED}, {_PAIRED} select idx, input_a as input, urgency_a, urgency_b from pairs where ok_a and not ok_b order by idx limit 20",

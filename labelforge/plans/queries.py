@@ -39,6 +39,15 @@ def _valid_gold(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).where("gold_reason = 'ok'")
 
 
+def _valid_labels(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`_valid_gold`, without comparing symptoms."""
+    return metrics.labelled(table(spark, d, "predictions").select("pred_id", "run_name", "gold", "response")).where("gold_reason = 'ok'")
+
+
+def _two_runs(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.paired(metrics.positioned(table(spark, d, "predictions")), "base", "grpo_a")
+
+
 # parsing and the gate
 
 
@@ -165,6 +174,12 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return validate.report(table(spark, d, "sft_valid"))
 
 
+@query
+def validation_error_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The first errors of each split, with their row and value."""
+    return validate.report_preview(table(spark, d, "sft_valid"))
+
+
 @query
 def pair_validation_diffs(spark: SparkSession, d: str) -> DataFrame:
     diffs = validate.pair_diffs(table(spark, d, "dpo_train_2"))
@@ -238,39 +253,39 @@ def prediction_counters(spark: SparkSession, d: str) -> DataFrame:
 @query
 def macro_f1_valid_only(spark: SparkSession, d: str) -> DataFrame:
     """Macro-F1 of urgency over valid answers only, beside the one over all."""
-    v = _valid_gold(spark, d)
-    every = metrics.summary(v, ["run_name"]).select("run_name", F.col("urgency_macro_f1").alias("macro_f1_all"))
-    return every.join(metrics.summary(v.where("pred_reason = 'ok'"), ["run_name"]).select("run_name", F.col("urgency_macro_f1").alias("macro_f1_valid")), "run_name")
+    v = _valid_labels(spark, d)
+    both = v.groupBy("run_name").agg(metrics.macro_f1().alias("macro_f1_all"), metrics.macro_f1(F.col("pred_reason") == "ok").alias("macro_f1_valid"), F.count_if(F.col("pred_reason") == "ok").alias("valid"))
+    return both.where("valid > 0").drop("valid")
 
 
 @query
 def classification_report_urgency(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.classification_report(_valid_gold(spark, d).where("pred_reason = 'ok'"), "gold_urgency", "pred_urgency", constants.URGENCIES)
+    return metrics.classification_report(_valid_labels(spark, d).where("pred_reason = 'ok'"), "gold_urgency", "pred_urgency", constants.URGENCIES)
 
 
 @query
 def classification_report_department(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.classification_report(_valid_gold(spark, d).where("pred_reason = 'ok'"), "gold_department", "pred_department", constants.DEPARTMENTS)
+    return metrics.classification_report(_valid_labels(spark, d).where("pred_reason = 'ok'"), "gold_department", "pred_department", constants.DEPARTMENTS)
 
 
 @query
 def confusion_urgency(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.confusion(_valid_gold(spark, d), "gold_urgency", "pred_label", [*constants.URGENCIES, metrics.BAD])
+    return metrics.confusion(_valid_labels(spark, d), "gold_urgency", "pred_label", [*constants.URGENCIES, metrics.BAD])
 
 
 @query
 def confusion_department(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.confusion(_valid_gold(spark, d).where("pred_reason = 'ok'"), "gold_department", "pred_department", constants.DEPARTMENTS)
+    return metrics.confusion(_valid_labels(spark, d).where("pred_reason = 'ok'"), "gold_department", "pred_department", constants.DEPARTMENTS)
 
 
 @query
 def paired_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.comparison(metrics.paired(_valid_gold(spark, d), "base", "grpo_a"))
+    return metrics.comparison(_two_runs(spark, d))
 
 
 @query
 def top_regressions(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.examples(metrics.paired(_valid_gold(spark, d), "base", "grpo_a"), "regressed")
+    return metrics.examples(_two_runs(spark, d), "regressed")
 
 
 @query

@@ -29,13 +29,16 @@ class Settings:
     paths: Paths = dataclasses.field(default_factory=Paths)
     cleaning: Cleaning = dataclasses.field(default_factory=Cleaning)
     pairs: Pairs = dataclasses.field(default_factory=Pairs)
+    #: Sections of a file that this engine does not read (models, training), kept as they are.
+    others: dict = dataclasses.field(default_factory=dict)
 
     def to_dict(self) -> dict:
-        return dataclasses.asdict(self)
+        own = dataclasses.asdict(self)
+        return own.pop("others") | own
 
 
 def overlay(mapping: dict) -> Settings:
-    """Settings with the known keys of known sections replaced; everything unknown is ignored."""
+    """Settings with the known keys of known sections replaced; unknown keys are ignored, other sections kept for ``to_dict``."""
     settings = Settings()
     for section, values in mapping.items():
         part = getattr(settings, section, None)
@@ -43,6 +46,8 @@ def overlay(mapping: dict) -> Settings:
             for key, value in values.items():
                 if key in {f.name for f in dataclasses.fields(part)}:
                     setattr(part, key, value)
+        elif isinstance(values, dict) and section != "others":
+            settings.others[section] = values
     return settings
 
 

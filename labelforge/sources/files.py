@@ -3,7 +3,7 @@
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelforge.operators.pairs import without_internal
@@ -35,6 +35,27 @@ def read_json_arrays(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame, place: str = "place") -> DataFrame:
+    """``rows`` of a file scan with their position among all rows, by file name and offset, from 0.
+
+    However the files were split into tasks: blocks are counted, the few counts
+    summed up, and rows numbered within their block.
+    """
+    block = [F.col("__file"), F.col("__start")]
+    # a task reads its blocks from front to back, so the id ascends within a block
+    at = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    counts = rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")).groupBy(*block).agg(F.count("*").alias("__n"))
+    before = counts.select(*block, (F.sum("__n").over(Window.orderBy(*block)) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*block).orderBy("__id")) - 1
+    return at.withColumn("__own", own).join(before, ["__file", "__start"]).withColumn(place, F.col("__own") + F.col("__before")).drop("__file", "__start", "__id", "__own", "__before")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSONL file; blank lines are skipped, a malformed line raises."""
     return spark.read.option("mode", "FAILFAST").schema(schema).json(path)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.functions import jsonx
+from labelforge.sources import files
 
 
 def text_of(v: Column) -> Column:
@@ -17,11 +18,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
     ``gold`` falls back to ``output`` where it holds no object. The answer is
     ``parsed_prediction`` if a record has that key, even null, else ``parsed``;
-    where it is null, ``response`` is read. ``idx`` is the record's own or its place.
+    where it is null, ``response`` is read. ``pred_id`` is the record's place in the log,
+    however the file is split; ``idx`` is its own or its place.
     A malformed line raises; blank lines are skipped.
     """
     lines = spark.read.option("singleVariantColumn", "v").option("mode", "FAILFAST").json(path)
-    record = lines.select(F.try_variant_get("v", "$", "map<string,variant>").alias("r"), F.monotonically_increasing_id().alias("place"))
+    record = files.numbered(lines).select(F.try_variant_get("v", "$", "map<string,variant>").alias("r"), "place")
     at = lambda k: F.try_element_at("r", F.lit(k))
     parsed = F.when(F.array_contains(F.map_keys("r"), "parsed_prediction"), text_of(at("parsed_prediction"))).otherwise(text_of(at("parsed")))
     gold = text_of(at("gold"))

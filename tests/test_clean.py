@@ -12,7 +12,7 @@ def label(d="儿科", u="中", s='["a"]'):
 
 ROWS = [
     (1, "teacher_batch_1.json", 0, " 咳嗽 ", label(), None), (2, "teacher_batch_1.json", 1, None, label(), "drop_bad_input"), (3, "teacher_batch_1.json", 2, "　", label(), "drop_bad_input"),
-    (4, "teacher_batch_1.json", 3, "x", None, "drop_bad_json"), (5, "teacher_batch_1.json", 4, "x", "{}", "drop_missing_keys"), (6, "teacher_batch_1.json", 5, "x", '{"department":5,"urgency":"中","symptoms":["a"]}', "drop_department_not_str"),
+    (4, "teacher_batch_1.json", 3, "x", None, "drop_bad_json"), (5, "teacher_batch_1.json", 4, "x", "{}", "drop_missing_keys"), (6, "teacher_batch_1.json", 5, "x", '{"department":5,"urgency":"中","symptoms":["a"]}', "drop_bad_department_type"),
     (7, "teacher_batch_1.json", 6, "x", label("口腔科"), "drop_department:口腔科"), (8, "teacher_batch_1.json", 7, "x", label("未知科"), "drop_unknown_department:未知科"),
     (9, "teacher_batch_1.json", 8, "x", label("男科", "急"), "drop_bad_urgency"), (10, "teacher_batch_1.json", 9, "x", label(s='[" "]'), "drop_bad_symptoms"), (11, "teacher_batch_1.json", 10, "y", label(" 男科 ", " 高 "), None),
     (12, "teacher_batch_2.json", 0, "咳嗽", label("骨科"), None), (13, "teacher_batch_2.json", 1, "咳嗽", label(), None), (14, "zzz.json", 0, "z", label(s='["b","b"," c"],"note":1'), None),

@@ -5,6 +5,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from labelforge import session
+from labelforge.operators import validate
 from labelforge.sources import config, files
 from labelforge.streaming import gate_stream
 
@@ -71,3 +73,30 @@ def test_streams(spark, tmp_path):
     q = gate_stream.reasons_by_window(stream).writeStream.format("memory").queryName("by_window").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["reason"], r["n"]) for r in spark.table("by_window").collect()} == {("ok", 1), ("not_object", 2)}
+
+
+def test_records_that_lack_keys(spark, tmp_path):
+    path = tmp_path / "rows.json"
+    path.write_text('[{"instruction":"i","input":"q","output":"o"}, 5, {"input":"q"}, {}]', encoding="utf-8")
+    rows = files.read_json_array(spark, str(path), check_items=False)
+    got = {(r["row_idx"], r["error"], r["keys"]) for r in validate.record_errors(rows, ["instruction", "input", "output"]).collect()}
+    assert got == {(1, "row_not_object", None), (2, "missing_row_keys", "instruction,output"), (3, "missing_row_keys", "input,instruction,output")}
+    assert {(r["row_idx"], r["keys"]) for r in validate.record_errors(rows, ["input", "output"], "missing_key").collect()} == {(1, None), (2, "output"), (3, "input"), (3, "output")}
+
+
+def test_other_sections_of_settings_are_kept(tmp_path):
+    path = tmp_path / "s.json"
+    path.write_text('{"cleaning":{"seed":7,"x":1},"dpo":{"beta":2.0}}', encoding="utf-8")
+    given = config.load(str(path)).to_dict()
+    assert given["cleaning"]["seed"] == 7 and given["dpo"] == {"beta": 2.0} and "others" not in given and "x" not in given["cleaning"]
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"applicationId": "x", "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())
+    Session.sparkContext.master = "local[2]"
+    assert session.shared_folder(Session()) == session.shared_folder(Session())

@@ -42,6 +42,44 @@ def test_logs(spark, tmp_path):
     assert jobs.compare_logs(spark, path, path).first()["both_correct"] == 2
 
 
+def test_logs_are_compared_by_place_however_they_are_split(spark, tmp_path):
+    """One log is read in one piece, the other in many; both have no idx."""
+    rows = [{"input": f"q{i}", "gold": label(u="高") if i % 3 else "x", "response": text(u="高" if i % 2 else "低")} for i in range(400)]
+    a, b = str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")
+    open(a, "w", encoding="utf-8").write("\n".join(json.dumps(r, ensure_ascii=False) for r in rows))
+    open(b, "w", encoding="utf-8").write("\n".join(json.dumps(r | {"response": text(u="高")}, ensure_ascii=False) for r in rows[:390]))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        assert predictions.read_log(spark, b).rdd.getNumPartitions() >= 1
+        assert [r["input"] for r in predictions.read_log(spark, b).orderBy("pred_id").collect()] == [f"q{i}" for i in range(390)]
+        got = jobs.compare_logs(spark, a, b).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    bad, low = sum(i % 3 == 0 for i in range(390)), sum(i % 3 > 0 and i % 2 == 0 for i in range(390))
+    assert (got["num_compared"], got["input_mismatch"], got["both_wrong"], got["improved"], got["regressed"]) == (390, 0, bad, low, 0)
+
+
+def test_cleaning_of_files_that_spark_splits(spark, tmp_path):
+    rows = [{"input": f"q{i % 25}", "output": text() if i % 5 else label("骨科")} for i in range(60)] + [{"input": "u", "output": text("某科")}]
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
+    spark.createDataFrame([("q0", text()), ("p", text("儿科"))], "input string, output string").write.parquet(str(tmp_path / "b.parquet"))
+    stats = {r["stat"]: r["n"] for r in jobs.clean_files(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.parquet")], str(tmp_path / "out")).collect()}
+    assert stats["source_rows:a.jsonl"] == 61 and stats["source_rows:b.parquet"] == 2 and stats["drop_duplicate_input"] == 36 and stats["drop_unknown_department:某科"] == 1
+    kept = {r["input"]: json.loads(r["output"])["department"] for r in spark.read.json(str(tmp_path / "out" / "all.jsonl")).collect()}
+    assert len(kept) == 26 and kept["q0"] == "骨科" and kept["p"] == "儿科"
+    report = json.load(open(tmp_path / "out" / "report.json", encoding="utf-8"))
+    assert "drop_unknown_department:某科" not in {r["stat"] for r in report} and spark.read.json(str(tmp_path / "out" / "counters")).count() == len(stats)
+
+
+def test_hard_pairs_of_splits(spark, tmp_path):
+    pair = lambda a, b: {"conversations": [{"from": "human", "value": "q"}] * 2, "chosen": {"from": "gpt", "value": a}, "rejected": {"from": "gpt", "value": b}}
+    (tmp_path / "dpo_train.jsonl").write_text("\n".join(json.dumps(pair(text(), b), ensure_ascii=False) for b in (text("骨科"), text(s=("b",)), "x")), encoding="utf-8")
+    counts = {(r["split"], r["filter_reason"]): r["n"] for r in jobs.filter_hard_files(spark, str(tmp_path), str(tmp_path / "hard")).collect()}
+    assert counts == {("train", "dept"): 1, ("train", "symptom_only"): 1, ("train", "parse_error"): 1}
+    assert spark.read.json(str(tmp_path / "hard" / "dpo_train_hard.jsonl")).count() == 1
+
+
 def test_pairs_and_validation(spark, tmp_path):
     path = str(tmp_path / "a.jsonl")
     open(path, "w", encoding="utf-8").write("\n".join(json.dumps(r, ensure_ascii=False) for r in LOG))

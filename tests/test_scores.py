@@ -20,6 +20,10 @@ def scored(spark):
     return metrics.scored(spark.createDataFrame(rows, PRED)).cache()
 
 
+def by_position(scored):
+    return metrics.positioned(scored.select("pred_id", "run_name", "idx", "input", "gold", "response"))
+
+
 def test_summary(scored):
     a = metrics.summary(scored, ["run_name"]).where("run_name = 'a'").first()
     assert (a["num_evaluated"], a["high_urgency_total"], a["high_to_low"], a["high_to_bad"]) == (4, 2, 1, 0)
@@ -33,10 +37,35 @@ def test_counters(scored):
 
 
 def test_comparison_counts_each_position_once(scored):
-    row = metrics.comparison(metrics.paired(scored.where("gold_reason = 'ok'"), "a", "b")).first()
+    row = metrics.comparison(metrics.paired(by_position(scored), "a", "b")).first()
     assert (row["num_compared"], row["improved"], row["regressed"], row["net_e2e"]) == (3, 2, 1, 1)
     assert row["both_correct"] + row["both_wrong"] + row["improved"] + row["regressed"] == row["num_compared"]
-    assert [r["idx"] for r in metrics.examples(metrics.paired(scored.where("gold_reason = 'ok'"), "a", "b"), "regressed").collect()] == [0]
+    assert [r["idx"] for r in metrics.examples(metrics.paired(by_position(scored), "a", "b"), "regressed").collect()] == [0]
+
+
+def test_comparison_counts_rows_without_a_valid_gold(spark):
+    """Such rows are compared and wrong; a gold object counts by its own values, and a missing input differs from a text."""
+    odd = '{"department":"儿科","urgency":"高","symptoms":[]}'
+    rows = [(1, "a", 0, "q", "x", label()), (2, "b", 0, "q", "x", label()), (3, "a", 1, "q", odd, label(u="高")), (4, "b", 1, None, odd, label(u="低")), (5, "a", 2, "q", label(), label())]
+    row = metrics.comparison(metrics.paired(metrics.positioned(spark.createDataFrame(rows, PRED)), "a", "b")).first()
+    assert (row["num_compared"], row["both_wrong"], row["regressed"], row["input_mismatch"], row["high_total"], row["high_to_low_b"]) == (2, 1, 1, 1, 1, 1)
+
+
+def test_validation_report_counts_repeats_and_labels(spark):
+    rows = [(1, "s", "i", "q", label()), (2, "s", "i", "q", label("骨科", "高")), (3, "s", "i", " ", label()), (4, "s", None, "r", "x"), (5, "t", "i", "q", label()), (6, None, "i", "q", label())]
+    frame = spark.createDataFrame(rows, "row_id long, split_name string, instruction string, input string, output string")
+    got = {r["split_name"]: tuple(r)[1:] for r in validate.report(frame).collect()}
+    assert got["s"] == (4, 4, 1, False, "儿科:2,骨科:1", "中:2,高:1")
+    assert got["t"] == got[None] == (1, 0, 0, True, "儿科:1", "中:1")
+    assert validate.report(frame.limit(0)).count() == 0
+    seen = [(r["place"], r["row_id"], r["error"]) for r in validate.report_preview(frame).orderBy("place").collect()]
+    assert seen == [(1, 3, "bad_input"), (2, 4, "bad_instruction"), (3, 4, "not_object"), (4, None, "duplicate_input")]
+
+
+def test_confusion_with_values_that_are_no_labels(spark):
+    rows = spark.createDataFrame([("a", "b"), ("a", None), ("z", "a"), ("a", "b")], "g string, p string")
+    cells = {(r["gold"], r["pred"]): r["n"] for r in metrics.confusion(rows, "g", "p", ["a", "b"], seen=True).collect()}
+    assert cells == {("a", "a"): 0, ("a", "b"): 2, ("b", "a"): 0, ("b", "b"): 0, ("a", metrics.BAD): 1, ("z", "a"): 1}
 
 
 def test_confusion_has_empty_cells(scored):
@@ -47,7 +76,7 @@ def test_confusion_has_empty_cells(scored):
 def test_report_of_nothing(spark):
     out = metrics.scored(spark.createDataFrame([], PRED))
     assert metrics.summary(out, ["run_name"]).count() == 0 and metrics.counters(out).count() == 0
-    assert metrics.comparison(metrics.paired(out, "a", "b")).first()["num_compared"] == 0
+    assert metrics.comparison(metrics.paired(by_position(out), "a", "b")).first()["num_compared"] == 0
     rows = {r["label"]: r["precision"] for r in metrics.classification_report(out, "gold_urgency", "pred_urgency", ["高"]).collect()}
     assert rows["accuracy"] == 0.0
 
