@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions import jsonx
 from labelforge.llm import lookalike
-from labelforge.session import cut_lineage
+from labelforge.session import broadcast_few, cut_lineage
 
 #: Copies that a hot text's pairs are spread over.
 SALTS = 16
@@ -79,9 +79,11 @@ def alike_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
     the rows that hold these texts, with hot texts spread over salts.
     """
     members = class_members(rows, column)
-    side = lambda x: members.select("canonical", F.col("vid").alias(x), F.col("check").alias(f"{x}_check"), F.col("value").alias(f"{x}_value"))
-    pairs = side("a").join(side("b"), "canonical").where("a_value < b_value").select("a", "a_check", "b", "b_check")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    # texts and classes by two hashes each; a hot class is spread over salts
+    side = lambda x, salt: members.select(F.xxhash64("canonical").alias("class"), F.hash("canonical").alias("class_check"), F.col("vid").alias(x), F.col("check").alias(f"{x}_check"), salt)
+    pairs = side("a", F.pmod(F.col("vid"), F.lit(SALTS)).cast("int").alias("salt")).join(side("b", salts), ["class", "class_check", "salt"])
+    pairs = pairs.where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a_check") < F.col("b_check")))).select("a", "a_check", "b", "b_check")
     holders = rows.select(F.col(id_col).alias("id"), *_hashes(F.col(column)), F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"))
     holders = cut_lineage(holders.join(members.select("vid", "check"), ["vid", "check"], "left_semi"))
     left = pairs.select("*", salts).join(holders.toDF("a", "a_check", "a_id", "salt"), ["a", "a_check", "salt"]).select("a_id", "b", "b_check", salts)
@@ -91,22 +93,21 @@ def alike_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
 
 def string_symptoms(rows: DataFrame, id_col: str, output: str = "output") -> DataFrame:
     """``id, symptom`` for every string in the symptoms list of outputs that are one JSON object."""
-    items = jsonx.array_items(F.try_element_at(jsonx.object_map(F.col(output)), F.lit("symptoms")))
+    items = jsonx.array_items(F.try_element_at(jsonx.object_map(jsonx.uni_strip(F.col(output))), F.lit("symptoms")))
     return rows.select(F.col(id_col).alias("id"), F.explode(items).alias("v")).select("id", jsonx.string_value(F.col("v")).alias("symptom")).where("symptom is not null")
 
 
 def terms_looked_like(rows: DataFrame, terms: DataFrame, id_col: str = "row_id") -> DataFrame:
     """``row_id, match_id``: rows with a symptom that looks like a term without being it.
 
-    ``terms`` is a fixed list of a few hundred names, which is broadcast.
+    ``terms`` is a fixed list of a few hundred names, which is broadcast; a long one is shuffled.
     """
     names = terms.where("field = 'symptoms'").select("term_id", "term")
     # what is a term already is no case, which also takes the hottest values out
-    symptoms = string_symptoms(rows, id_col).join(F.broadcast(names), F.col("symptom") == names["term"], "left_anti")
+    symptoms = string_symptoms(rows, id_col).join(broadcast_few(names), F.col("symptom") == names["term"], "left_anti")
     members = class_members(symptoms.select(F.col("symptom").alias("value")).union(names.select("term")).distinct()).select("value", "canonical")
     named = names.join(members, names["term"] == members["value"]).select("term_id", "term", "canonical")
-    # ref_terms is a fixed list, so the joined names are as few
-    like = members.join(F.broadcast(named), "canonical").where("value <> term").select("value", "term_id")
+    like = members.join(named, "canonical").where("value <> term").select("value", "term_id")
     # Spark takes what was parsed from VARIANT for much smaller than it is; it may not be broadcast
     return symptoms.hint("merge").join(like.hint("merge"), symptoms["symptom"] == like["value"]).select(F.col("id").alias("row_id"), F.col("term_id").alias("match_id")).distinct()
 

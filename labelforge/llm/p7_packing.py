@@ -7,7 +7,9 @@ times) is solved round by round on the counts that are left: the largest size
 left must be placed, and a knapsack by dynamic programming prices what fills
 the rest of its pattern best, where sizes that are covered least weigh most
 (multiplicative weights). Every container comes from such a pattern; nothing is
-filled in another way. Documents then find their place by joins: the k-th
+filled in another way. A size over the capacity is a feasible dual value of the
+program, so all tokens over the capacity bound its optimum from below, and the
+summary states the gap to that bound. Documents then find their place by joins: the k-th
 document of a size goes to the k-th place for that size.
 
 A document beyond the capacity is cut into full containers and a rest; no other
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from labelforge.llm import tokens
 from labelforge.session import cut_lineage
 
-#: Salts over which the documents of one size are ranked.
-SALTS = 64
+#: Least number of salts over which the documents of one size are ranked, and documents for each salt beyond that.
+SALTS, SALT_ROWS = 64, 200_000
+#: Places up to which they are broadcast (32 bytes each); more are joined by a shuffle.
+FEW_PLACES = 500_000
 #: Steps of the knapsack; a larger capacity is counted in units of several tokens, sizes rounded up.
 GRID = 8192
 #: Neighbouring sizes are joined into so many classes; the member covered least stands for its class, with its own size.
@@ -133,7 +137,10 @@ def pack(documents: DataFrame, limits: DataFrame, vocabulary: str = tokens.VOCAB
 
     Repeated documents are packed as often as they occur.
     """
-    numbered = cut_lineage(items(documents, limits, vocabulary).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS))))
+    numbered = cut_lineage(items(documents, limits, vocabulary))
+    # a size may hold any part of all documents, so salts grow with their number
+    salts = max(SALTS, -(-numbered.count() // SALT_ROWS))
+    numbered = numbered.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)))
     solid = numbered.where("tokens > 0")
     key = ["container", "tokens"]
     per_salt = solid.groupBy("container", "capacity_tokens", "tokens", "salt").agg(F.count("*").alias("n"))
@@ -143,13 +150,15 @@ def pack(documents: DataFrame, limits: DataFrame, vocabulary: str = tokens.VOCAB
     task = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("container")), F.lit(0)).cast("int")
     spread = histogram.withColumn("task", task).repartitionById(len(names) + 1, "task").drop("task")
     places = spread.mapInPandas(_places, "container string, tokens bigint, first bigint, last bigint, each bigint, base bigint")
-    # the window holds at most SALTS rows of a size
+    # the places of a size as one list, so that the join gives each document one row
+    places = cut_lineage(places.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("first", "last", "each", "base"))).alias("places")))
+    few = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= FEW_PLACES
+    # the window holds one row for each salt of a size
     before = per_salt.select(*key, "salt", (F.sum("n").over(Window.partitionBy(*key).orderBy("salt")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy(*key, "salt").orderBy("doc_id", "part")) - 1
     ranked = solid.withColumn("own", rank).join(before, [*key, "salt"]).withColumn("k", F.col("own") + F.col("before"))
-    # a bounded table: patterns times sizes in a pattern, for each container
-    put = ranked.join(F.broadcast(places), key).where("k >= first and k < last")
-    full = put.select("container", "capacity_tokens", (F.col("base") + F.floor((F.col("k") - F.col("first")) / F.col("each"))).cast("bigint").alias("bin"), "doc_id", "part", "tokens")
+    put = ranked.join(F.broadcast(places) if few else places, key).withColumn("p", F.expr("filter(places, p -> k < p.last)[0]"))
+    full = put.select("container", "capacity_tokens", (F.col("p.base") + F.floor((F.col("k") - F.col("p.first")) / F.col("p.each"))).cast("bigint").alias("bin"), "doc_id", "part", "tokens")
     return full.union(numbered.where("tokens = 0").select("container", "capacity_tokens", F.lit(0).cast("bigint").alias("bin"), "doc_id", "part", "tokens"))
 
 

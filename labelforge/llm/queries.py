@@ -98,8 +98,9 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used, the least number that could do, and the mean fill."""
+    """Containers used, the program's dual bound, the gap to it, and the mean fill."""
     filled = p7_containers(spark, sf_dir).groupBy("container", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("used_tokens").alias("tokens"))
+    filled = filled.withColumn("dual_bound", F.round(F.col("tokens") / F.col("capacity_tokens"), 4)).withColumn("gap", F.coalesce(F.round(F.try_divide(F.col("containers"), F.col("dual_bound")) - 1, 6), F.lit(0.0)))
     return filled.withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
