@@ -6,6 +6,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "8", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -59,6 +60,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, else as it is. For small lists, as it counts them."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 _shipped: set[str] = set()
 
 
