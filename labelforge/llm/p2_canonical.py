@@ -2,13 +2,14 @@
 
 Distinct values only are looked at. Each is brought to a plain form (look-alike
 characters, traditional characters, inner spaces and list marks removed) and
-stripped of additions such as severity, duration or a desk. Additions are a
-small list of fixed values plus those found in the data: an affix seen beside
-at least ``MIN_ENTRIES`` different entries of the field.
+stripped of additions such as severity, duration or a desk. Apart from a count
+with a unit of time, additions are found in the data: an affix seen beside
+several entries of the field, then those seen beside an entry once one such
+affix is gone. What is a name, or a single character of one, is no addition.
 
 What is left is looked up in BK-trees over the names of the entries, under the
 Damerau-Levenshtein distance (with transpositions anywhere, so that it is a
-metric). The list is split into shards of ``SHARD_SIZE`` names; every shard
+metric). The list is split into shards of about ``SHARD_SIZE`` names; every shard
 returns all names within the threshold and the shards' winners are merged.
 """
 
@@ -23,20 +24,20 @@ from pyspark.sql import types as T
 
 from labelforge.functions import jsonx
 from labelforge.llm import lookalike
-from labelforge.session import cut_lineage
+from labelforge.session import broadcast_few, cut_lineage
 
 #: Names per BK-tree; a longer list becomes more shards, not a larger broadcast.
 SHARD_SIZE = 5000
-#: Tasks that the distinct values of a shard are split into.
-BUCKETS = 24
-#: Different entries beside which an affix must have been seen to count as an addition.
-MIN_ENTRIES = 4
+#: Least number of tasks that the distinct values of a shard are split into, and values in one beyond that.
+BUCKETS, BUCKET_VALUES = 24, 50_000
+#: Different entries beside which an affix must have been seen to be an addition, and the share of the field's entries;
+#: for affixes of several characters, and for a single one, which a slip of the keyboard makes more easily.
+LONG_ENTRIES, LONG_SHARE, SHORT_ENTRIES, SHORT_SHARE = 2, 0.01, 3, 0.05
+#: Cores whose neighbours a task remembers.
+KNOWN = 200_000
 #: Longest affix and longest duration, in characters.
 MAX_AFFIX, MAX_DURATION = 8, 16
 
-# Additions that say nothing about which entry is meant.
-PREFIXES = "间歇 稍有 近期 明显 阵发性 自觉 轻度 中度 重度 总是 主诉 突发 反复 持续 持续性 有点 疑似 偶尔 偶有 经常 剧烈 轻微 严重 建议挂 建议 转 转诊 请至 首选 先看 挂".split()
-SUFFIXES = "明显 反复出现 反复 一月有余 待查 轻 重 偶发 伴不适 症状 较前加重 加重 为主 就诊 专家号 主院区 随访 二楼 一诊室 普通号 门诊 代填 谢谢".split()
 # A count and a unit of time or frequency, as an addition.
 DURATION = r"[0-9一二两三四五六七八九十半数几多]+个?(?:小时|天|日|周|月|年|次|回)(?:有余|余|多|以上|左右|了)?"
 # Characters of opposite meaning; a value that differs from a name only in these means something else.
@@ -169,20 +170,38 @@ def cores(text: str, prefixes: set[str], suffixes: set[str], longest: int) -> li
     return sorted(found, key=lambda t: (-len(t), t))
 
 
-def learned_additions(plain: DataFrame, names: DataFrame) -> DataFrame:
-    """``field, side, affix`` seen beside at least MIN_ENTRIES entries.
-
-    ``plain`` has one row per distinct ``field, plain``; the parts of each are
-    joined with the names by equality, so no value meets every name.
-    """
+def _parts(plain: DataFrame) -> DataFrame:
+    """``field, side, name, affix``: every way to take a prefix or a suffix off a value; marks around an affix are no part of it."""
     n = F.length("plain")
     # an affix is short, so a value of any length has few cuts
     places = F.array_distinct(F.concat(F.sequence(F.lit(1), F.least(F.lit(MAX_AFFIX), n - 1)), F.sequence(F.greatest(F.lit(1), n - MAX_AFFIX), n - 1)))
     cuts = plain.where(n > 1).select("field", "plain", F.explode(places).alias("cut"))
     head, tail = F.substring("plain", 1, F.col("cut")), F.expr("substring(plain, cut + 1)")
     parts = cuts.select("field", F.explode(F.array(F.struct(F.lit("suffix").alias("side"), head.alias("name"), tail.alias("affix")), F.struct(F.lit("prefix").alias("side"), tail.alias("name"), head.alias("affix")))).alias("p")).select("field", "p.*")
-    parts = parts.where(F.length("affix") <= MAX_AFFIX)
-    return parts.join(F.broadcast(names), ["field", "name"]).groupBy("field", "side", "affix").agg(F.countDistinct("term_id").alias("entries")).where(F.col("entries") >= MIN_ENTRIES).select("field", "side", "affix")
+    return parts.where(F.length("affix") <= MAX_AFFIX).withColumn("affix", F.btrim("affix", F.lit(_MARKS))).where("affix <> ''")
+
+
+def learned_additions(plain: DataFrame, names: DataFrame) -> DataFrame:
+    """``field, side, affix`` of the additions; ``plain`` has one row per distinct ``field, plain``.
+
+    The parts of each value are joined with the names by equality, so no value
+    meets every name. Two rounds: the second also sees each value without one
+    addition of the first.
+    """
+    fields = names.groupBy("field").agg(F.countDistinct("term_id").alias("all_entries"))
+    letters = names.select("field", F.explode(F.split("name", "")).alias("affix")).distinct()
+
+    def round_of(values: DataFrame) -> DataFrame:
+        seen = _parts(values).join(broadcast_few(names), ["field", "name"]).groupBy("field", "side", "affix").agg(F.countDistinct("term_id").alias("entries")).join(broadcast_few(fields), "field")
+        single = F.length("affix") == 1
+        least = F.when(single, F.greatest(F.lit(SHORT_ENTRIES), SHORT_SHARE * F.col("all_entries"))).otherwise(F.greatest(F.lit(LONG_ENTRIES), LONG_SHARE * F.col("all_entries")))
+        often = seen.where(F.col("entries") >= least).select("field", "side", "affix")
+        often = often.join(names.select("field", F.col("name").alias("affix")), ["field", "affix"], "left_anti")
+        return often.join(letters, ["field", "affix"], "left_anti").select("field", "side", "affix")
+
+    first = cut_lineage(round_of(plain))
+    shorter = _parts(plain).join(broadcast_few(first), ["field", "side", "affix"]).select("field", F.btrim("name", F.lit(_MARKS)).alias("plain"))
+    return cut_lineage(first.union(round_of(plain.union(shorter).distinct())).distinct())
 
 
 def _opposite(text: str, name: str) -> bool:
@@ -198,8 +217,7 @@ class _Field:
         self.ids = dict(zip(names["text"], names["term_id"].astype(int), strict=True))
         self.tree = BKTree(list(self.ids))
         self.longest = max(map(len, self.ids), default=0)
-        self.prefixes = {*PREFIXES, *affixes.loc[affixes["side"] == "prefix", "text"]}
-        self.suffixes = {*SUFFIXES, *affixes.loc[affixes["side"] == "suffix", "text"]}
+        self.prefixes, self.suffixes = ({*affixes.loc[affixes["side"] == side, "text"]} for side in ("prefix", "suffix"))
         self.pinyin = pinyin
         self.known: dict[tuple[str, int], list[tuple[int, int, int, int]]] = {}
 
@@ -209,6 +227,8 @@ class _Field:
     def near(self, core: str, most: int) -> list[tuple[int, int, int, int]]:
         """``term_id, distance, heard, moved`` of every name within the distance that means no opposite."""
         if (core, most) not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
             # among names equally far, one that sounds the same is meant, then one of the same characters
             self.known[core, most] = [
                 (self.ids[name], d, int(self._sound(core) != self._sound(name)), int(sorted(core) != sorted(name)))
@@ -250,18 +270,19 @@ def lookup(values: DataFrame, names: DataFrame, additions: DataFrame, spark: Spa
     # the list is fixed; more names than a shard holds become more shards
     shards = max(1, -(-names.count() // SHARD_SIZE))
     every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    all_buckets = F.transform(every(BUCKETS), lambda b: F.col("shard") * BUCKETS + b)
-    own_shard = F.expr(f"cast(floor((row_number() over (partition by field order by name) - 1) / {SHARD_SIZE}) as int)")
+    plain = values.select("field", "plain").distinct()
+    buckets = max(BUCKETS, -(-values.count() // BUCKET_VALUES))
+    all_buckets = F.transform(every(buckets), lambda b: F.col("shard") * buckets + b)
+    own_shard = F.pmod(F.xxhash64("field", "name"), F.lit(shards)).cast("int")
 
     def row(kind: str, text: str, term_id: Column, side: Column, to: Column) -> list:
         return ["field", F.lit(kind).alias("kind"), F.col(text).alias("text"), term_id.cast("bigint").alias("term_id"), side.alias("side"), F.explode(to.cast("array<int>")).alias("cell")]
 
     name_rows = names.select("field", "name", "term_id", own_shard.alias("shard")).select(row("name", "name", F.col("term_id"), F.lit(""), all_buckets))
-    affix_rows = additions.select(row("affix", "affix", F.lit(-1), F.col("side"), every(shards * BUCKETS)))
-    plain = values.select("field", "plain").distinct()
-    bucket = F.pmod(F.xxhash64("plain"), F.lit(BUCKETS))
-    value_rows = plain.select(row("value", "plain", F.lit(-1), F.lit(""), F.transform(every(shards), lambda s: s * BUCKETS + bucket)))
-    cells = name_rows.union(affix_rows).union(value_rows).repartitionById(shards * BUCKETS, "cell").sortWithinPartitions(F.col("kind") == "value")
+    affix_rows = additions.select(row("affix", "affix", F.lit(-1), F.col("side"), every(shards * buckets)))
+    bucket = F.pmod(F.xxhash64("plain"), F.lit(buckets))
+    value_rows = plain.select(row("value", "plain", F.lit(-1), F.lit(""), F.transform(every(shards), lambda s: s * buckets + bucket)))
+    cells = name_rows.union(affix_rows).union(value_rows).repartitionById(shards * buckets, "cell").sortWithinPartitions(F.col("kind") == "value")
     found = cut_lineage(cells.select("field", "kind", "text", "term_id", "side").mapInPandas(search, "field string, plain string, term_id bigint, d int, heard int, moved int, k int"))
     # an entry must win alone: the nearest, then the same sound, then the same characters, then the longest core
     best = found.withColumn("rank", F.struct("d", "heard", "moved", "k"))
@@ -296,7 +317,7 @@ def map_values(rows: DataFrame, terms: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     plain = plain_udf(simplified_table(spark))
     canonical = terms.select("field", F.col("term").alias("value"))
-    typed = typed_values(rows).join(F.broadcast(canonical), ["field", "value"], "left_anti")
+    typed = typed_values(rows).join(broadcast_few(canonical), ["field", "value"], "left_anti")
     typed = cut_lineage(typed)
     distinct = cut_lineage(typed.groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("plain", plain("value")))
     names = cut_lineage(reference_names(terms))

@@ -154,7 +154,7 @@ _KEY = re.compile(r'"\w*"?\s*:|\\u[0-9a-fA-F]{0,4}|\\')
 def is_foreign(said: list[str], languages: p9_language.Classifier | None = None) -> bool:
     """Whether the wording of prose and values is not Chinese: by language dictionaries, and by script where these can't tell."""
     if languages is not None:
-        wording = " ".join(" ".join(_WORD.sub(_without_abbreviation, _KEY.sub(" ", s)) for s in said).lower().split())
+        wording = " ".join(" ".join(_WORD.sub(_without_name if _HAN.search(s) else _without_abbreviation, _KEY.sub(" ", s)) for s in said).lower().split())
         if any(c.isalpha() for c in wording) and (foreign := languages.foreign_to(wording, "zh")) is not None:
             return foreign
     return _foreign_script(said)
@@ -225,7 +225,7 @@ def fit_refusals(answers: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def defect_of(text: str | None, prompt: str | None, languages: p9_language.Classifier | None = None, refusals: Refusals | None = None) -> str:
-    """empty, copy, refusal, foreign (other_language unless it was cut), silent (refusal unless it was cut) or ''."""
+    """empty, copy, refusal, foreign (other_language) and declining (refusal) unless a structure was left open, silent (refusal unless it was cut in any way) or ''."""
     if text is None or not _visible(text):
         return "empty"
     body, values, prose = parts(text)
@@ -241,7 +241,7 @@ def defect_of(text: str | None, prompt: str | None, languages: p9_language.Class
     if is_foreign([prose, *strings], languages):
         return "foreign"
     if not labelled:
-        return "refusal" if refusals is not None and refusals(own) else "silent"
+        return "declining" if refusals is not None and refusals(own) else "silent"
     return ""
 
 
@@ -267,12 +267,13 @@ def defective(answers: DataFrame, labels: DataFrame, dictionaries: dict[str, byt
     keyed = answers.select(F.struct("table_name", "record_id").alias("key"), "source", "prompt", "response")
     judge = _judge(dictionaries or {}, fit_refusals(keyed))
     judged = cut_lineage(keyed.select("key", judge("response", "prompt").alias("d")).where("d <> ''"))
-    settled = judged.where("d not in ('foreign', 'silent')").select("key", F.col("d").alias("defect"))
+    settled = judged.where("d not in ('foreign', 'declining', 'silent')").select("key", F.col("d").alias("defect"))
     cut = p5_cutoff.cut_keys(keyed, labels)
-    # an unknown ending says little in another language, an open structure says all
-    foreign = judged.where("d = 'foreign'").join(cut.where("structural"), "key", "left_anti").select("key", F.lit("other_language").alias("defect"))
+    # an unknown ending says little in another language or after a refusal, an open structure says all
+    named = F.when(F.col("d") == "foreign", "other_language").otherwise("refusal").alias("defect")
+    leaning = judged.where("d in ('foreign', 'declining')").join(cut.where("structural"), "key", "left_anti").select("key", named)
     silent = judged.where("d = 'silent'").join(cut, "key", "left_anti").select("key", F.lit("refusal").alias("defect"))
-    known = settled.union(foreign)
+    known = settled.union(leaning)
     truncated = cut.join(known.select("key"), "key", "left_anti").select("key", F.lit("truncated").alias("defect"))
     return known.union(silent).union(truncated).select("key.table_name", "key.record_id", "defect")
 

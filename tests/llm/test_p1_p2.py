@@ -86,8 +86,14 @@ def test_mapping(spark):
     import json
 
     rows = spark.createDataFrame([(i, json.dumps({"department": "骨科", "symptoms": [5, v]})) for i, v in enumerate(values)] + [(99, "```json\n" + json.dumps({"department": "神经外科", "symptoms": None}) + "\n```"), (98, None), (97, "x"), (96, '{"department":"转神内（主院区）","symptoms":{}}')], "raw_id long, output string")
+    # additions are learned from several entries; each of these rows is a case too
+    taught = {"轻度尿频": 2, "轻度尿痛": 3, "持续性头痛": 1, "持续性尿频": 2, "头痛，伴不适": 1, "尿痛，伴不适": 3, "头痛尿频": -1, "尿痛尿频": -1}
+    desks = {"转儿科": 101, "转骨科": 102, "转神经内科": 103, "儿科(主院区)": 101, "骨科(主院区)": 102}
+    more = [(200 + i, json.dumps({"symptoms": [v]})) for i, v in enumerate(taught)] + [(300 + i, json.dumps({"department": v})) for i, v in enumerate(desks)]
+    rows = rows.union(spark.createDataFrame(more, rows.schema))
     got = {(r["raw_id"], r["pos"]): r["term_id"] for r in p2_canonical.map_values(rows, terms).collect()}
     want = {(i, 2): t for i, t in enumerate(values.values()) if t is not None} | {(99, 0): -1, (96, 0): 103}
+    want |= {(200 + i, 1): t for i, t in enumerate(taught.values())} | {(300 + i, 0): t for i, t in enumerate(desks.values())}
     assert got == want
     assert p2_canonical.map_values(rows.limit(0), terms).count() == 0
 
