@@ -9,8 +9,9 @@
   answer that names no label and triages nothing is a refusal in any wording.
 * Another language is told by the dictionaries of problem 9: one of them encodes
   what the answer says (values of its label object and its prose, never keys)
-  clearly smaller than the Chinese one. A few words that no dictionary shrinks
-  are judged by their script.
+  clearly smaller than the Chinese one, which also holds ``HOME_SAMPLE`` label
+  texts in Chinese script and the ordinary prose above. A few words that no dictionary shrinks are
+  judged by their script.
 * Cut answers are told by the automaton and the terminal contexts of problem 5.
 
 One defect is given, the first of empty, copy, refusal, truncated,
@@ -38,6 +39,8 @@ COPY_RATIO = 0.5
 COPY_SHARE = 0.5
 #: Answers that decline, and prompts and whole answers, on which the refusal and the ordinary dictionary are fitted; and bytes kept of each.
 REFUSAL_SAMPLE, REFUSAL_BYTES = 2000, 64_000
+#: Label texts whose values are added to the Chinese dictionary, and bytes kept of them.
+HOME_SAMPLE, HOME_BYTES = 2000, 32_000
 #: The ordinary encoding of a refusal must be larger by this part.
 REFUSAL_MARGIN = 0.05
 
@@ -177,19 +180,19 @@ def _foreign_script(said: list[str]) -> bool:
     return latin > 3 and latin > 3 * han
 
 
+def _joined(texts: list[str], most: int) -> bytes:
+    kept = b""
+    for t in dict.fromkeys(texts):
+        if len(kept) < most:
+            kept += t.encode("utf-8", "ignore") + b"\n"
+    return kept
+
+
 class Refusals:
     """Tells refusals by the smaller of two encodings."""
 
     def __init__(self, refusals: list[str], ordinary: list[str]):
-        self.encoders = [p9_language.encoder(self._joined(texts)) for texts in (refusals, ordinary)] if refusals and ordinary else []
-
-    @staticmethod
-    def _joined(texts: list[str]) -> bytes:
-        kept = b""
-        for t in dict.fromkeys(texts):
-            if len(kept) < REFUSAL_BYTES:
-                kept += t.encode("utf-8", "ignore") + b"\n"
-        return kept
+        self.encoders = [p9_language.encoder(_joined(texts, REFUSAL_BYTES)) for texts in (refusals, ordinary)] if refusals and ordinary else []
 
     def __call__(self, text: str) -> bool:
         if not self.encoders:
@@ -265,7 +268,14 @@ def defective(answers: DataFrame, labels: DataFrame, dictionaries: dict[str, byt
     are judged each.
     """
     keyed = answers.select(F.struct("table_name", "record_id").alias("key"), "source", "prompt", "response")
-    judge = _judge(dictionaries or {}, fit_refusals(keyed))
+    refusals, ordinary = fit_refusals(keyed)
+    dictionaries = dict(dictionaries or {})
+    if "zh" in dictionaries:
+        own = labels.select(F.col("label")).where("label is not null").orderBy(F.xxhash64("label")).limit(HOME_SAMPLE).collect()
+        # labels taken from answers may be in another language themselves
+        said = [s for r in own for v in parts(r["label"])[1] if not _foreign_script([s := " ".join(_strings(v))])]
+        dictionaries["zh"] += _joined(said, HOME_BYTES) + _joined(ordinary, HOME_BYTES)
+    judge = _judge(dictionaries, (refusals, ordinary))
     judged = cut_lineage(keyed.select("key", judge("response", "prompt").alias("d")).where("d <> ''"))
     settled = judged.where("d not in ('foreign', 'declining', 'silent')").select("key", F.col("d").alias("defect"))
     cut = p5_cutoff.cut_keys(keyed, labels)

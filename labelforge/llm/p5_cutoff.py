@@ -36,8 +36,8 @@ _CONTROL_CUT = re.compile(r"<(?:\||\|[a-zA-Z_]+\|?|/|/?s)?$")
 #: Characters kept of a segment's start and of its end.
 START, END = 3, 4
 #: An unterminated ending is a habit of a source from this share of its answers, and this count, on.
-#: What so many sources have as a habit is one of all.
-HABIT_SHARE, HABIT_COUNT, HABIT_SOURCES = 0.001, 5, 3
+#: An ending that so many sources leave open more than once is a habit of all if it has this share and count over all answers.
+HABIT_SHARE, HABIT_COUNT, HABIT_SOURCES = 0.001, 5, 2
 #: A context excuses endings if it is closed at least so often for each that is open; from HABIT_COUNT open ones of a source on also by its rates.
 CLOSED_RATE = 0.5
 #: The greatest length of a source is a limit if so many answers have it and this part of them is unfinished, some of them
@@ -259,7 +259,10 @@ def cut_keys(texts: DataFrame, labels: DataFrame) -> DataFrame:
     habits = ask.groupBy("of", "end").agg(F.count("*").alias("n")).join(sizes, "of").where((F.col("n") >= HABIT_COUNT) & (F.col("n") >= HABIT_SHARE * F.col("answers"))).select("of", "end")
 
     at_limit = ask.join(limits, ["of", "size"], "left_semi")
-    everywhere = habits.groupBy("end").agg(F.count("*").alias("sources")).where(F.col("sources") >= HABIT_SOURCES)
+    common = ask.groupBy("of", "end").agg(F.count("*").alias("n")).groupBy("end").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("sources"))
+    common = common.where((F.col("sources") >= HABIT_SOURCES) & (F.col("n") >= HABIT_COUNT))
+    total = sizes.agg(F.max("all_answers").alias("all_answers"))
+    everywhere = common.join(F.broadcast(total), F.col("n") >= HABIT_SHARE * F.col("all_answers")).select("end")
     doubtful = ask.join(limits, ["of", "size"], "left_anti").join(habits, ["of", "end"], "left_anti").join(everywhere, "end", "left_anti")
     for closed, *key in ((segments, "start", "end"), (clauses, "clause", "end"), (items, "item")):
         doubtful = doubtful.join(_excused(ask, closed, sizes, *key), ["of", *key], "left_anti")
