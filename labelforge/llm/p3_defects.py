@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelforge import constants
 from labelforge.llm import p5_cutoff, p9_language
 from labelforge.session import cut_lineage
 
@@ -47,7 +48,7 @@ REFUSAL_MARGIN = 0.05
 # Ways of declining, and wordings that use the same words without declining.
 REFUSALS = re.compile(
     "无法(?:根据|回答|提供|给出|判断|处理|协助|为您|帮)|不能(?:提供|回答|给出|判断|协助|为您|帮|作答|透露)|不便(?:透露|回答|提供|评价|告知)|不方便(?:对|回答|透露|提供|评价)"
-    "|没有(?:资格|权限|能力)|没有办法|没法(?:回答|提供|给出)|未获授权|无权|请?恕(?:我|本|难)|难以(?:回答|作答|判断|提供)|拒绝(?:给出|回答|提供|作答)|不予(?:处理|回答|受理|作答)"
+    "|没有(?:资格|权限|能力)|没有办法|没法(?:回答|提供|给出)|未获授权|无权|请?恕(?:我|本|难)|难以(?:回答|作答|判断|提供)|拒绝(?:给出|回答|提供|作答)|不予(?:处理|回答|受理|作答|分诊)"
     "|超出了?.{0,6}(?:能力|范围|权限)|帮不(?:上|了)|不(?:作|做)(?:分诊|回答|评价|答复|判断)|不(?:回应|作答|受理)|(?:暂不|不)支持|给不(?:出|了)|到此为止|请勿据此|不会(?:回答|提供)|另请|爱莫能助"
 )
 REFUSALS_ABROAD = re.compile(r"\b(?:i (?:can(?:no|')t|am (?:not able|unable)|won't)|unable to|not able to (?:help|provide)|cannot (?:help|provide|answer|assist))\b", re.I)
@@ -206,10 +207,20 @@ def _declines(text: str) -> bool:
     return bool(REFUSALS.search(text) or REFUSALS_ABROAD.search(text))
 
 
+def _names_label(value: dict) -> bool:
+    """Whether an object's department or urgency is one, right or wrong; an object without both may name symptoms."""
+    department, urgency = (value.get(k) for k in ("department", "urgency"))
+    if department is None and urgency is None:
+        return any(_visible(s) for s in _strings(value.get("symptoms")))
+    return urgency in constants.URGENCIES or isinstance(department, str) and "科" in department
+
+
 def _labelled(body: str, values: list) -> bool:
-    """Whether an answer names a label, in an object or in prose."""
-    named = any(isinstance(v, dict) and _LABEL_KEYS & v.keys() and any(_visible(s) for s in _strings({k: v[k] for k in _LABEL_KEYS & v.keys()})) for v in values)
-    return named or bool(re.search("(?:科室|紧急程度|症状)\\s*[：:]|\"department\"", body))
+    """Whether an answer names a label, in an object or in prose; "cannot tell" in the place of one is none."""
+    objects = [v for v in values if isinstance(v, dict) and _LABEL_KEYS & v.keys()]
+    if objects:
+        return any(map(_names_label, objects))
+    return bool(re.search("(?:科室|紧急程度|症状)\\s*[：:]|\"department\"", body))
 
 
 def _own_words(prose: str, strings: list[str]) -> str:

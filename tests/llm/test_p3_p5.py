@@ -87,6 +87,7 @@ def test_defects(text, defect):
 
 
 @pytest.mark.parametrize("label,defect", [
+    (("无法判断", "无法判断", ["无法判断"]), "refusal"), (("不予分诊", "不予分诊", []), "refusal"), (("略过", "略过", []), "silent"), (("心内科", "紧急", ["胸痛"]), ""), (("无法判断科别", "高", ["胸痛"]), ""),
     (("Cardiology", "High", ["Chest Pain", "Fever"]), "foreign"), (("CARDIOLOGY", "HIGH", ["FEVER"]), "foreign"), (("Lungenheilkunde", "中", ["Halsschmerzen", "Schwindel"]), "foreign"), (("Lungenheilkunde", "Mittel", ["Halsschmerzen"]), "foreign"),
     (("ENT", "中", ["MRI", "CT"]), ""), (("儿科", "中", ["Paracetamol Ibuprofen 过敏"]), ""),
 ])
