@@ -1,5 +1,7 @@
 """Cleaning of raw labels: rules with reasons, first-wins duplicates, deterministic split, report."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,9 +9,12 @@ from labelforge import constants
 from labelforge.functions import jsonx
 from labelforge.functions.symptoms import literal_map, schema_symptoms
 from labelforge.operators import gate
+from labelforge.session import cut_lineage
 
 #: Hex digits of a hash that form a bucket when rows are ranked by hash.
 BUCKET_DIGITS = 3
+#: Rows of a bucket that may be sorted together.
+SORTED_ROWS = 20_000
 
 
 def normalise(rows: DataFrame, text: str = "output", asked: str = "input") -> DataFrame:
@@ -90,11 +95,38 @@ def hash_ranked(rows: DataFrame, key: Column, tie: str, seed: int = 42) -> DataF
     return ranked.withColumn("hash_rank", F.col("__own") + F.col("__before")).drop("__h", "__b", "__own", "__before")
 
 
+def lowest(rows: DataFrame, key: Column, tie: str, size: Callable[[int], int], seed: int = 42) -> DataFrame:
+    """Adds ``lowest``: whether a row is among the ``size(n)`` of all ``n`` rows with the lowest seeded hash of the key, ties by ``tie``.
+
+    ``rows`` are written once. Their hashes are counted by their first digits, at
+    most 16**BUCKET_DIGITS counts, then within the bucket where the cut falls,
+    until that is small; only its rows are sorted. Nothing else is shuffled.
+    Rows alike in hash and ``tie`` fall on the same side.
+    """
+    hashed = cut_lineage(rows.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key, F.lit(""))))))
+    wanted, prefix, before, held = None, "", 0, 0
+    while wanted is None or held > SORTED_ROWS and len(prefix) + BUCKET_DIGITS <= 32:
+        part = F.substring("__h", len(prefix) + 1, BUCKET_DIGITS).alias("part")
+        counts = sorted((r["part"], r["count"]) for r in hashed.where(F.col("__h").startswith(prefix)).groupBy(part).count().collect())
+        if wanted is None:
+            wanted = size(sum(n for _, n in counts))
+            if wanted <= 0 or not counts:
+                return hashed.drop("__h").withColumn("lowest", F.lit(False))
+        for part, held in counts:
+            if before + held >= wanted or part == counts[-1][0]:
+                break
+            before += held
+        prefix += part
+    place = F.struct(F.col("__h"), F.col(tie).alias("tie"))
+    last = hashed.where(F.col("__h").startswith(prefix)).select(place.alias("place")).orderBy("place").limit(wanted - before).agg(F.max("place").alias("place")).first()["place"]
+    same = F.col("__h") == last["__h"]
+    return hashed.withColumn("lowest", (F.col("__h") < last["__h"]) | (same & (F.col(tie) <= F.lit(last["tie"])))).drop("__h")
+
+
 def split(rows: DataFrame, key: Column, tie: str, ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``split``: 'valid' for max(1, round half even of n * ratio) rows, 'train' for the rest."""
-    size = rows.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(ratio))).cast("bigint").alias("__k")).withColumn("__one", F.lit(1))
-    ranked = hash_ranked(rows, key, tie, seed).withColumn("__one", F.lit(1))
-    return ranked.join(F.broadcast(size), "__one").withColumn("split", F.when(F.col("hash_rank") <= F.col("__k"), "valid").otherwise("train")).drop("__k", "__one")
+    marked = lowest(rows, key, tie, lambda n: max(1, round(n * ratio)), seed)
+    return marked.withColumn("split", F.when(F.col("lowest"), "valid").otherwise("train")).drop("lowest")
 
 
 def value_counts(rows: DataFrame, column: str, place: str = "place") -> DataFrame:

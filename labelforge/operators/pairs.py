@@ -7,7 +7,7 @@ from labelforge import constants
 from labelforge.functions.jsonx import settled
 from labelforge.functions.symptoms import jaccard, literal_map
 from labelforge.operators import gate
-from labelforge.operators.clean import first_wins, hash_ranked
+from labelforge.operators.clean import first_wins, lowest
 
 
 def record(instruction: Column, asked: Column, chosen: Column, rejected: Column, source: str) -> list[Column]:
@@ -40,7 +40,7 @@ def synthetic(rows: DataFrame, seed: int = 42, most: int | None = None) -> DataF
     rejected = gate.compact(F.when(by_dept, other).otherwise(d), F.when(~by_dept & by_urgency, flipped).otherwise(u), F.when(~by_dept & ~by_urgency, fewer).otherwise(s))
     out = v.select("row_id", *record(F.col("instruction"), F.col("input"), gate.compact(d, u, s), rejected, "synthetic"))
     if most is not None:
-        out = hash_ranked(out, F.col("row_id").cast("string"), "row_id", seed).where(F.col("hash_rank") <= most).drop("hash_rank")
+        out = lowest(out, F.col("row_id").cast("string"), "row_id", lambda n: min(n, most), seed).where("lowest").drop("lowest")
     return out
 
 
@@ -64,7 +64,10 @@ def union_first(sources: list[DataFrame], ids: list[str]) -> DataFrame:
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    return first_wins(both.withColumn("place", F.struct("source_no", "source_id")), ["conversations"]).drop("place")
+    # two hashes stand for a conversation, so that keys are short
+    text = F.to_json("conversations")
+    keyed = both.withColumn("place", F.struct("source_no", "source_id")).withColumn("__hash", F.xxhash64(text)).withColumn("__check", F.sha1(text))
+    return first_wins(keyed, ["__hash", "__check"]).drop("place", "__hash", "__check")
 
 
 def without_internal(df: DataFrame) -> DataFrame:

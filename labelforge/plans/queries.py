@@ -114,7 +114,7 @@ def dedup_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = _deduplicated(spark, d)
+    rows = _deduplicated(spark, d).select("raw_id", "clean_input")
     return clean.split(rows, F.col("clean_input"), "raw_id").select("raw_id", "split")
 
 
@@ -133,10 +133,13 @@ def label_distribution(spark: SparkSession, d: str) -> DataFrame:
 @query
 def clean_report(spark: SparkSession, d: str) -> DataFrame:
     """Rows kept, dropped, duplicate, and conflicting; kept, dropped and duplicate rows make up the source rows."""
-    n = _normalised(spark, d)
-    dup = clean.duplicate_counts(clean.kept(n)).agg(F.coalesce(F.sum("duplicates"), F.lit(0)).cast("bigint").alias("duplicates"), F.coalesce(F.sum("conflicts"), F.lit(0)).cast("bigint").alias("conflicts"), F.lit(1).alias("one"))
-    all_rows = n.agg(F.count("*").alias("source_rows"), F.count("drop_reason").alias("dropped"), F.count("rename").alias("renamed"), F.lit(1).alias("one"))
-    return all_rows.join(F.broadcast(dup), "one").select("source_rows", "dropped", "renamed", "duplicates", "conflicts", (F.col("source_rows") - F.col("dropped") - F.col("duplicates")).alias("num_clean_rows"))
+    # dropped rows share one empty key, so one pass by key counts everything
+    is_kept = F.col("drop_reason").isNull()
+    per_value = _normalised(spark, d).groupBy(is_kept.alias("kept"), F.when(is_kept, F.col("clean_input")).alias("key"), F.when(is_kept, F.col("clean_output")).alias("value"))
+    per_value = per_value.agg(F.count("*").alias("n"), F.count("rename").alias("renamed"), F.min("place").alias("at"))
+    per_key = per_value.groupBy("kept", "key").agg(F.sum("n").alias("n"), F.sum("renamed").alias("renamed"), F.min(F.struct("at", "n")).alias("first"))
+    sums = per_key.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(name) for c, name in ((F.sum("n"), "source_rows"), (F.sum(F.when(~F.col("kept"), F.col("n"))), "dropped"), (F.sum("renamed"), "renamed"), (F.sum(F.when(F.col("kept"), F.col("n") - 1)), "duplicates"), (F.sum(F.when(F.col("kept"), F.col("n") - F.col("first.n"))), "conflicts"))])
+    return sums.withColumn("num_clean_rows", F.col("source_rows") - F.col("dropped") - F.col("duplicates"))
 
 
 @query

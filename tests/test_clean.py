@@ -65,6 +65,16 @@ def test_hash_rank_is_a_permutation_even_for_one_hot_key(spark):
     assert sorted(r["hash_rank"] for r in clean.hash_ranked(rows, F.col("k"), "id").collect()) == list(range(1, 501))
 
 
+@pytest.mark.parametrize("k", [0, 1, 77, 300, 499, 500])
+def test_lowest_is_what_a_global_sort_gives(spark, k, monkeypatch):
+    monkeypatch.setattr(clean, "SORTED_ROWS", 2)
+    rows = spark.range(500).select("id", F.when(F.col("id") < 300, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    ranked = clean.hash_ranked(rows, F.col("k"), "id").where(F.col("hash_rank") <= k).select("id")
+    got = clean.lowest(rows, F.col("k"), "id", lambda n: k).where("lowest").select("id")
+    assert got.count() == k and got.exceptAll(ranked).count() == 0
+    assert clean.lowest(rows.limit(0), F.col("k"), "id", lambda n: max(1, n)).count() == 0
+
+
 def test_value_counts_ties_by_first_appearance(spark):
     rows = spark.createDataFrame([("b", 1), ("a", 2), ("a", 3), ("b", 4), ("c", 0)], "v string, place int")
     assert [tuple(r) for r in clean.value_counts(rows, "v").collect()] == [("b", 2), ("a", 2), ("c", 1)]
