@@ -268,6 +268,9 @@ def _bigint(sql: str, columns: str) -> str:
     return f"select * replace ({', '.join(f'{c}::bigint as {c}' for c in columns.split())}) from ({sql})"
 
 
+SQL["duplicate_inputs_top"] = SQL["duplicate_inputs"] + " order by n desc, input limit 20"
+SQL["synthetic_pairs_sample"] = f"select * from ({SQL['synthetic_pairs']}) order by md5('42|' || row_id::varchar), row_id limit 1000"
+
 for _name, _columns in {
     "dedup_conflicts": "conflicts",
     "clean_report": "duplicates conflicts num_clean_rows",

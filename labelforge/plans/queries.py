@@ -172,6 +172,12 @@ def duplicate_inputs(spark: SparkSession, d: str) -> DataFrame:
     return validate.duplicate_inputs(table(spark, d, "sft_train"))
 
 
+@query
+def duplicate_inputs_top(spark: SparkSession, d: str) -> DataFrame:
+    """The inputs held most often (a top-k report)."""
+    return validate.duplicate_inputs(table(spark, d, "sft_train"), cap=20)
+
+
 @query
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return validate.report(table(spark, d, "sft_valid"))
@@ -204,6 +210,13 @@ def synthetic_pairs(spark: SparkSession, d: str) -> DataFrame:
     return made.select("row_id", F.col("chosen.value").alias("chosen"), F.col("rejected.value").alias("rejected"))
 
 
+@query
+def synthetic_pairs_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded sample of made-up pairs (a sampling operator)."""
+    made = pairs.synthetic(table(spark, d, "sft_train").select("row_id", "instruction", "input", "output"), most=1000)
+    return made.select("row_id", F.col("chosen.value").alias("chosen"), F.col("rejected.value").alias("rejected"))
+
+
 @query
 def prediction_error_pairs(spark: SparkSession, d: str) -> DataFrame:
     made = pairs.from_predictions(table(spark, d, "predictions").select("pred_id", "input", "gold", "response"))

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from labelforge.operators.pairs import without_internal
 
 
-def read_json_array(spark: SparkSession, path: str, check_items: bool = True) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, check_items: bool = True, check_root: bool = True) -> DataFrame:
     """``source, row_idx, value`` (VARIANT) of a file that holds one JSON array.
 
-    A root that is no array raises; with ``check_items`` so does an element
-    that is no object. Large data belongs into JSONL or Parquet: an array is
+    A root that is no array raises, or is the only row without ``check_root``;
+    with ``check_items`` an element that is no object raises. Large data belongs into JSONL or Parquet: an array is
     one record of its file.
     """
     whole = spark.read.option("multiLine", True).option("singleVariantColumn", "root").json(path)
     items = F.try_variant_get("root", "$", "array<variant>")
-    checked = whole.withColumn("items", F.when(items.isNull(), F.raise_error(F.lit("the root is not a JSON array"))).otherwise(items))
+    other = F.raise_error(F.lit("the root is not a JSON array")) if check_root else F.array("root")
+    checked = whole.withColumn("items", F.when(items.isNull(), other).otherwise(items))
     rows = checked.select(F.lit(os.path.basename(path)).alias("source"), F.posexplode("items").alias("row_idx", "value"))
     if check_items:
         is_object = F.try_variant_get("value", "$", "map<string,variant>").isNotNull()

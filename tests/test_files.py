@@ -100,3 +100,10 @@ def test_shared_folder_of_a_cluster_must_be_named():
         session.shared_folder(Session())
     Session.sparkContext.master = "local[2]"
     assert session.shared_folder(Session()) == session.shared_folder(Session())
+
+
+def test_a_root_that_is_no_array(spark, tmp_path):
+    path = tmp_path / "one.json"
+    path.write_text('{"a":1}', encoding="utf-8")
+    rows = files.read_json_array(spark, str(path), check_root=False).select("row_idx", F.to_json("value").alias("v")).collect()
+    assert [tuple(r) for r in rows] == [(0, '{"a":1}')]
