@@ -1,14 +1,15 @@
 """Problem 6: occurrences and records of every distinct term, marked where useless.
 
-Each record emits every term it holds once, with its count there. Spark's hash
-aggregation combines these partially before the shuffle, so a term in a third
-of all records arrives as one row per task.
+Each record emits its terms, each marked where it is the first of its kind
+there. Spark's hash aggregation combines these partially before the shuffle, so
+a term in a third of all records arrives as one row per task.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions import jsonx
+from labelforge.session import cut_lineage
 
 #: A term in at most so many records is rare.
 RARE_RECORDS = 2
@@ -34,10 +35,14 @@ def term_frequencies(records: DataFrame, rare: int = RARE_RECORDS, common: float
 
     ``mark`` is 'rare', 'common' or null. No records give no rows.
     """
-    counted = records.select(F.explode(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter(F.col("terms"), lambda u: u == t)).alias("n")))).alias("x"))
-    sums = counted.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.n").cast("bigint").alias("occurrences"), F.count("*").alias("records"))
-    total = records.agg(F.count("*").alias("all_records"))
+    # sorted, so that a term's first occurrence in its record is told by the one before it
+    ordered = records.select(F.array_sort("terms").alias("terms"))
+    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when(F.get("terms", i - 1).eqNullSafe(t), 0).otherwise(1).alias("first")))
+    # a null beside the terms of each record counts the records, so that nothing is read twice
+    every = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
+    counted = ordered.select(F.inline(F.concat(marked, every)))
+    sums = cut_lineage(counted.groupBy("term").agg(F.count("*").alias("occurrences"), F.sum("first").alias("records")))
+    total = sums.where("term is null").select(F.col("records").alias("all_records"))
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * F.col("all_records"), "common")
-    # one row, so that the share needs no second pass over the terms
     one = F.lit(1).alias("one")
-    return sums.select("*", one).join(F.broadcast(total.select("*", one)), "one").select("term", "occurrences", "records", mark.alias("mark"))
+    return sums.where("term is not null").select("*", one).join(F.broadcast(total.select("*", one)), "one").select("term", "occurrences", "records", mark.alias("mark"))
