@@ -65,6 +65,9 @@ def distance(a: str, b: str) -> int:
     """Damerau-Levenshtein distance with unrestricted transpositions (a metric)."""
     if a == b:
         return 0
+    if set(a).isdisjoint(b):
+        # nothing to keep or to swap
+        return max(len(a), len(b))
     last: dict[str, int] = {}
     far = len(a) + len(b)
     h = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
@@ -73,13 +76,20 @@ def distance(a: str, b: str) -> int:
     for j in range(len(b) + 1):
         h[1][j + 1] = j
     for i in range(1, len(a) + 1):
-        hit = 0
+        hit, above, here = 0, h[i], h[i + 1]
         for j in range(1, len(b) + 1):
             i1, j1 = last.get(b[j - 1], 0), hit
             cost = 1
             if a[i - 1] == b[j - 1]:
                 cost, hit = 0, j
-            h[i + 1][j + 1] = min(h[i][j] + cost, h[i + 1][j] + 1, h[i][j + 1] + 1, h[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1))
+            best = above[j] + cost
+            if here[j] < best:
+                best = here[j] + 1
+            if above[j + 1] < best:
+                best = above[j + 1] + 1
+            if i1 and j1 and (swap := h[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1)) < best:
+                best = swap
+            here[j + 1] = best
         last[a[i - 1]] = i
     return h[len(a) + 1][len(b) + 1]
 
@@ -241,7 +251,8 @@ class _Field:
         """All names near a core of the value; if a core is a name itself, only such."""
         # a core beyond the longest name by more than its threshold is near none: the distance is at least the difference in length
         found = cores(plain, self.prefixes, self.suffixes, self.longest + threshold("x" * 99))
-        hits = [(*hit, k) for k, core in enumerate(found) for hit in self.near(core, 0)]
+        # at distance 0 is the name itself
+        hits = [(*hit, k) for k, core in enumerate(found) if core in self.ids for hit in self.near(core, 0)]
         return hits or [(*hit, k) for k, core in enumerate(found) for hit in self.near(core, threshold(core))]
 
 

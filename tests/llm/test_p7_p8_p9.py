@@ -61,6 +61,12 @@ def test_hot_size(spark):
     assert packed.select("doc_id").distinct().count() == 2000 and fill.where("t > 64").count() == 0
 
 
+def test_hot_size_in_many_salts_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(p7_packing, "SALT_ROWS", 3)
+    monkeypatch.setattr(p7_packing, "FEW_PLACES", 0)
+    test_hot_size(spark)
+
+
 TARGETS = "source string, target_share double, max_repeats int"
 
 
@@ -142,3 +148,22 @@ def test_empty_table_and_no_labels(spark):
 def test_label_names(spark):
     rows = spark.createDataFrame([("zh-CN", "zh"), ("EN_gb", "en"), (" Chinese", "zh"), ("mul", None), ("", None), (None, None), ("es-419", "es")], "l string, want string")
     assert rows.where(~p9_language.label_language(F.col("l")).eqNullSafe(F.col("want"))).count() == 0
+
+
+@pytest.mark.parametrize("text,read,unread", [
+    ("今天去了医院。（医生说没有大碍，可以放心。）回家休息。", "医生说没有大碍", "（"), ("(The nurse called back later.) Wir warten.", "nurse called", "("), ("他说“右下肺不舒服。”然后回家。", "然后回家", "右下肺"), ("服用（chest pain）后缓解。", "服用", "chest"),
+])
+def test_whole_sentences_in_brackets_are_read(text, read, unread):
+    wordings = " ".join(w for _, _, w in p9_language.sentences(text))
+    assert read in wordings and unread not in wordings
+
+
+def test_short_texts_keep_the_margin():
+    """Two languages with the same sentences can't be told apart, however short the text; one that holds it can."""
+    line = "el paciente tiene fiebre y tos desde ayer por la tarde\n"
+    same = p9_language.Classifier({"es": (line * 9).encode(), "pt": (line * 9).encode()})
+    assert same.stretches("tiene fiebre y tos.") == [] and same.decide("tiene fiebre y tos desde ayer")[0] is None
+    other = p9_language.Classifier({"es": (line * 9).encode(), "de": ("der Patient hat seit gestern Fieber und Husten\n" * 9).encode()})
+    assert other.decide("tiene fiebre y tos desde ayer")[0] == "es" and other.foreign_to("tiene fiebre y tos desde ayer", "de") is True
+    assert other.foreign_to("der Patient hat seit gestern Fieber", "de") is False and other.foreign_to("qqq", "de") is None
+    assert p9_language.Classifier({}).decide("x") == (None, 0.0)
