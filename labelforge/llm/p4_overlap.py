@@ -215,7 +215,7 @@ _FIELDS = (("key", np.uint32), ("id", np.uint32), ("odd", np.uint64), ("pos", np
 
 def _packed(eval_side: bool, part: np.ndarray, fields: dict[str, np.ndarray]) -> Iterator[tuple[int, bool, int, bytes]]:
     """Postings by partition, sorted by shingle, as compressed columns."""
-    if int(part.max()) < 1 << 16:
+    if part.max(initial=0) < 1 << 16:
         # one number to sort by
         order = np.argsort(part.astype(np.uint64) << np.uint64(48) | fields["key"].astype(np.uint64) << np.uint64(16) | fields["pos"].astype(np.uint64))
     else:
