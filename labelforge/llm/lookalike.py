@@ -107,7 +107,7 @@ def same_look(text: str) -> str:
     return (_mapped(text) if _JOINS in out else out).strip()
 
 
-_DROP, _LONG, _NEW = 0x110000, 0x110001, 0x110002
+_DROP, _LONG, _NEW, _SEVERAL = 0x110000, 0x110001, 0x110002, 0x110003
 
 
 class _Batch:
@@ -116,11 +116,33 @@ class _Batch:
     def __init__(self, alone: _Alone, whole):
         self.alone, self.whole = alone, whole
         self.table = np.full(0x110000, _NEW, dtype=np.uint32)
+        # characters that become several: all those, and where each one's begin and end
+        self.several, self.bounds = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def _learn(self, codes: np.ndarray) -> None:
         for cp in np.unique(codes).tolist():
             out = self.alone[cp]
-            self.table[cp] = _LONG if out == _JOINS or len(out) > 1 else ord(out) if out else _DROP
+            if len(out) > 1:
+                self.table[cp] = _SEVERAL + len(self.bounds) - 1
+                self.several = np.append(self.several, np.array([ord(c) for c in out], dtype=np.uint32))
+                self.bounds = np.append(self.bounds, len(self.several))
+            else:
+                self.table[cp] = _LONG if out == _JOINS else ord(out) if out else _DROP
+
+    def _spread(self, mapped: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that become several, replaced by them, and where the texts end then."""
+        places = np.flatnonzero(mapped >= _SEVERAL)
+        if not len(places):
+            return mapped, ends
+        which = mapped[places] - _SEVERAL
+        n = self.bounds[which + 1] - self.bounds[which]
+        counts = np.ones(len(mapped), dtype=np.int64)
+        counts[places] = n
+        after = np.concatenate([[0], np.cumsum(counts)])
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        mapped = np.repeat(mapped, counts)
+        mapped[np.repeat(after[places], n) + inner] = self.several[np.repeat(self.bounds[which], n) + inner]
+        return mapped, after[ends]
 
     def __call__(self, texts: list[str]) -> list[str]:
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -129,7 +151,7 @@ class _Batch:
         if (new := mapped == _NEW).any():
             self._learn(codes[new])
             mapped = self.table[codes]
-        ends = np.cumsum(lengths)
+        mapped, ends = self._spread(mapped, np.cumsum(lengths))
         kept = np.concatenate([[0], np.cumsum(mapped < _DROP)])[ends]
         slow = np.unique(np.searchsorted(ends, np.flatnonzero(mapped == _LONG), "right"))
         joined = mapped[mapped < _DROP].tobytes().decode("utf-32-le", "surrogatepass")

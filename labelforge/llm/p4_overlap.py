@@ -14,7 +14,10 @@ The join is exact:
   most ``d`` edits, some box has none and every chain of ``l`` boxes from there
   on at most ``l * d / m`` (cycle lemma), so a posting also holds which characters
   are odd in number in the ``WINDOW`` places from its shingle on: an edit changes
-  at most two of them. Position, length and this window filter a pair at once.
+  at most two of them. All postings of a shingle on both sides are compared as a
+  matrix of windows; position and length then filter what is left.
+* Where rows repeat a lot, only one row of each text gives postings; which one it
+  is stands in a bit map of row ids (a few more may pass).
 * Pairs that are left are filtered by the odd characters of whole texts, then
   verified with Spark's own Levenshtein distance.
 
@@ -45,17 +48,23 @@ BITS = 20
 #: Postings of a shingle in one cell, of evaluation and of training texts.
 CELL_EVAL, CELL_TRAIN = 50_000, 200_000
 #: Postings, and pairs of postings, that a task should meet.
-TASK_POSTINGS, TASK_HITS = 1_500_000, 400_000_000
+TASK_POSTINGS, TASK_HITS = 1_500_000, 4_000_000_000
 #: Copies over which the rows of a hot text are spread.
 SALTS = 16
 #: Evaluation texts up to which the odd characters of all are broadcast (40 bytes each); more are shuffled.
 FEW_TEXTS = 500_000
 #: Pairs up to which their texts are fetched by a broadcast of their ids (16 bytes each); those of more are shuffled.
 FEW_PAIRS = 200_000
+#: Share of distinct texts from which on it doesn't pay to find one row of each before postings are made.
+MOSTLY_NEW = 0.8
+#: Bits of the map of these rows (2 to the power of), at most: 32 MB.
+MARKS = 28
 
 _BLOCK = 120  # least length of the pieces in which a long text's shingles are chosen
 _CELLS = 1_000_000  # characters of a batch, padding included
-_HITS = 2_000_000  # pairs of postings that are gathered at once
+_HITS = 1 << 17  # pairs of postings that are compared at once: what fits into a cache
+_DENSE = 2_000  # pairs of a block of postings from which on they are compared as a matrix
+_SPAN = 7  # places that postings of a block begin in (2 to the power of)
 _HELD = 1_000_000  # postings that a task gathers before it sends them
 _FAR = 0xFFFF  # farthest position that is told; what lies beyond passes the filters
 _NEVER = np.int32(1 << 29)
@@ -244,9 +253,13 @@ def _unpacked(n: int, data: bytes) -> dict[str, np.ndarray]:
 
 
 class _Layout:
-    """Where postings go: a shingle's cells are ``across`` parts of the training side times ``down`` parts of the evaluation side."""
+    """Where postings go: a shingle's cells are ``across`` parts of the training side times ``down`` parts of the evaluation side.
 
-    def __init__(self, held: np.ndarray, chosen: np.ndarray, least: int):
+    ``marks`` of the evaluation and the training side: rows that give postings.
+    """
+
+    def __init__(self, held: np.ndarray, chosen: np.ndarray, least: int, marks: "tuple[_Marks | None, _Marks | None]" = (None, None)):
+        self.marks = marks
         self.held = np.minimum(held, _DEAREST).astype(np.int32)
         self.down = np.where(chosen > 0, -(-held // CELL_EVAL), 0).astype(np.int32)
         self.across = (-(-chosen // CELL_TRAIN)).astype(np.int32)
@@ -267,10 +280,36 @@ class _Layout:
         return which, (cell % np.uint64(self.parts)).astype(np.int64)
 
 
-def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Ids and consistent letters and digits of the rows that have any."""
+class _Marks:
+    """Row ids in a map of 2**bits bits: ``has`` is true for each of them, and for few others."""
+
+    def __init__(self, words: np.ndarray, values: np.ndarray, bits: int):
+        self.bits, self.map = bits, np.zeros(1 << bits - 6, dtype=np.uint64)
+        self.map[words] = values
+
+    @staticmethod
+    def place(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word and bit of each id."""
+        at = _mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)
+        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        word, bit = self.place(ids, self.bits)
+        return self.map[word] & bit > 0
+
+
+def _marked(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        word, bit = _Marks.place(frame["row_id"].to_numpy(), bits)
+        yield pd.DataFrame({"word": word, "bit": bit.view(np.int64)})
+
+
+def _texts(frames: Iterator[pd.DataFrame], marks: _Marks | None = None) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Ids and consistent letters and digits of the rows that have any, and are marked."""
     for frame in frames:
         frame = frame[frame["text"].notna()]
+        if marks:
+            frame = frame[marks.has(frame["row_id"].to_numpy())]
         norms = lookalike.letters_and_digits_of(frame["text"].tolist())
         kept = [k for k, t in enumerate(norms) if t]
         if kept:
@@ -352,7 +391,7 @@ def _postings(frames: Iterator[pd.DataFrame], eval_side: bool, layout: _Layout)
         waiting.clear()
         return pd.DataFrame(rows, columns=["part", "eval", "n", "data"])
 
-    for _, norms in _texts(frames):
+    for _, norms in _texts(frames, layout.marks[not eval_side]):
         nid, _ = _hashes(norms)
         new = _first(nid, seen)
         if not len(new):
@@ -373,6 +412,24 @@ def _postings(frames: Iterator[pd.DataFrame], eval_side: bool, layout: _Layout)
         yield sent()
 
 
+def _runs(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new value of any of the columns begins."""
+    new = np.ones(len(sorted_by[0]), dtype=bool)
+    new[1:] = functools.reduce(np.logical_or, (x[1:] != x[:-1] for x in sorted_by))
+    return new
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``i`` and each of ``first[i]`` and the ``n[i] - 1`` numbers that follow, about ``_HITS`` at once."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        done = ends[at] - n[at]
+        to = max(at + 1, int(np.searchsorted(ends, done + _HITS, "right")))
+        own = n[at:to]
+        yield np.repeat(np.arange(at, to), own), np.repeat(first[at:to] - (ends[at:to] - own - done), own) + np.arange(int(own.sum()))
+        at = to
+
+
 class _Index:
     """Postings of evaluation texts, by shingle and position."""
 
@@ -380,56 +437,94 @@ class _Index:
         fields = {f: np.concatenate([r[f] for r in rows]) for f in rows[0]}
         where = fields["key"].astype(np.uint64) << np.uint64(16) | fields["pos"]
         order = np.lexsort((fields["id"], where))
-        where, ids = where[order], fields["id"][order]
         # tasks that met the same text sent the same postings
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (where[1:] != where[:-1]) | (ids[1:] != ids[:-1])
-        order = order[new]
-        self.where, self.id, self.odd, self.pos, self.rest = where[new], ids[new], fields["odd"][order], fields["pos"][order].astype(np.int64), fields["rest"][order].astype(np.int64)
+        order = order[_runs(where[order], *(fields[f][order] for f in ("id", "odd", "rest")))]
+        self.where, self.id, self.odd, self.pos, self.rest = where[order], fields["id"][order], fields["odd"][order], fields["pos"][order].astype(np.int64), fields["rest"][order].astype(np.int64)
 
     def probe(self, t: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
         """Pairs (training id, evaluation id, as one number) that pass all filters of their postings."""
+        where = t["key"].astype(np.uint64) << np.uint64(16) | t["pos"]
+        order = np.argsort(where)
+        where, t = where[order], {f: x[order] for f, x in t.items()}
         pos, rest, boxes = (t[f].astype(np.int64) for f in ("pos", "rest", "boxes"))
         n = pos + rest
         m = tau_of(n) + 1
         told = (pos < _FAR) & (rest < _FAR) & (boxes < 255)
         slack = _slack(n)
         most = np.where(told, 2 * (boxes * (m - 1) // m) + slack, 64).astype(np.uint8)
-        key = t["key"].astype(np.uint64) << np.uint64(16)
-        first = np.searchsorted(self.where, key | np.where(told, np.maximum(pos - m + 1, 0), 0).astype(np.uint64), "left")
-        found = np.searchsorted(self.where, key | np.where(told, np.minimum(pos + m - 1, _FAR), _FAR).astype(np.uint64), "right") - first
-        ends, at = np.cumsum(found), 0
-        while at < len(found):
-            done = ends[at] - found[at]
-            to = max(at + 1, int(np.searchsorted(ends, done + _HITS, "right")))
-            own = found[at:to]
-            where = np.repeat(first[at:to] - (ends[at:to] - own - done), own) + np.arange(int(own.sum()))
-            hit = np.flatnonzero(np.bitwise_count(self.odd[where] ^ np.repeat(t["odd"][at:to], own)) <= np.repeat(most[at:to], own))
-            v = where[hit]
-            p = np.searchsorted(ends[at:to] - done, hit, "right") + at
+        key = where & ~np.uint64(_FAR)
+        least, last = key | np.where(told, np.maximum(pos - m + 1, 0), 0).astype(np.uint64), key | np.where(told, np.minimum(pos + m - 1, _FAR), _FAR).astype(np.uint64)
+
+        def close(p: np.ndarray, v: np.ndarray) -> np.ndarray:
             # for those left: the edits that this very pair may have
             edits = np.floor(SHARE * np.maximum(n[p], self.pos[v] + self.rest[v]) + 1e-9).astype(np.int64)
             near = np.abs(pos[p] - self.pos[v]) + np.abs(rest[p] - self.rest[v]) <= edits
             near &= np.bitwise_count(self.odd[v] ^ t["odd"][p]) <= 2 * (boxes[p] * edits // m[p]) + slack[p]
             near |= ~told[p] | (self.pos[v] >= _FAR) | (self.rest[v] >= _FAR)
-            if near.any():
-                yield np.unique(t["id"][p[near]].astype(np.uint64) << np.uint64(32) | self.id[v[near]])
-            at = to
+            return np.unique(t["id"][p[near]].astype(np.uint64) << np.uint64(32) | self.id[v[near]])
+
+        # a block: postings of a shingle that begin in the same span of places
+        start = np.flatnonzero(_runs(where >> np.uint64(_SPAN)))
+        size = np.diff(start, append=len(n))
+        first = np.searchsorted(self.where, np.minimum.reduceat(least, start), "left")
+        found = np.searchsorted(self.where, np.maximum.reduceat(last, start), "right") - first
+        dense = size * found >= _DENSE
+        held, waiting = 0, []
+        for begin, end, a, wide in zip(*(x[dense].tolist() for x in (start, start + size, first, found)), strict=True):
+            rows, theirs = max(1, _HITS // wide), self.odd[None, a : a + wide]
+            for r in range(begin, end, rows):
+                some = slice(r, min(end, r + rows))
+                hit = np.flatnonzero(np.bitwise_count(t["odd"][some, None] ^ theirs) <= most[some, None])
+                if len(hit):
+                    p, v = np.divmod(hit, wide)
+                    waiting.append((p + r, v + a))
+                    held += len(hit)
+                if held >= _HITS:
+                    yield close(*map(np.concatenate, zip(*waiting)))
+                    held, waiting = 0, []
+        if waiting:
+            yield close(*map(np.concatenate, zip(*waiting)))
+        rare = np.flatnonzero(np.repeat(~dense & (found > 0), size))
+        first = np.searchsorted(self.where, least[rare], "left")
+        found = np.searchsorted(self.where, last[rare], "right") - first
+        for i, v in _spread(first, found):
+            p = rare[i]
+            hit = np.flatnonzero(np.bitwise_count(self.odd[v] ^ t["odd"][p]) <= most[p])
+            yield close(p[hit], v[hit])
 
 
 def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's rows come by partition, the evaluation side first; it is indexed, the rest probes."""
-    part, head, index = -1, [], None
+    """A task's rows come by partition, the evaluation side first; it is indexed, the rest probes, many at once."""
+    part, head, index, waiting = -1, [], None, []
+
+    def met() -> Iterator[pd.DataFrame]:
+        if not waiting:
+            return
+        probes = {f: np.concatenate([w[f] for w in waiting]) for f in waiting[0]}
+        waiting.clear()
+        found, held = [], 0
+        for pairs in index.probe(probes):
+            found.append(pairs)
+            held += len(pairs)
+            if held >= _HELD:
+                yield pd.DataFrame({"pair": np.unique(np.concatenate(found)).view(np.int64)})
+                found, held = [], 0
+        if found:
+            yield pd.DataFrame({"pair": np.unique(np.concatenate(found)).view(np.int64)})
+
     for frame in frames:
         for row in frame.itertuples(index=False):
             if row.part != part:
+                yield from met()
                 part, head, index = row.part, [], None
             if row.eval:
                 head.append(_unpacked(row.n, row.data))
             elif head:
                 index = index or _Index(head)
-                for pairs in index.probe(_unpacked(row.n, row.data)):
-                    yield pd.DataFrame({"pair": pairs.view(np.int64)})
+                waiting.append(_unpacked(row.n, row.data))
+                if sum(len(w["key"]) for w in waiting) >= _HELD:
+                    yield from met()
+    yield from met()
 
 
 def _counts(info: DataFrame) -> np.ndarray:
@@ -445,6 +540,21 @@ def _short(nid: Column) -> Column:
     return nid.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _once(info: DataFrame) -> tuple[_Marks | None, float, int]:
+    """The rows that give postings if texts repeat a lot, the share of such rows among those of ``info`` that are a task's first, and about how many texts there are."""
+    fresh = info.where("fresh")
+    n, texts = fresh.agg(F.count("*"), F.approx_count_distinct("nid", 0.02)).first()
+    if texts >= MOSTLY_NEW * n:
+        return None, 1.0, n
+    bits = min(MARKS, max(10, (16 * texts).bit_length()))
+    words = fresh.groupBy("nid").agg(F.min("row_id").alias("row_id")).mapInPandas(lambda frames: _marked(frames, bits), "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    return _Marks(words["word"].to_numpy(dtype=np.int64), words["bit"].to_numpy(dtype=np.int64).view(np.uint64), bits), texts / n, texts
+
+
+def _scaled(counts: np.ndarray, share: float) -> np.ndarray:
+    return np.ceil(counts * share).astype(np.int64)
+
+
 def candidates(train: DataFrame, valid: DataFrame, layout) -> DataFrame:
     """``t, v``: hashes of training and evaluation texts that pass all filters."""
     packed = "part int, eval boolean, n int, data binary"
@@ -469,16 +579,18 @@ def near_texts(train: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame
     """
     spark = train.sparkSession
     valid_info = cut_lineage(valid.mapInPandas(lambda frames: _described(frames, None), _INFO))
-    held = spark.sparkContext.broadcast(_counts(valid_info))
+    valid_marks, valid_share, valid_texts = _once(valid_info)
+    held = spark.sparkContext.broadcast(_scaled(_counts(valid_info), valid_share))
     train_info = cut_lineage(train.mapInPandas(lambda frames: _described(frames, held.value), _INFO))
-    layout = spark.sparkContext.broadcast(_Layout(held.value, _counts(train_info), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    train_marks, train_share, _ = _once(train_info)
+    layout = spark.sparkContext.broadcast(_Layout(held.value, _scaled(_counts(train_info), train_share), int(spark.conf.get("spark.sql.shuffle.partitions")), (valid_marks, train_marks)))
     sides = {"t": (train, train_info.where("bucket < 0")), "v": (valid, valid_info.where("bucket < 0"))}
 
     found = candidates(train, valid, layout)
     for x, (_, info) in sides.items():
         # a task's first sight of a text only, so that a hot one is a row of each task
         texts = info.where("fresh").select(_short(F.col("nid")).alias(f"{x}_id"), F.col("nid").alias(x), F.col("odd0").alias(f"{x}0"), F.col("odd1").alias(f"{x}1"), F.col("n").alias(f"{x}n"))
-        if x == "v" and valid_info.where("fresh").count() <= FEW_TEXTS:
+        if x == "v" and valid_texts <= FEW_TEXTS:
             texts = F.broadcast(texts.distinct())
         else:
             texts = texts.repartition(f"{x}_id").distinct()

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from labelforge.llm import lookalike, p4_overlap, p6_frequency
@@ -89,6 +90,44 @@ def test_windows_change_by_two_for_an_edit():
         assert np.bitwise_count(odd[0][0] ^ odd[1][0]) <= 2 * levenshtein(a, b)
 
 
+def test_repeated_texts_give_postings_once(spark):
+    """Rows of a text that come in many tasks: one of them is marked, and the sizes of cells are told from texts."""
+    rows = spark.createDataFrame([(i, f"头痛发热咳嗽恶心{i % 50}呕吐失眠腹泻") for i in range(2000)], "row_id long, text string").repartition(8)
+    info = rows.mapInPandas(lambda frames: p4_overlap._described(frames, None), p4_overlap._INFO).cache()
+    marks, share, texts = p4_overlap._once(info)
+    ids = np.arange(2000)
+    passed = ids[marks.has(ids)]
+    assert set((passed % 50).tolist()) == set(range(50)) and len(passed) < 300
+    assert abs(texts - 50) <= 3 and abs(share - texts / info.where("fresh").count()) < 1e-9
+    layout = p4_overlap._Layout(np.ones(1 << p4_overlap.BITS, dtype=np.int64), np.ones(1 << p4_overlap.BITS, dtype=np.int64), 1, (marks, None))
+    frame = pd.DataFrame({"row_id": ids, "text": [f"头痛{i}" for i in ids]})
+    assert [len(norms) for _, norms in p4_overlap._texts(iter([frame]), layout.marks[0])] == [len(passed)]
+    assert p4_overlap._once(info.where("fresh").dropDuplicates(["nid"])) == (None, 1.0, 50)
+
+
+def test_postings_as_a_matrix_or_one_by_one(spark, monkeypatch):
+    """Both ways of comparing postings find the same pairs, in bites of any size."""
+    held = np.ones(1 << p4_overlap.BITS, dtype=np.int64)
+    layout = p4_overlap._Layout(held, held, 1)
+    frames = [pd.DataFrame({"row_id": np.arange(len(t)), "text": t}) for t in (texts(3) + ["头痛发热" * 40], texts(3)[::2] + ["头痛发热" * 41])]
+    rows = pd.concat([f for eval_side in (True, False) for f in p4_overlap._postings(iter([frames[eval_side]]), eval_side, layout)]).assign(part=0)
+    got = []
+    for dense, hits in ((1, 1 << 17), (1 << 40, 1 << 17), (1, 7), (1 << 40, 7)):
+        monkeypatch.setattr(p4_overlap, "_DENSE", dense)
+        monkeypatch.setattr(p4_overlap, "_HITS", hits)
+        got.append(set(np.concatenate([f["pair"].to_numpy() for f in p4_overlap._joined(iter([rows]))]).tolist()))
+    assert len(got[0]) > 100 and all(g == got[0] for g in got)
+
+
+def test_characters_that_become_several_are_mapped_at_once():
+    def slow(text):
+        raise AssertionError(text)
+
+    some = ["10㎎㎎x", "", "㎎", "Ⅱ度，３㎎", "无"]
+    batch = lookalike._Batch(lookalike._ALONE_LETTERS, slow)
+    assert batch(some) == batch(some[:]) == [lookalike.letters_and_digits(t) for t in some] == ["10mgmgx", "", "mg", "ii度3mg", "无"]
+
+
 def test_report(spark):
     pairs = spark.createDataFrame([(1, 10), (2, 10), (1, 11)], "train_row_id long, valid_row_id long")
     valid = spark.createDataFrame([(10, "valid", "a"), (11, "valid", None), (12, "valid", "a")], "row_id long, split_name string, source string")
